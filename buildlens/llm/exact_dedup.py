@@ -4,9 +4,8 @@ Pass one counts, for each of two hash positions of every text, how many rows fal
 more form a Bloom filter of the hashes that may repeat. Pass two probes it: rows whose two positions are both in the
 filter are compared exactly by SHA-256 and are the only ones that shuffle; all others pass straight through.
 
-The filter is stored as 64-bit words and broadcast. Its size has a proven bound: at most MAX_BITS bits, so at most
-MAX_BITS / 64 rows. Past about MAX_BITS / 16 rows the share of rows that pass straight through shrinks gradually;
-the result stays exact at every size.
+The filter's size has a proven bound (see bloom). Past about bloom.MAX_BITS / 16 rows the share of rows that pass
+straight through shrinks gradually; the result stays exact at every size.
 """
 
 from __future__ import annotations
@@ -14,44 +13,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buildlens.llm.bloom import filter_bits, filter_words, mark_possible
 from buildlens.llm.common import SPACE, Staged
 
-BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 12, 1 << 26
-
 
 def normalised(text) -> F.Column:
     """White-space runs become one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _filter_bits(rows: int) -> int:
-    bits = MIN_BITS
-    while bits < min(MAX_BITS, BITS_PER_ROW * rows):
-        bits *= 2
-    return bits
-
-
-def _positions(key, bits: int) -> tuple[F.Column, F.Column]:
-    return key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1))
-
-
-def repeated_filter(keys: DataFrame, bits: int) -> DataFrame:
-    """(word, mask): positions that two or more rows of `keys` (one long column, key) hit."""
-    p1, p2 = _positions(F.col("key"), bits)
-    hit = keys.select(F.explode(F.array(p1, p2)).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return hit.groupBy(F.expr("pos div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pos % 64 as int)))").alias("mask"))
-
-
-def mark_possible(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
-    """Adds `possible`: both positions of the row's `key` are in the filter."""
-    out, found = rows, F.lit(True)
-    for i, p in enumerate(_positions(F.col("key"), bits)):
-        side = F.broadcast(words.select(F.col("word").alias(f"_w{i}"), F.col("mask").alias(f"_m{i}")))
-        out = out.withColumn(f"_p{i}", p).join(side, F.expr(f"_p{i} div 64 = _w{i}"), "left")
-        found = found & F.expr(f"coalesce(getbit(_m{i}, cast(_p{i} % 64 as int)) = 1, false)")
-    return out.withColumn("possible", found).drop(*[f"_{c}{i}" for c in "wmp" for i in range(2)])
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -61,11 +31,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sha = F.sha2(normalised(F.col(text_col)), 256)
     rows = Staged(docs.select(F.col(id_col).alias("doc_id"), F.unhex(sha).alias("sha"), F.monotonically_increasing_id().alias("rid")), "sha").df
     rows = rows.withColumn("key", F.xxhash64("sha"))
-    bits = _filter_bits(rows.count())
-    marked = mark_possible(rows, repeated_filter(rows.select("key"), bits), bits)
+    bits = filter_bits(rows.count())
+    marked = mark_possible(rows, filter_words(rows.select("key"), bits, least=2), bits)
     through = marked.where(~F.col("possible")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = marked.where("possible").select("doc_id", "sha", "rid")
     first = again.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    first = Staged(first, "first").df  # both sides of the join then have exchanges of their own, which Spark can split
     judged = again.join(first, "sha").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "sha")
     return through.unionByName(judged).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -78,9 +49,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sha = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), sha.alias("sha"), F.col(id_col).alias("_id")).withColumn("key", F.xxhash64("sha"))
     keys = Staged(held.select("key", "_id", "sha"), "keys").df
-    bits = _filter_bits(keys.count())
-    words = Staged(repeated_filter(keys.select("key"), bits), "bloom").df
+    bits = filter_bits(keys.count())
+    words = Staged(filter_words(keys.select("key"), bits, least=2), "bloom").df
     marked = mark_possible(held, words, bits)
     first = mark_possible(keys, words, bits).where("possible").groupBy("sha").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"))).alias("first"))
+    first = Staged(first, "first").df
     again = marked.where("possible").join(first, "sha").where(F.col("_id").eqNullSafe(F.col("first.id")))
     return marked.where(~F.col("possible")).select("row").unionByName(again.dropDuplicates(["sha"]).select("row")).select("row.*")
