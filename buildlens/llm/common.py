@@ -118,3 +118,11 @@ def word_count(text) -> F.Column:
 
 def batches_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in frames if b.num_rows)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer used, once their result is staged."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

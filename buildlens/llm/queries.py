@@ -32,6 +32,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from buildlens.llm.substring_dedup import drop_repeated_substrings
+
+    return drop_repeated_substrings(_table(spark, sf_dir, "documents"), window=50, texts=False).drop("kept_text")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from buildlens.llm.mixing import mixed
 
@@ -45,7 +51,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op5_source_mixing, op6_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op3_substring_dedup, op5_source_mixing, op6_exact_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL = {
