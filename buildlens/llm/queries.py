@@ -65,7 +65,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op3_substring_dedup, op4_secret_scan, op5_source_mixing, op6_exact_dedup, op7_packing)}
+def op8_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from buildlens.llm.additive_search import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op3_substring_dedup, op4_secret_scan, op5_source_mixing, op6_exact_dedup, op7_packing, op8_additive_search)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL = {
