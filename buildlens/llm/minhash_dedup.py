@@ -7,8 +7,8 @@ made of the other values, so chunks with at most one error share a key. Hence ev
 key (farther ones mostly do as well: at a similarity of 0.85 a pair shares none once in 150,000 times).
 
 Documents with equal shingle sets form one class, and only the classes' first documents get keys. Every key links its
-documents to the smallest one, its pivot; pairs that pass the length bound and a 128-bit sketch are confirmed on full
-sets. Only documents of one key that are still in different components are then held against each other, without the
+documents to the smallest one, its pivot; pairs that pass bounds on lengths and on shingles that no other candidate
+has, and a 128-bit sketch, are confirmed on full sets. Only documents of one key that are still in different components are then held against each other, without the
 key's largest component on one side. So copies are never expanded into pairs, and no link between components is lost.
 """
 
@@ -27,8 +27,8 @@ from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, list
 from buildlens.llm.components import connected_components
 
 SHINGLE, VALUES, CHUNKS, SKETCH = 5, 48, 8, 128
-#: At a similarity of 0.85 the sketches of a pair differ in 9.6 of 128 bits on average; over 32 once in 10^9 times.
-SKETCH_DISTANCE = 32
+#: At a similarity of 0.85 the sketches of a pair differ in 9.6 of 128 bits on average; over 28 once in 10^7 times.
+SKETCH_DISTANCE = 28
 
 
 def shingle_set(text: bytes | None, words: WordHash, n: int = SHINGLE) -> np.ndarray:
@@ -83,16 +83,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), lists([shingle_set(t, words).view(np.int64) for t in raw(b.column(1))], pa.int64())], ["id", "shingles"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> Staged:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> Staged:
     """The pairs (a, b) whose full shingle sets reach `percent` of similarity."""
-    ids = Staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    held = probe_ids(docs, ids.df, "doc_id").where("possible").select("row.doc_id", "row.text")
-    sets = held.mapInArrow(_sets, "id long, shingles array<long>")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("total"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
-    out = Staged(both.where(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select("a", "b"), "links")
-    ids.drop()
-    return out
+    return Staged(both.where(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select("a", "b"), "links")
+
+
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """(id, shared) for each of `sets`: how many of its shingles another one has."""
+    each = sets.select("id", F.explode("shingles").alias("shingle"))
+    own = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("id", F.size("shingles").cast("long").alias("n")).join(own, "id", "left").select("id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,19 +117,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     pivots = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").drop("last")
     members = Staged(keys.join(pivots, "key"), "members").df
 
+    sets = probe_ids(docs, members.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.doc_id", "row.text")
+    sets = sets.mapInArrow(_sets, "id long, shingles array<long>").join(members.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    sets = Staged(sets, "sets")
+    facts = members.select("doc_id", "n", "s0", "s1").distinct().join(_shared_counts(sets.df), F.col("doc_id") == F.col("id")).select("id", "n", "shared", "s0", "s1")
+    facts = Staged(facts, "facts").df
+    members = members.select("key", "doc_id", "pivot")
+
     def alike(a: str, b: str) -> F.Column:
+        """Bounds that every linked pair meets (the sketch, all but certainly): common shingles are at most the fewer
+        shared ones of the two, and the union at least the rest."""
         c = lambda side, name: F.col(f"{side}.{name}")
         bits = F.bit_count(c(a, "s0").bitwiseXOR(c(b, "s0"))) + F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1")))
-        return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (bits <= SKETCH_DISTANCE)
+        most = F.least(c(a, "shared"), c(b, "shared"))
+        return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (most * 100 >= (c(a, "n") + c(b, "n") - most) * percent) & (bits <= SKETCH_DISTANCE)
 
-    star = members.where("doc_id <> pivot").select("pivot", "doc_id", "n", "s0", "s1").distinct()
-    star = star.alias("x").join(sigs.select(F.col("doc_id").alias("p"), "n", "s0", "s1").alias("y"), F.col("x.pivot") == F.col("y.p")).where(alike("x", "y"))
-    star = Staged(star.select(F.col("pivot").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "star")
-    first = _confirmed(star.df, docs, percent)
+    star = members.where("doc_id <> pivot").select("pivot", "doc_id").distinct()
+    star = star.join(facts.alias("x"), F.col("pivot") == F.col("x.id")).join(facts.alias("y"), F.col("doc_id") == F.col("y.id")).where(alike("x", "y"))
+    star = Staged(star.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "star")
+    first = _confirmed(star.df, sets.df, percent)
     comps = Staged(connected_components(first.df), "components")
 
     sized = comps.df.join(comps.df.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-    placed = members.drop("pivot").join(sized.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumns({"component": F.coalesce("component", "doc_id"), "members": F.coalesce("members", F.lit(1))})
+    able = facts.where(F.col("shared") * 100 >= F.col("n") * percent).withColumnRenamed("id", "doc_id")  # others link with nothing
+    placed = members.drop("pivot").join(able, "doc_id").join(sized.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumns({"component": F.coalesce("component", "doc_id"), "members": F.coalesce("members", F.lit(1))})
     placed = Staged(placed, "placed")
     mixed = placed.df.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     mixed = mixed.select("key", F.col("top.component").alias("top"))
@@ -136,7 +149,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(star.df, ["a", "b"], "left_anti")
     rest = Staged(rest, "rest")
     placed.drop()
-    second = _confirmed(rest.df, docs, percent)
+    second = _confirmed(rest.df, sets.df, percent)
+    sets.drop()
     lead = comps.df.select(F.col("id"), F.col("component"))
     joined = second.df.join(lead.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(lead.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
