@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from buildlens.llm.bloom import probe_ids
 from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, release, small_batches
 
-PREFIX, WINDOW, GROUP_ROWS, BLOCK_ROWS = 10, 50, 5_000, 20_000
+#: A group or block of 100,000 or 20,000 suffixes takes some 100 or 20 MB with its trees.
+PREFIX, WINDOW, GROUP_ROWS, BLOCK_ROWS = 10, 50, 100_000, 20_000
 
 
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +216,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROU
     marked = Staged(marked.select("doc_id", "tag", "n", "sha", "copy", F.when(~F.col("copy") & F.col("doc_id").isNotNull(), F.col("anchors")).alias("anchors")), "marked").df
     places = marked.select("doc_id", "tag", F.posexplode("anchors").alias("k", "g"))
     shared = places.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
-    chosen = places.join(shared.select("g", (F.col("rows") > group_rows).alias("hot")), "g").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("k", "hot")).alias("chosen"))
+    shared = Staged(shared.select("g", (F.col("rows") > group_rows).alias("hot")), "shared").df
+    chosen = places.join(shared, "g").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("k", "hot")).alias("chosen"))
     chosen = Staged(chosen, "chosen")
     release(spark)
     possible = probe_ids(docs, chosen.df.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.*")
