@@ -52,11 +52,20 @@ class Packer:
     max_loss: int = MAX_TOKENS
     held: int = HELD
     min_piece: int = MIN_PIECE
-    waiting: list[Piece] = field(default_factory=list)
+    free: list[int] = field(default_factory=list)
 
     def __post_init__(self):
-        self.limits = np.array([self.max_tokens, 1, self.max_loss], float) * [1, self.max_segments, 1]
+        self.limits = np.array([self.max_tokens, self.max_segments, self.max_loss], float)
         self.whole = min(self.max_tokens, self.max_loss)
+        self.waiting: list[Piece | None] = [None] * self.held
+        self.demand = np.full((self.held, 3), np.inf)  # a slot that holds nothing fits nowhere
+        self.shares = np.zeros((self.held, 3))
+        self.free = list(range(self.held))[::-1]
+
+    def _hold(self, slot: int, piece: Piece) -> None:
+        self.waiting[slot] = piece
+        self.demand[slot] = len(piece.ids), 1, piece.losses()
+        self.shares[slot] = self.demand[slot] / self.limits
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Takes a piece in; gives the sequences that are filled by it."""
@@ -64,34 +73,34 @@ class Packer:
             head, piece = piece.cut(self.whole)
             yield [head]
         if len(piece.ids):
-            self.waiting.append(piece)
-        while len(self.waiting) >= self.held:
-            yield self._fill()
+            self._hold(self.free.pop(), piece)
+            while not self.free:
+                yield self._fill()
 
     def rest(self) -> Iterator[list[Piece]]:
-        while self.waiting:
+        while len(self.free) < self.held:
             yield self._fill()
 
     def _fill(self) -> list[Piece]:
-        demand = np.array([(len(p.ids), 1, p.losses()) for p in self.waiting], float)
-        shares, left, out = demand / self.limits, self.limits.copy(), []
-        free = np.ones(len(demand), bool)
+        left, out = self.limits.copy(), []
         while True:
-            fit = free & (demand <= left).all(axis=1)
-            if fit.any():
-                i = int(np.where(fit, shares @ (left / self.limits), -1.0).argmax())
+            fit = (self.demand <= left).all(axis=1)
+            i = int(np.where(fit, self.shares @ (left / self.limits), -1.0).argmax())
+            if fit[i]:
                 out.append(self.waiting[i])
-                free[i] = False
-                left -= demand[i]
+                left -= self.demand[i]
+                self.waiting[i] = None
+                self.demand[i] = np.inf
+                self.free.append(i)
                 continue
             gap = int(min(left[0], left[2]))
-            if gap >= self.min_piece and left[1] >= 1 and free.any():
-                i = int(np.where(free, demand[:, 0], -1.0).argmax())  # the longest: its rest is no small piece
-                head, self.waiting[i] = self.waiting[i].cut(gap)
+            if gap >= self.min_piece and left[1] >= 1 and len(self.free) < self.held:
+                size = self.demand[:, 0]
+                i = int(np.where(np.isfinite(size), size, -1.0).argmax())  # the longest: its rest is no small piece
+                head, rest = self.waiting[i].cut(gap)
+                self._hold(i, rest)
                 out.append(head)
-            break
-        self.waiting = [p for p, f in zip(self.waiting, free, strict=True) if f]
-        return out
+            return out
 
 
 _LOADED: dict[str, object] = {}
@@ -107,26 +116,68 @@ def load_tokenizer(path: str):
     return _LOADED[path]
 
 
+_KNOWN: dict[str, dict[bytes, bytes]] = {}
+
+
 class WordTokens:
-    """Ids of texts, from remembered ids of words.
+    """Ids of texts, from remembered ids of words (of at most `most`, kept as long as the Python worker lives).
 
-    Only for tokenizers that never join across ASCII white space and drop it (as word_bpe_49k.json).
+    Only for tokenizers that lower-case, never join across ASCII white space or between a letter or digit and the
+    full stop or comma after it, take a run of letters as one, and drop white space (as word_bpe_49k.json does).
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        self.tokenizer, self.most, self.known = load_tokenizer(path), most, {}
+    def __init__(self, path: str, most: int = 800_000):
+        self.tokenizer, self.most = load_tokenizer(path), most
+        self.known = _KNOWN.setdefault(path, {})
+        self.marks = {m: self._one(m) for m in (b".", b",")}
+
+    def _one(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, cores: list[bytes]) -> None:
+        """Ids of words; runs of letters are encoded a thousand at a time, and told apart by their number."""
+        letters, others = [], []
+        for w in cores:
+            (letters if w.isalpha() or w.decode().isalpha() else others).append(w)
+        for i in range(0, len(letters), 1000):
+            part = letters[i : i + 1000]
+            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            ids, ends = np.array(found.ids, "<u4").tobytes(), np.searchsorted(np.array(found.word_ids), np.arange(len(part)), "right") * 4
+            start = 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self.known[w] = ids[start:end]
+                start = end
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = text.split() if text else []
-            if len(self.known) > self.most:
-                self.known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+        known, rows = self.known, [t.split() if t else [] for t in texts]
+        if len(known) > self.most:
+            known.clear()
+        new: set[bytes] = set()
+        for words in rows:
+            new.update(set(words).difference(known))
+        ends, missing = [], set()
+        for w in new:
+            if b"<|" in w:  # may be a special token, which has to be written as it is
+                known[w] = self._one(w)
+                continue
+            core = w.lower()
+            mark = core[-1:]
+            if mark in self.marks and core[-2:-1].isalnum():
+                core = core[:-1]
+            else:
+                mark = b""
+            ends.append((w, core, mark))
+            if core not in known:
+                missing.add(core)
+        self._learn(list(missing))
+        for w, core, mark in ends:
+            known[w] = known[core] + self.marks[mark] if mark else known[core]
+        for words in rows:
+            yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -71,7 +71,19 @@ def op8_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), every=20, top=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op3_substring_dedup, op4_secret_scan, op5_source_mixing, op6_exact_dedup, op7_packing, op8_additive_search)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from buildlens.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from buildlens.llm.language_id import languages
+
+    return languages(_table(spark, sf_dir, "documents"), spans=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op3_substring_dedup, op4_secret_scan, op5_source_mixing, op6_exact_dedup, op7_packing, op8_additive_search, op9_toxicity, op10_language_id)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL = {
