@@ -222,6 +222,13 @@ def _in_parts(texts: list[bytes | None], most: int = 16_000_000) -> Iterator[tup
         yield start, len(texts)
 
 
+def learned(docs: DataFrame, sample: int, id_col: str, text_col: str, lang_col: str, folds: int, held_out_fold: int) -> Model:
+    usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) != held_out_fold)
+    ids = usable.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    drawn = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id")  # `sample` numbers at most
+    return fit(drawn.select("text", "lang"))
+
+
 def languages(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, spans: bool = True, learn: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out_fold: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score and, with `spans`, spans (start, stop, lang) of words.
 
@@ -232,11 +239,7 @@ def languages(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, s
     """
     spark = docs.sparkSession
     small_batches(spark, 1024)
-    source = docs if learn is None else learn
-    usable = source.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) != held_out_fold)
-    ids = usable.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    drawn = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id")  # `sample` numbers at most
-    model = fit(drawn.select("text", "lang"))
+    model = learned(docs if learn is None else learn, sample, id_col, text_col, lang_col, folds, held_out_fold)
     shared = spark.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,3 +257,23 @@ def languages(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, s
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return held.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<start: long, stop: long, lang: string>>" * spans)
+
+
+def drop_unidentified(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out_fold: int = 1) -> DataFrame:
+    """docs without the rows whose language is "und": null texts and texts without a letter. Columns stay as they are.
+
+    Rules as in languages; nothing shuffles. Where no language could be learned nothing is dropped.
+    """
+    small_batches(docs.sparkSession, 1024)
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, sample, id_col, text_col, lang_col, folds, held_out_fold))
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value, penalty)
+        for b in batches_of(batches):
+            texts = raw(b.column(at))
+            for i, j in _in_parts(texts):
+                known = [not shared.value.languages or x[0] != "und" for x in labeller(texts[i:j])]
+                yield b.slice(i, j - i).filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

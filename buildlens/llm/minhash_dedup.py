@@ -1,10 +1,10 @@
 """MinHash near-duplicates by a multi-index Hamming join, confirmed on full shingle sets.
 
-A document's signature is VALUES b-bit minhash values (b = 16); the distance of two signatures is the number of values
-that differ. The signature is split into CHUNKS chunks. By pigeonhole, two signatures at distance 2 * CHUNKS - 1 or less
-have a chunk with at most one differing value. That error is enumerated: each chunk gives one key for each of its values,
-made of the other values, so chunks with at most one error share a key. Hence every pair within the distance shares a
-key (farther ones mostly do as well: at a similarity of 0.85 a pair shares none once in 150,000 times).
+A document's signature is m chunks of six b-bit minhash values (b = 16); the distance of two signatures is the number
+of values that differ. By pigeonhole, two signatures at distance 2m - 1 or less have a chunk with at most one differing
+value. That error is enumerated: each chunk gives one key for each of its values, made of the other values, so chunks
+with at most one error share a key. Hence every pair within the distance shares a key (farther ones mostly do as well:
+m is such that a pair at the threshold of similarity shares none once in 100,000 times).
 
 Documents with equal shingle sets form one class, and only the classes' first documents get keys. Every key links its
 documents to the smallest one, its pivot; pairs that pass bounds on lengths and on shingles that no other candidate
@@ -14,6 +14,7 @@ key's largest component on one side. So copies are never expanded into pairs, an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,23 @@ from buildlens.llm.bloom import probe_ids, without_ids
 from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, small_batches
 from buildlens.llm.components import connected_components
 
-SHINGLE, VALUES, CHUNKS, SKETCH = 5, 48, 8, 128
-#: At a similarity of 0.85 the sketches of a pair differ in 9.6 of 128 bits on average; over 28 once in 10^7 times.
-SKETCH_DISTANCE = 28
+SHINGLE, CHUNK_VALUES, SKETCH = 5, 6, 128
+
+
+def chunks_for(percent: int) -> int:
+    """So many chunks that a pair at the threshold shares no key once in 100,000 times (8 for 85, 11 for 80)."""
+    p = percent / 100
+    miss = 1 - p**CHUNK_VALUES - CHUNK_VALUES * (1 - p) * p ** (CHUNK_VALUES - 1)
+    return min(SKETCH // CHUNK_VALUES, max(1, math.ceil(math.log(1e-5) / math.log(miss)))) if 0 < miss < 1 else 1
+
+
+def sketch_distance(percent: int) -> int:
+    """The distance of sketches that a pair at the threshold exceeds once in 10^7 times (28 of 128 bits for 85)."""
+    p, tail, d = (1 - percent / 100) / 2, 0.0, SKETCH
+    while d and tail + math.comb(SKETCH, d) * p**d * (1 - p) ** (SKETCH - d) <= 1e-7:
+        tail += math.comb(SKETCH, d) * p**d * (1 - p) ** (SKETCH - d)
+        d -= 1
+    return d
 
 
 def shingle_set(text: bytes | None, words: WordHash, n: int = SHINGLE) -> np.ndarray:
@@ -47,34 +62,38 @@ def minima(shingles: np.ndarray, multipliers: np.ndarray, block: int = 2048) ->
 
 
 class Signer:
-    def __init__(self):
-        self.multipliers = odd_constants(max(VALUES, SKETCH), 11)
-        self.salts = odd_constants(max(VALUES, SKETCH), 23)
-        self.weights = odd_constants(VALUES, 31).reshape(CHUNKS, -1)
+    def __init__(self, chunks: int):
+        self.chunks, self.values = chunks, chunks * CHUNK_VALUES
+        self.multipliers = odd_constants(SKETCH, 11)
+        self.salts = odd_constants(SKETCH, 23)
+        self.weights = odd_constants(self.values, 31).reshape(chunks, -1)
 
     def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys (one for each value of each chunk) and the sketch's two words."""
         least = mix(minima(shingles, self.multipliers) ^ self.salts)
-        values = (least[:VALUES] >> np.uint64(48)).reshape(CHUNKS, -1) + np.uint64(1)
+        values = (least[: self.values] >> np.uint64(48)).reshape(self.chunks, -1) + np.uint64(1)
         parts = values * self.weights
-        keys = mix(parts.sum(axis=1, keepdims=True) - parts + self.salts[:VALUES].reshape(CHUNKS, -1))
-        sketch = np.packbits((least[:SKETCH] & np.uint64(1)).astype(np.uint8)).view(np.int64)
+        keys = mix(parts.sum(axis=1, keepdims=True) - parts + self.salts[: self.values].reshape(self.chunks, -1))
+        sketch = np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
         return keys.ravel().view(np.int64), sketch
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, sign = WordHash(), Signer()
-    for b in batches_of(batches):
-        n, hashes, s0, s1, keys = [], [], [], [], []
-        for text in raw(b.column(1)):
-            shingles = shingle_set(text, words)
-            n.append(len(shingles))
-            k, sketch = sign(shingles) if len(shingles) else (np.empty(0, np.int64), (0, 0))
-            hashes.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-            keys.append(k)
-            s0.append(int(sketch[0]))
-            s1.append(int(sketch[1]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), lists(keys, pa.int64())], ["doc_id", "n", "set_hash", "s0", "s1", "keys"])
+def _signatures(chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sign = WordHash(), Signer(chunks)
+        for b in batches_of(batches):
+            n, hashes, s0, s1, keys = [], [], [], [], []
+            for text in raw(b.column(1)):
+                shingles = shingle_set(text, words)
+                n.append(len(shingles))
+                k, sketch = sign(shingles) if len(shingles) else (np.empty(0, np.int64), (0, 0))
+                hashes.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                keys.append(k)
+                s0.append(int(sketch[0]))
+                s1.append(int(sketch[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), lists(keys, pa.int64())], ["doc_id", "n", "set_hash", "s0", "s1", "keys"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +128,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = Staged(docs.mapInArrow(_signatures, "doc_id long, n long, set_hash binary, s0 long, s1 long, keys array<long>"), "signatures").df
+    sigs = Staged(docs.mapInArrow(_signatures(chunks_for(percent)), "doc_id long, n long, set_hash binary, s0 long, s1 long, keys array<long>"), "signatures").df
     some = sigs.where("n > 0 and doc_id is not null")
     classes = Staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes").df
     reps = some.join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi")
@@ -124,13 +143,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     facts = Staged(facts, "facts").df
     members = members.select("key", "doc_id", "pivot")
 
+    distance = sketch_distance(percent)
+
     def alike(a: str, b: str) -> F.Column:
         """Bounds that every linked pair meets (the sketch, all but certainly): common shingles are at most the fewer
         shared ones of the two, and the union at least the rest."""
         c = lambda side, name: F.col(f"{side}.{name}")
         bits = F.bit_count(c(a, "s0").bitwiseXOR(c(b, "s0"))) + F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1")))
         most = F.least(c(a, "shared"), c(b, "shared"))
-        return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (most * 100 >= (c(a, "n") + c(b, "n") - most) * percent) & (bits <= SKETCH_DISTANCE)
+        return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (most * 100 >= (c(a, "n") + c(b, "n") - most) * percent) & (bits <= distance)
 
     star = members.where("doc_id <> pivot").select("pivot", "doc_id").distinct()
     star = star.join(facts.alias("x"), F.col("pivot") == F.col("x.id")).join(facts.alias("y"), F.col("doc_id") == F.col("y.id")).where(alike("x", "y"))
