@@ -12,6 +12,7 @@ task that runs again gives the same sequences. Each task leaves at most one sequ
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -119,65 +120,95 @@ def load_tokenizer(path: str):
 _KNOWN: dict[str, dict[bytes, bytes]] = {}
 
 
+#: By byte: ASCII letters and digits (lower case), and other printable ASCII characters.
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_PUNCTUATION = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters for which byte-level tokenizers write bytes: printable ones as they are, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokens:
     """Ids of texts, from remembered ids of words (of at most `most`, kept as long as the Python worker lives).
 
-    Only for tokenizers that lower-case, never join across ASCII white space or between a letter or digit and the
-    full stop or comma after it, take a run of letters as one, and drop white space (as word_bpe_49k.json does).
+    Only for byte-level tokenizers that lower-case, mark word ends with </w>, never join across ASCII white space or
+    between letters or digits and punctuation, take a run of letters as one word, and drop white space (as
+    word_bpe_49k.json does). Runs of Latin letters go to the merges alone, many at a time.
     """
 
     def __init__(self, path: str, most: int = 800_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
         self.tokenizer, self.most = load_tokenizer(path), most
+        if path + "|merges" not in _LOADED:
+            bare = Tokenizer.from_file(path)
+            bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+            ends = np.zeros(bare.get_vocab_size(), bool)
+            ends[[i for t, i in bare.get_vocab().items() if t.endswith("</w>")]] = True
+            _LOADED[path + "|merges"] = bare, ends
+        self.bare, self.ends = _LOADED[path + "|merges"]
+        self.letters = _byte_letters()
         self.known = _KNOWN.setdefault(path, {})
-        self.marks = {m: self._one(m) for m in (b".", b",")}
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, cores: list[bytes]) -> None:
-        """Ids of words; runs of letters are encoded a thousand at a time, and told apart by their number."""
-        letters, others = [], []
+        """Ids of words without upper-case ASCII letters."""
+        letters, written, others = [], [], []
         for w in cores:
-            (letters if w.isalpha() or w.decode().isalpha() else others).append(w)
+            if w.isalpha():
+                letters.append(w)
+                written.append(w.decode())
+                continue
+            text = unicodedata.normalize("NFC", w.decode()).lower()
+            if text.isalpha() and max(text) < "\u0250":
+                letters.append(w)
+                written.append(text.encode().decode("latin-1").translate(self.letters))
+            else:
+                others.append(w)
         for i in range(0, len(letters), 1000):
-            part = letters[i : i + 1000]
-            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            ids, ends = np.array(found.ids, "<u4").tobytes(), np.searchsorted(np.array(found.word_ids), np.arange(len(part)), "right") * 4
-            start = 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.known[w] = ids[start:end]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(written[i : i + 1000])], add_special_tokens=False)[0].ids, "<u4")
+            data, start = ids.tobytes(), 0
+            for w, end in zip(letters[i : i + 1000], (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist(), strict=True):
+                self.known[w] = data[start:end]
                 start = end
         for i in range(0, len(others), 4096):
             part = others[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """Words in lower case (ASCII), parted where letters or digits and ASCII punctuation meet, but not after an
+        apostrophe (the pre-tokenizer parts them there as well)."""
+        low = text.lower()
+        a = np.frombuffer(b" " + low + b"  ", np.uint8)
+        at = np.flatnonzero(_PUNCTUATION[a])
+        if not len(at):
+            return low.split()
+        one, two, three = a[at - 1], a[np.maximum(at - 2, 0)], a[np.minimum(at + 2, len(a) - 1)]
+        after = a[at + 1]
+        ends = _ALNUM[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
+        begins = (a[at] != 39) & (_ALNUM[after] | ((after == 0xC3) & (three != 0x97) & (three != 0xB7)))
+        return np.insert(a, np.concatenate([at[ends], at[begins] + 1]), 32).tobytes().split()
+
     def ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        known, rows = self.known, [t.split() if t else [] for t in texts]
+        known = self.known
+        # a special token in a text has to be found as it is written
+        rows = [None if t and b"<|" in t else self._words(t) if t else [] for t in texts]
         if len(known) > self.most:
             known.clear()
         new: set[bytes] = set()
         for words in rows:
-            new.update(set(words).difference(known))
-        ends, missing = [], set()
-        for w in new:
-            if b"<|" in w:  # may be a special token, which has to be written as it is
-                known[w] = self._one(w)
-                continue
-            core = w.lower()
-            mark = core[-1:]
-            if mark in self.marks and core[-2:-1].isalnum():
-                core = core[:-1]
-            else:
-                mark = b""
-            ends.append((w, core, mark))
-            if core not in known:
-                missing.add(core)
-        self._learn(list(missing))
-        for w, core, mark in ends:
-            known[w] = known[core] + self.marks[mark] if mark else known[core]
-        for words in rows:
-            yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+            if words:
+                new.update(set(words).difference(known))
+        self._learn(list(new))
+        for words, text in zip(rows, texts, strict=True):
+            yield np.frombuffer(self._one(text) if words is None else b"".join(map(known.__getitem__, words)), "<u4")
 
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
