@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.bloom import probe_ids, without_ids
@@ -68,30 +68,33 @@ class Signer:
         self.salts = odd_constants(SKETCH, 23)
         self.weights = odd_constants(self.values, 31).reshape(chunks, -1)
 
-    def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (one for each value of each chunk) and the sketch's two words."""
+    def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys (one for each value of each chunk), the sketch's two words, and the values, three in a word."""
         least = mix(minima(shingles, self.multipliers) ^ self.salts)
-        values = (least[: self.values] >> np.uint64(48)).reshape(self.chunks, -1) + np.uint64(1)
-        parts = values * self.weights
+        values = (least[: self.values] >> np.uint64(48)).reshape(self.chunks, -1)
+        packed = (values.reshape(-1, 3) << np.array([0, 16, 32], np.uint64)).sum(axis=1).view(np.int64)
+        parts = (values + np.uint64(1)) * self.weights
         keys = mix(parts.sum(axis=1, keepdims=True) - parts + self.salts[: self.values].reshape(self.chunks, -1))
         sketch = np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
-        return keys.ravel().view(np.int64), sketch
+        return keys.ravel().view(np.int64), sketch, packed
 
 
 def _signatures(chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sign = WordHash(), Signer(chunks)
         for b in batches_of(batches):
-            n, hashes, s0, s1, keys = [], [], [], [], []
+            n, hashes, s0, s1, keys, values = [], [], [], [], [], []
+            none = np.empty(0, np.int64)
             for text in raw(b.column(1)):
                 shingles = shingle_set(text, words)
                 n.append(len(shingles))
-                k, sketch = sign(shingles) if len(shingles) else (np.empty(0, np.int64), (0, 0))
+                k, sketch, v = sign(shingles) if len(shingles) else (none, (0, 0), none)
+                values.append(v)
                 hashes.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 keys.append(k)
                 s0.append(int(sketch[0]))
                 s1.append(int(sketch[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), lists(keys, pa.int64())], ["doc_id", "n", "set_hash", "s0", "s1", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), lists(keys, pa.int64()), lists(values, pa.int64())], ["doc_id", "n", "set_hash", "s0", "s1", "keys", "values"])
 
     return run
 
@@ -128,24 +131,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = Staged(docs.mapInArrow(_signatures(chunks_for(percent)), "doc_id long, n long, set_hash binary, s0 long, s1 long, keys array<long>"), "signatures").df
+    sigs = Staged(docs.mapInArrow(_signatures(chunks_for(percent)), "doc_id long, n long, set_hash binary, s0 long, s1 long, keys array<long>, values array<long>"), "signatures").df
     some = sigs.where("n > 0 and doc_id is not null")
     classes = Staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes").df
     reps = some.join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi")
-    keys = reps.select(F.explode("keys").alias("key"), "doc_id", "n", "s0", "s1")
+    keys = reps.select(F.posexplode("keys").alias("place", "key"), "doc_id")
     pivots = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").drop("last")
     members = Staged(keys.join(pivots, "key"), "members").df
 
     sets = probe_ids(docs, members.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.doc_id", "row.text")
     sets = sets.mapInArrow(_sets, "id long, shingles array<long>").join(members.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     sets = Staged(sets, "sets")
-    facts = members.select("doc_id", "n", "s0", "s1").distinct().join(_shared_counts(sets.df), F.col("doc_id") == F.col("id")).select("id", "n", "shared", "s0", "s1")
+    ids = members.select(F.col("doc_id").alias("id")).distinct()
+    facts = sigs.select(F.col("doc_id").alias("id"), "n", "s0", "s1", "values").join(ids, "id", "left_semi").dropDuplicates(["id"]).join(_shared_counts(sets.df), "id")
     facts = Staged(facts, "facts").df
-    members = members.select("key", "doc_id", "pivot")
 
     distance = sketch_distance(percent)
 
-    def alike(a: str, b: str) -> F.Column:
+    def alike(a: str, b: str) -> Column:
         """Bounds that every linked pair meets (the sketch, all but certainly): common shingles are at most the fewer
         shared ones of the two, and the union at least the rest."""
         c = lambda side, name: F.col(f"{side}.{name}")
@@ -160,14 +163,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     comps = Staged(connected_components(first.df), "components")
 
     sized = comps.df.join(comps.df.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
+    def errors(chunk: Column) -> Column:
+        """How many values of a chunk differ between x and y."""
+        out = F.lit(0)
+        for half in (0, 1):
+            differ = F.get("x.values", chunk * 2 + half).bitwiseXOR(F.get("y.values", chunk * 2 + half))
+            for lane in (0, 16, 32):
+                out = out + (F.shiftright(differ, lane).bitwiseAND(F.lit(0xFFFF)) != 0).cast("int")
+        return out
+
+    chunk = F.floor(F.col("x.place") / CHUNK_VALUES).cast("int")
+    # a pair comes from the first chunk with one error at most alone, and if without error, from its first key alone
+    once = (F.col("x.place") % CHUNK_VALUES == 0) | (errors(chunk) == 1)
+    for j in range(chunks_for(percent) - 1):
+        once = once & ((chunk <= j) | (errors(F.lit(j)) > 1))
+
     able = facts.where(F.col("shared") * 100 >= F.col("n") * percent).withColumnRenamed("id", "doc_id")  # others link with nothing
     placed = members.drop("pivot").join(able, "doc_id").join(sized.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumns({"component": F.coalesce("component", "doc_id"), "members": F.coalesce("members", F.lit(1))})
     placed = Staged(placed, "placed")
     mixed = placed.df.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     mixed = mixed.select("key", F.col("top.component").alias("top"))
     left = placed.df.join(mixed, "key").where("component <> top").alias("x")
-    rest = left.join(placed.df.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & alike("x", "y"))
-    rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(star.df, ["a", "b"], "left_anti")
+    both_ways = (F.col("y.component") == F.col("x.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))  # else each comes twice
+    rest = left.join(placed.df.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & both_ways & alike("x", "y") & once)
+    rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).join(star.df, ["a", "b"], "left_anti")
     rest = Staged(rest, "rest")
     placed.drop()
     second = _confirmed(rest.df, sets.df, percent)
