@@ -122,8 +122,8 @@ def resolve_vyper(imports: DataFrame, listing: DataFrame, libraries: DataFrame,
     tail = F.replace("path", F.lit("."), F.lit("/"))
     dirs = F.concat(F.array(parent(F.col("file"))), ancestors(F.col("file")), F.array(F.lit("")))
     roots = libraries.agg(F.sort_array(F.collect_list(F.struct("ordinal", "path"))).alias("roots"))
-    bases = F.when(F.col("level") > 0, F.slice(dirs, F.col("level"), 1)).otherwise(F.concat(F.array(parent(F.col("file")), F.lit("")), F.transform(roots.scalar(), lambda r: r["path"])))
-    tries = imports.select("id", tail.alias("tail"), F.posexplode(bases).alias("i", "base"))
+    bases = F.when(F.col("level") > 0, F.slice(dirs, F.col("level"), 1)).otherwise(F.concat(F.array(parent(F.col("file")), F.lit("")), F.transform("_roots", lambda r: r["path"])))
+    tries = imports.withColumn("_roots", roots.scalar()).select("id", tail.alias("tail"), F.posexplode(bases).alias("i", "base"))
     tries = tries.select("id", "i", F.posexplode(F.array(*[F.concat("tail", F.lit(f".{e}")) for e in extensions])).alias("j", "file"), "base")
     tries = tries.select("id", "i", "j", clean_path(join_path(F.col("base"), F.col("file"))).alias("path")).join(listing.select("path").distinct(), "path", "left_semi")
     return imports.select("id").join(_first(tries.select("id", "i", "j", "path"), ["id"], ["i", "j"]).select("id", "path"), "id", "left")

@@ -26,13 +26,13 @@ def version_requirements(files: DataFrame, restrictions: DataFrame) -> DataFrame
 def check_available(requirements: DataFrame, versions: DataFrame) -> DataFrame:
     """(path, ok): whether any version meets the file's requirement. Versions are few and go along as one array."""
     all_versions = versions.agg(F.collect_list("v").alias("all"))
-    return requirements.select("path", F.exists(all_versions.scalar(), lambda v: matches(F.col("requirement"), v)).alias("ok"))
+    return requirements.withColumn("_all", all_versions.scalar()).select("path", F.exists("_all", lambda v: matches(F.col("requirement"), v)).alias("ok"))
 
 
 def file_candidates(requirements: DataFrame, versions: DataFrame) -> DataFrame:
     """(path, candidates array<struct<installed, v>>) of each file by itself."""
     every = versions.agg(F.collect_list(F.struct("installed", "v")).alias("all"))
-    return requirements.select("path", F.filter(every.scalar(), lambda c: matches(F.col("requirement"), c["v"])).alias("candidates"))
+    return requirements.withColumn("_all", every.scalar()).select("path", F.filter("_all", lambda c: matches(F.col("requirement"), c["v"])).alias("candidates"))
 
 
 def compatible_versions(requirements: DataFrame, edges: DataFrame, inputs: DataFrame, versions: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def compatible_profiles(restrictions: DataFrame, edges: DataFrame, inputs: DataF
         on = ~F.coalesce(F.col("runs_min") > 0, F.lit(False)) | p["optimizer"]
         return satisfies(F.col("evm_min"), F.col("evm_max"), p["evm"]) & satisfies(F.col("runs_min"), F.col("runs_max"), p["runs"]) & ir & on
 
-    rows = inputs.select("path").distinct().join(need, F.col("path") == F.col("root"), "left").withColumn("first", F.get(F.filter(every.scalar(), fits), 0))
+    rows = inputs.select("path").distinct().join(need, F.col("path") == F.col("root"), "left").withColumn("_all", every.scalar()).withColumn("first", F.get(F.filter("_all", fits), 0))
     return rows.where("first is not null").select("path", F.col("first.profile").alias("profile"))
 
 
