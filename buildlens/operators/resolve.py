@@ -120,7 +120,7 @@ def resolve_vyper(imports: DataFrame, listing: DataFrame, libraries: DataFrame,
     """(id, path) of imports (id, file, level, path with dots): relative ones from level - 1 directories up, others
     from the file's directory, the root and the libraries in order; the first that exists. Null where none does."""
     tail = F.replace("path", F.lit("."), F.lit("/"))
-    dirs = F.concat(F.array(parent(F.col("file"))), ancestors(F.col("file")), F.array(F.lit("")))
+    dirs = F.concat(ancestors(F.col("file")), F.array(F.lit("")))
     roots = libraries.agg(F.sort_array(F.collect_list(F.struct("ordinal", "path"))).alias("roots"))
     bases = F.when(F.col("level") > 0, F.slice(dirs, F.col("level"), 1)).otherwise(F.concat(F.array(parent(F.col("file")), F.lit("")), F.transform("_roots", lambda r: r["path"])))
     tries = imports.withColumn("_roots", roots.scalar()).select("id", tail.alias("tail"), F.posexplode(bases).alias("i", "base"))
