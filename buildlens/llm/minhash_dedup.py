@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = Staged(docs.mapInArrow(_signatures(chunks_for(percent)), "doc_id long, n long, set_hash binary, s0 long, s1 long, keys array<long>, values array<long>"), "signatures").df
     some = sigs.where("n > 0 and doc_id is not null")
     classes = Staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes").df

@@ -247,7 +247,7 @@ def drop_repeated_substrings(docs: DataFrame, window: int = WINDOW, id_col: str
     repeat an id count as one document. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession, 256)
-    held = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
     marked, spans = repeated_spans(held, window, group_rows)
     possible = probe_ids(held, spans.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.*")
     cut = possible.join(spans, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
