@@ -119,6 +119,13 @@ def _shared_counts(sets: DataFrame) -> DataFrame:
     return sets.select("id", F.size("shingles").cast("long").alias("n")).join(own, "id", "left").select("id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
+def _cross_counts(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, cross) for each row of placed (id, component): how many of its shingles a document of another component has."""
+    each = sets.join(placed, "id").select("id", "component", F.explode("shingles").alias("shingle"))
+    between = each.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    return each.join(Staged(between, "between").df, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("cross"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -148,16 +155,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     distance = sketch_distance(percent)
 
-    def alike(a: str, b: str) -> Column:
+    def alike(a: str, b: str, shared: str) -> Column:
         """Bounds that every linked pair meets (the sketch, all but certainly): common shingles are at most the fewer
         shared ones of the two, and the union at least the rest."""
         c = lambda side, name: F.col(f"{side}.{name}")
         bits = F.bit_count(c(a, "s0").bitwiseXOR(c(b, "s0"))) + F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1")))
-        most = F.least(c(a, "shared"), c(b, "shared"))
+        most = F.least(c(a, shared), c(b, shared))
         return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (most * 100 >= (c(a, "n") + c(b, "n") - most) * percent) & (bits <= distance)
 
     star = members.where("doc_id <> pivot").select("pivot", "doc_id").distinct()
-    star = star.join(facts.alias("x"), F.col("pivot") == F.col("x.id")).join(facts.alias("y"), F.col("doc_id") == F.col("y.id")).where(alike("x", "y"))
+    star = star.join(facts.alias("x"), F.col("pivot") == F.col("x.id")).join(facts.alias("y"), F.col("doc_id") == F.col("y.id")).where(alike("x", "y", "shared"))
     star = Staged(star.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "star")
     first = _confirmed(star.df, sets.df, percent)
     comps = Staged(connected_components(first.df), "components")
@@ -178,14 +185,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     for j in range(chunks_for(percent) - 1):
         once = once & ((chunk <= j) | (errors(F.lit(j)) > 1))
 
-    able = facts.where(F.col("shared") * 100 >= F.col("n") * percent).withColumnRenamed("id", "doc_id")  # others link with nothing
-    placed = members.drop("pivot").join(able, "doc_id").join(sized.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumns({"component": F.coalesce("component", "doc_id"), "members": F.coalesce("members", F.lit(1))})
+    # only documents that share enough with other components can link any further
+    able = facts.where(F.col("shared") * 100 >= F.col("n") * percent).join(sized, "id", "left").withColumns({"component": F.coalesce("component", "id"), "members": F.coalesce("members", F.lit(1))})
+    able = Staged(able, "able").df
+    able = able.join(_cross_counts(sets.df, able.select("id", "component")), "id").where(F.col("cross") * 100 >= F.col("n") * percent)
+    placed = members.drop("pivot").join(able.withColumnRenamed("id", "doc_id"), "doc_id")
     placed = Staged(placed, "placed")
     mixed = placed.df.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     mixed = mixed.select("key", F.col("top.component").alias("top"))
     left = placed.df.join(mixed, "key").where("component <> top").alias("x")
     both_ways = (F.col("y.component") == F.col("x.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))  # else each comes twice
-    rest = left.join(placed.df.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & both_ways & alike("x", "y") & once)
+    rest = left.join(placed.df.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & both_ways & alike("x", "y", "cross") & once)
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).join(star.df, ["a", "b"], "left_anti")
     rest = Staged(rest, "rest")
     placed.drop()
