@@ -101,7 +101,7 @@ class Model:
         np.add.at(counts, (bucket[kind == 0], at[kind == 0]), n[kind == 0])
         np.add.at(scripts, (bucket[kind == 1], at[kind == 1]), n[kind == 1])
         logs = np.log((counts + 0.05) / (counts.sum(axis=0) + 0.05 * BUCKETS))
-        self.logs = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+        self.logs = (logs - logs.mean(axis=1, keepdims=True) if self.languages else logs).astype(np.float32)
         self.uses = scripts > 1e-3 * scripts.sum(axis=0)
 
     def scores(self, words: list[bytes]) -> np.ndarray:
@@ -174,6 +174,9 @@ class Labeller:
 
     def __call__(self, texts: list[bytes | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans of words) of each text."""
+        out: list = [("und", 0.0, [])] * len(texts)
+        if not self.model.languages:
+            return out
         words = [t.split() if t else [] for t in texts]
         if len(self.known) > CACHE:
             self._clear()
@@ -182,10 +185,7 @@ class Labeller:
             start = len(self.known)
             self.table = np.concatenate([self.table, self.model.scores(new)])
             self.known.update(zip(new, range(start, start + len(new)), strict=True))
-        out: list = [("und", 0.0, [])] * len(texts)
         mixed: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if not self.model.languages:
-            return out
         for i, row in enumerate(words):
             rows = self.table[np.fromiter(map(self.known.__getitem__, row), np.int64, len(row))]
             has = rows[:, -1] > 0

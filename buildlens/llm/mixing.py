@@ -57,7 +57,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, most: int = MOST_REPEAT
     rows = sized.join(per, sized["source"].eqNullSafe(per["source"])).drop(per["source"]).withColumn("order_key", md5)
     rows = rows.withColumn("bucket", F.expr(f"cast(conv(substring(order_key, 1, 8), 16, 10) as bigint) * cast(ceil(source_rows / {ROWS_PER_BUCKET}) as bigint) div 4294967296"))
     by = [F.col("source").isNull(), F.coalesce("source", F.lit("")), F.col("bucket")]
-    rows = rows.withColumns({"no_source": by[0], "source_key": by[1]})
+    # staged, or else the windows below would take over the join's partitioning, by source alone
+    rows = Staged(rows.withColumns({"no_source": by[0], "source_key": by[1]}), "bucketed").df
     sums = rows.groupBy("no_source", "source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     upto = Window.partitionBy("no_source", "source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0).cast("long"))).drop("bucket_size")
