@@ -136,3 +136,25 @@ def merge_flags(a: Column, b: Column) -> Column:
 def apply_restriction(low: Column, high: Column, value: Column) -> Column:
     """value clamped; a null value becomes the lower bound, or else the upper one."""
     return F.when(value.isNull(), F.coalesce(low, high)).when(value < low, low).when(value > high, high).otherwise(value)
+
+
+#: Outputs that Vyper compilers don't give, by the first version that does (null: none does; fixed values).
+VYPER_UNSUPPORTED = {"evm.bytecode.sourceMap": None, "evm.deployedBytecode.sourceMap": None}
+VYPER_SEARCH_PATHS = (0, 4, 0)
+
+
+def sanitised_vyper(selection: Column, search_paths: Column, v: Column) -> Column:
+    """struct<selection, search_paths> that Vyper compiler v takes."""
+    kept = sanitised_output_selection(selection, list(VYPER_UNSUPPORTED))
+    return F.struct(kept.alias("selection"), F.when(v >= version(*VYPER_SEARCH_PATHS), search_paths).alias("search_paths"))
+
+
+def merge_settings_restrictions(a: Column, b: Column) -> Column:
+    """Both restrictions: struct<evm_min, evm_max, via_ir, runs_min, runs_max, bytecode_hash>; null where they conflict.
+
+    EVM versions are ranks.
+    """
+    evm, runs = merge_restrictions(a["evm_min"], a["evm_max"], b["evm_min"], b["evm_max"]), merge_restrictions(a["runs_min"], a["runs_max"], b["runs_min"], b["runs_max"])
+    ir, code = merge_flags(a["via_ir"], b["via_ir"]), merge_flags(a["bytecode_hash"], b["bytecode_hash"])
+    both = F.struct(evm["min"].alias("evm_min"), evm["max"].alias("evm_max"), ir["value"].alias("via_ir"), runs["min"].alias("runs_min"), runs["max"].alias("runs_max"), code["value"].alias("bytecode_hash"))
+    return F.when(evm.isNotNull() & runs.isNotNull() & ir["ok"] & code["ok"], both)

@@ -117,3 +117,25 @@ def process_pragmas(nodes: DataFrame, by: list[str]) -> DataFrame:
     """(by, abicoder) the first abicoder or experimental pragma in walk order (by path and place: a fixed choice)."""
     rows = nodes.where("node_type = 'PragmaDirective'").select(*by, "path", "place", F.get_json_object("attributes", "$.literals").alias("literals"))
     return first_in_order(rows, by, ["path", "place"])
+
+
+def interface_edits(nodes: DataFrame) -> DataFrame:
+    """Edits that leave what other files can see: internal and private functions go, public and external ones lose
+    their bodies. Libraries and interfaces stay whole."""
+    from buildlens.operators.ast import attribute
+
+    kind = nodes.where("node_type = 'ContractDefinition'").select("path", F.col("id").alias("contract_id"), attribute(F.col("attributes"), "contractKind", "string").alias("kind"))
+    functions = nodes.where("node_type = 'FunctionDefinition'").join(kind, ["path", "contract_id"]).where(F.coalesce(F.col("kind") == "contract", F.lit(True)))
+    functions = functions.withColumn("exposed", F.coalesce(attribute(F.col("attributes"), "visibility", "string").isin("public", "external"), F.lit(False)))
+    gone = functions.where(~F.col("exposed")).select("path", "start", (F.col("start") + F.col("length")).alias("end"), F.lit("").alias("text"))
+    bodies = nodes.where("node_type = 'Block'").select("path", F.col("parent_id").alias("id"), F.col("start").alias("from"), F.col("length").alias("size"))
+    cut = functions.where("exposed").select("path", "id").join(bodies, ["path", "id"]).select("path", F.col("from").alias("start"), (F.col("from") + F.col("size")).alias("end"), F.lit(";").alias("text"))
+    return gone.unionByName(cut)
+
+
+def interface_hashes(sources: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, interface_hash): of the interface representation, or of the content where there is no syntax tree."""
+    seen = apply_edits(sources.select("path", "content"), interface_edits(nodes)).select("path", F.md5(solidity.interface_text(F.col("content"))).alias("interface"))
+    parsed = nodes.select("path").distinct().withColumn("parsed", F.lit(True))
+    rows = sources.select("path", F.md5("content").alias("whole")).join(seen, "path").join(parsed, "path", "left")
+    return rows.select("path", F.when(F.col("parsed"), F.col("interface")).otherwise(F.col("whole")).alias("interface_hash"))

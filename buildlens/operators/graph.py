@@ -136,3 +136,10 @@ def standard_input(edges: DataFrame, targets: DataFrame, sources: DataFrame, roo
 
     reach = closure(edges, targets.select(F.col("path").alias("root"))).select(F.col("root").alias("target"), F.col("node").alias("path"))
     return reach.join(sources.select("path", "content"), "path").select("target", rebase_path(F.lit(root), F.col("path")).alias("path"), "content")
+
+
+def format_imports(root: str, dependencies: list[tuple[str, str | None]], incompatible: set[str] = frozenset()) -> str:
+    """A file and what it imports (path, requirement) as lines, incompatible ones marked with !."""
+    line = lambda path, need: ("! " if path in incompatible else "") + path + (f" {need}" if need else "")
+    own = dict(dependencies).get(root)
+    return "\n    ".join([line(root, own) + " imports:", *(line(p, r) for p, r in dependencies if p != root)])

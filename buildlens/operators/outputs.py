@@ -220,3 +220,26 @@ def depth_order(paths: Column) -> Column:
     return F.struct(F.size(F.split(paths, "/")).alias("depth"), paths.alias("path"))
 
 
+
+
+def find_by_info(rows: DataFrame, info: str) -> DataFrame:
+    """The first row of "path:name" or "name" (see paths.parse_contract_info)."""
+    parts = info.split(":")
+    return find(rows, parts[-1], parts[-2] if len(parts) > 1 else None)
+
+
+def take_by_info(rows: DataFrame, info: str) -> tuple[DataFrame, DataFrame]:
+    parts = info.split(":")
+    return take(rows, parts[-1], parts[-2] if len(parts) > 1 else None)
+
+
+def all_or_error(results: DataFrame) -> DataFrame:
+    """results without their error column; any error (not null) fails the query with the first one."""
+    first = results.agg(F.min("error").alias("e"))
+    failed = F.when(first.scalar().isNotNull(), F.raise_error(first.scalar()).cast("boolean")).otherwise(F.lit(True))
+    return results.where(failed).drop("error")
+
+
+def artifacts_with_sources(cached: DataFrame, compiled: DataFrame) -> DataFrame:
+    """Cached and compiled artifacts keyed by path, name, version and profile; compiled ones win."""
+    return last_wins([cached, compiled], ["path", "name", "version", "profile"])

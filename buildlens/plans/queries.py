@@ -446,3 +446,93 @@ def selection_subsets(spark, sources):
     pick = lambda x: F.create_map(F.lit("*"), F.create_map(F.lit("*"), x))
     a = F.when(F.col("id") % 2 == 0, F.array(F.lit("abi"))).when(F.col("id") % 3 == 0, F.array(F.lit("abi"), F.lit("ir"))).otherwise(F.array(F.lit("abi"), F.lit("ewasm")))
     return sources.select("id", filters.is_subset(pick(a), pick(F.array(F.lit("abi"), F.lit("ir")))).alias("subset"))
+
+
+_FUNCTIONS = """SELECT p_partkey AS id, concat('I', CAST(p_partkey AS STRING)) AS path, concat('contract C {', chr(10), '  function a() internal {}', chr(10), '  function b() public { }', chr(10), '}  //', p_brand) AS content,
+  concat('{"nodeType":"SourceUnit","id":1,"src":"0:90:1","nodes":[{"nodeType":"ContractDefinition","name":"C","id":2,"src":"0:70:1","contractKind":"', CASE WHEN p_size % 3 = 0 THEN 'library' ELSE 'contract' END,
+  '","nodes":[{"nodeType":"FunctionDefinition","name":"a","visibility":"internal","id":3,"src":"15:24:1"},{"nodeType":"FunctionDefinition","name":"b","visibility":"public","id":4,"src":"42:23:1","body":{"nodeType":"Block","id":5,"src":"62:3:1"}}]}]}') AS ast, p_size AS size, p_brand AS brand FROM {part}"""
+
+
+@_query(
+    """SELECT path, CASE WHEN size % 4 = 0 THEN md5(content) WHEN size % 3 = 0 THEN md5('contract C { function a() internal {} function b() public { }} //' || brand) ELSE md5('contract C { function b() public ;} //' || brand) END AS interface_hash FROM files""",
+    files=_FUNCTIONS,
+)
+def interface_hashes(spark, files):
+    """Hashes of what other files can see of a source; of some there is no syntax tree."""
+    return edits.interface_hashes(files, Written(ast.walk(files.where("size % 4 <> 0")), "nodes").df)
+
+
+@_query(
+    """WITH want AS (SELECT id, 'p' || CAST(id % 40 AS STRING) AS pkg FROM sources), lib(ordinal, root) AS (VALUES (0, 'lib'), (1, 'node_modules')),
+    listing AS (SELECT DISTINCT CASE WHEN id % 40 % 3 = 0 THEN 'lib/p' || CAST(id % 40 AS STRING) || '/src/X.sol' WHEN id % 40 % 3 = 1 THEN 'node_modules/p' || CAST(id % 40 AS STRING) || '/X.sol' END AS path FROM sources),
+    tries AS (SELECT id, ordinal, 0 AS form, root || '/' || pkg || '/X.sol' AS path FROM want, lib UNION ALL SELECT id, ordinal, 1, root || '/' || pkg || '/src/X.sol' FROM want, lib)
+    SELECT id, arg_min(path, ordinal * 2 + form) AS path FROM tries WHERE path IN (SELECT path FROM listing WHERE path IS NOT NULL) GROUP BY id""",
+    sources=SOURCES,
+)
+def library_lookup(spark, sources):
+    """Imports found in library folders, in order, with or without src."""
+    pkg = F.concat(F.lit("p"), (F.col("id") % 40).cast("string"))
+    three = F.col("id") % 40 % 3
+    listing = sources.select(F.when(three == 0, F.concat(F.lit("lib/"), pkg, F.lit("/src/X.sol"))).when(three == 1, F.concat(F.lit("node_modules/"), pkg, F.lit("/X.sol"))).alias("path")).where("path is not null")
+    libraries = spark.createDataFrame([(0, "lib"), (1, "node_modules")], "ordinal int, path string")
+    return resolve.from_libraries(sources.select("id", F.concat(pkg, F.lit("/X.sol")).alias("import")), libraries, listing)
+
+
+@_query("SELECT path, CASE WHEN starts_with(path, 'src/d1/') THEN 'src/d1' WHEN starts_with(path, 'src/') THEN 'src' END AS library FROM sources", sources=SOURCES)
+def library_ancestors(spark, sources):
+    """The first library folder that a file lies under."""
+    libraries = spark.createDataFrame([(0, "src/d1"), (1, "src/"), (2, "src/d2")], "ordinal int, path string")
+    return resolve.library_ancestor(sources.select(F.col("path").alias("id"), "path"), libraries).select(F.col("id").alias("path"), "library")
+
+
+@_query("SELECT DISTINCT e.src AS path, e.dst AS dependency FROM edges e JOIN sources s ON e.dst = s.path WHERE s.size % 2 = 0", edges=EDGES, sources=SOURCES)
+def linking_dependencies(spark, edges, sources):
+    """Imported files that contain a library."""
+    return graph.linking_dependencies(edges, edges.select(F.col("src").alias("path")), sources.where("size % 2 = 0"))
+
+
+@_query(
+    "RECURSIVE WITH reach AS (SELECT DISTINCT dst AS path FROM edges JOIN sources ON src = path AND size = 7 UNION SELECT dst FROM reach JOIN edges ON src = path)"
+    " SELECT path, 'Complete' AS kind FROM sources WHERE size = 7 UNION ALL SELECT path, 'Optimized' FROM reach WHERE path IN (SELECT path FROM sources WHERE size <> 7)",
+    edges=EDGES,
+    sources=SOURCES,
+)
+def compilation_kinds(spark, edges, sources):
+    """Files to compile in full, and what they import."""
+    return incremental.job_kinds(sources, sources.where("size = 7"), edges)
+
+
+@_query(
+    """WITH now AS (SELECT DISTINCT brand AS profile, size % 4 AS runs FROM sources WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY brand ORDER BY id) = 1), old AS (SELECT DISTINCT brand AS profile, size % 4 AS runs FROM sources WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY brand ORDER BY id) = 1)
+    SELECT o.profile, coalesce(o.runs = n.runs, false) AS keep FROM old o LEFT JOIN now n ON o.profile = n.profile""",
+    sources=SOURCES,
+)
+def reusable_profiles(spark, sources):
+    """Cached settings profiles that are still the project's."""
+    pick = lambda k: resolve.first_in_order(sources.where(f"id % {k} = 0").select(F.col("brand").alias("profile"), (F.col("size") % 4).alias("runs"), "id"), ["profile"], ["id"])
+    return incremental.reusable_profiles(pick(3), pick(2), ["runs"])
+
+
+@_query("SELECT version, count(*) AS n, string_agg(path || ':' || name, ',' ORDER BY path, name) FILTER (starts_with(path, 'src/d3/C3.')) AS some FROM (SELECT DISTINCT path, name, version FROM artifacts) GROUP BY version", artifacts=ARTIFACTS)
+def contracts_by_version(spark, artifacts):
+    """Contracts of every compiler version."""
+    got = outputs.by_version(artifacts.select("path", "name", "version").distinct())
+    some = F.filter("contracts", lambda c: F.startswith(c["path"], F.lit("src/d3/C3.")))
+    return got.select("version", F.size("contracts").cast("long").alias("n"), F.nullif(F.array_join(F.transform(some, lambda c: F.concat_ws(":", c["path"], c["name"])), ","), F.lit("")).alias("some"))
+
+
+@_query("SELECT brand, CASE WHEN count(DISTINCT split_part(path, '/', 2)) = 1 THEN 'src/' || min(split_part(path, '/', 2)) ELSE 'src' END AS ancestor FROM sources GROUP BY brand HAVING count(*) > 1", sources=SOURCES)
+def common_folders(spark, sources):
+    """The folder that all files of a group share."""
+    many = sources.groupBy("brand").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("brand")
+    return outputs.common_ancestor_all(sources.join(many, "brand", "left_semi"), ["brand"])
+
+
+@_query("SELECT version, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM (SELECT content, CASE WHEN size % 2 = 0 THEN '0.8.0' ELSE '0.7.6' END AS version FROM sources) GROUP BY version", sources=SOURCES)
+def compile_jobs(spark, sources):
+    """One JSON input for each group of files, read back."""
+    from buildlens.plans.planner import job_inputs
+
+    jobs = sources.select("path", F.lit("Solidity").alias("language"), F.when(F.col("size") % 2 == 0, "0.8.0").otherwise("0.7.6").alias("version"), F.lit("default").alias("profile"))
+    files = F.map_values(F.from_json(F.get_json_object("input", "$.sources"), "map<string, struct<content: string>>"))
+    return job_inputs(jobs, sources).select("version", F.size(files).cast("long").alias("n_files"), F.aggregate(files, F.lit(0).cast("long"), lambda n, s: n + F.length(s["content"])).alias("n_chars"))

@@ -339,3 +339,40 @@ def test_flatten_with_trees(spark):
     assert "contract X_1 { function g(B x)" in text
     assert "import" not in text
     assert text.index("// B.sol") < text.index("// A.sol")
+
+
+# Further lookups and merges
+
+
+def test_infos_and_errors(spark):
+    data = frame(spark, [("a.sol", "A", "1", "d"), ("b.sol", "A", "1", "d")], "path string, name string, version string, profile string")
+    assert outputs.find_by_info(data, "b.sol:A").first()["path"] == "b.sol"
+    assert outputs.find_by_info(data, "A").first()["path"] == "a.sol"
+    assert outputs.take_by_info(data, "a.sol:A")[1].first()["path"] == "b.sol"
+    ok = frame(spark, [(1, None)], "x int, error string")
+    assert rows(outputs.all_or_error(ok), "x") == [(1,)]
+    with pytest.raises(Exception, match="broke"):
+        outputs.all_or_error(ok.unionByName(frame(spark, [(2, "broke")], "x int, error string"))).collect()
+    assert outputs.artifacts_with_sources(data, data.withColumn("new", F.lit(1)).drop("new")).count() == 2
+
+
+def test_merged_settings_restrictions(spark):
+    from buildlens.functions.versions import merge_settings_restrictions
+
+    schema = "a struct<evm_min:int,evm_max:int,via_ir:boolean,runs_min:int,runs_max:int,bytecode_hash:string>, b struct<evm_min:int,evm_max:int,via_ir:boolean,runs_min:int,runs_max:int,bytecode_hash:string>"
+    none = (None,) * 6
+    df = frame(spark, [((3, None, None, 1, None, "ipfs"), (1, 9, True, None, 5, None)), ((None, None, True, None, None, None), (None, None, False, None, None, None)), ((5, None, None, None, None, None), (None, 4, None, None, None, None)), (none, none)], schema)
+    got = [r[0] for r in df.select(merge_settings_restrictions(F.col("a"), F.col("b"))).collect()]
+    assert [None if g is None else tuple(g) for g in got] == [(3, 9, True, 1, 5, "ipfs"), None, None, none]
+
+
+def test_interface_representation(spark):
+    text = "contract C {\n  function a() internal {}\n  function b() public { }\n}\n"
+    tree = {"nodeType": "SourceUnit", "id": 1, "nodes": [{"nodeType": "ContractDefinition", "id": 2, "contractKind": "contract", "nodes": [{"nodeType": "FunctionDefinition", "id": 3, "visibility": "internal", "src": "15:24:1"}, {"nodeType": "FunctionDefinition", "id": 4, "visibility": "public", "src": "42:23:1", "body": {"nodeType": "Block", "id": 5, "src": "62:3:1"}}]}]}
+    s = frame(spark, [("a", text), ("b", text)], "path string, content string")
+    nodes = ast.walk(frame(spark, [("a", json.dumps(tree))], "path string, ast string"))
+    changed = s.withColumn("content", F.replace("content", F.lit("internal {}"), F.lit("internal {}")))
+    before, after = (dict(rows(edits.interface_hashes(x, nodes), "path", "interface_hash")) for x in (s, changed))
+    assert before == after
+    assert before["a"] != before["b"]  # b has no tree: its whole content counts
+    assert graph.format_imports("a", [("a", "^0.8"), ("b", None)], {"b"}) == "a ^0.8 imports:\n    ! b"
