@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.bloom import probe_ids, without_ids
-from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, small_batches
+from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, small_batches, tidied
 from buildlens.llm.components import connected_components
 
 SHINGLE, CHUNK_VALUES, SKETCH = 5, 6, 128
@@ -138,16 +138,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = Staged(docs.mapInArrow(_signatures(chunks_for(percent)), "doc_id long, n long, set_hash binary, s0 long, s1 long, keys array<long>, values array<long>"), "signatures").df
+    sigs = Staged(docs.mapInArrow(tidied(_signatures(chunks_for(percent))), "doc_id long, n long, set_hash binary, s0 long, s1 long, keys array<long>, values array<long>"), "signatures").df
     some = sigs.where("n > 0 and doc_id is not null")
     classes = Staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes").df
     reps = some.join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi")
     keys = reps.select(F.posexplode("keys").alias("place", "key"), "doc_id")
     pivots = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").drop("last")
+    pivots = Staged(pivots, "pivots").df  # here and below: so that Spark can split hot keys, each side has an exchange
     members = Staged(keys.join(pivots, "key"), "members").df
 
     sets = probe_ids(docs, members.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.doc_id", "row.text")
-    sets = sets.mapInArrow(_sets, "id long, shingles array<long>").join(members.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    sets = sets.mapInArrow(tidied(_sets), "id long, shingles array<long>").join(members.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     sets = Staged(sets, "sets")
     ids = members.select(F.col("doc_id").alias("id")).distinct()
     facts = sigs.select(F.col("doc_id").alias("id"), "n", "s0", "s1", "values").join(ids, "id", "left_semi").dropDuplicates(["id"]).join(_shared_counts(sets.df), "id")
@@ -170,6 +171,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     comps = Staged(connected_components(first.df), "components")
 
     sized = comps.df.join(comps.df.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
+
     def errors(chunk: Column) -> Column:
         """How many values of a chunk differ between x and y."""
         out = F.lit(0)
@@ -192,8 +194,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     placed = members.drop("pivot").join(able.withColumnRenamed("id", "doc_id"), "doc_id")
     placed = Staged(placed, "placed")
     mixed = placed.df.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    mixed = mixed.select("key", F.col("top.component").alias("top"))
-    left = placed.df.join(mixed, "key").where("component <> top").alias("x")
+    mixed = Staged(mixed.select("key", F.col("top.component").alias("top")), "mixed").df
+    left = Staged(placed.df.join(mixed, "key").where("component <> top"), "left").df.alias("x")
     both_ways = (F.col("y.component") == F.col("x.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))  # else each comes twice
     rest = left.join(placed.df.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & both_ways & alike("x", "y", "cross") & once)
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).join(star.df, ["a", "b"], "left_anti")
