@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +118,17 @@ def word_count(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the Python worker gives freed memory back: idle workers stay beside the JVM for long."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return outer
+
+
 def batches_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in frames if b.num_rows)
 

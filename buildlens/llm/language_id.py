@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import batches_of, mix, odd_constants, raw, small_batches
+from buildlens.llm.common import batches_of, mix, odd_constants, raw, small_batches, tidied
 
 ORDERS, BUCKETS, SAMPLE, PENALTY, RULED_OUT, CACHE = (1, 2, 3, 4), 1 << 17, 4_000, 6.0, -8.0, 250_000
 #: First and last code points of scripts (fixed values of Unicode blocks); anything else is script 0.
@@ -208,10 +208,10 @@ class Labeller:
 
 def fit(learn: DataFrame) -> Model:
     """From (text, lang)."""
-    return Model(learn.mapInArrow(_learn, "lang string, kind int, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow())
+    return Model(learn.mapInArrow(tidied(_learn), "lang string, kind int, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow())
 
 
-def _in_parts(texts: list[bytes | None], most: int = 16_000_000) -> Iterator[tuple[int, int]]:
+def _in_parts(texts: list[bytes | None], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, t in enumerate(texts):
         if i > start and held + len(t or b"") > most:
@@ -223,7 +223,7 @@ def _in_parts(texts: list[bytes | None], most: int = 16_000_000) -> Iterator[tup
 
 
 def learned(docs: DataFrame, sample: int, id_col: str, text_col: str, lang_col: str, folds: int, held_out_fold: int) -> Model:
-    usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) != held_out_fold)
+    usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).where(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) != held_out_fold)
     ids = usable.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     drawn = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id")  # `sample` numbers at most
     return fit(drawn.select("text", "lang"))
@@ -256,7 +256,7 @@ def languages(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, s
 
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return held.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<start: long, stop: long, lang: string>>" * spans)
+    return held.mapInArrow(tidied(label), "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<start: long, stop: long, lang: string>>" * spans)
 
 
 def drop_unidentified(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out_fold: int = 1) -> DataFrame:
@@ -276,4 +276,4 @@ def drop_unidentified(docs: DataFrame, sample: int = SAMPLE, penalty: float = PE
                 known = [not shared.value.languages or x[0] != "und" for x in labeller(texts[i:j])]
                 yield b.slice(i, j - i).filter(pa.array(known, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidied(keep), docs.schema)

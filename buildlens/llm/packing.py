@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import batches_of, raw, small_batches
+from buildlens.llm.common import batches_of, raw, small_batches, tidied
 
 MAX_TOKENS, MAX_SEGMENTS, HELD, MIN_PIECE, END_ID = 2048, 64, 512, 16, 1
 
@@ -140,7 +140,7 @@ class WordTokens:
     word_bpe_49k.json does). Runs of Latin letters go to the merges alone, many at a time.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.most = load_tokenizer(path), most
@@ -256,4 +256,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
             yield out()
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return held.mapInArrow(run, _SCHEMA + ", ids array<int>" * ids)
+    return held.mapInArrow(tidied(run), _SCHEMA + ", ids array<int>" * ids)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import Staged, batches_of, raw, small_batches
+from buildlens.llm.common import Staged, batches_of, raw, small_batches, tidied
 
 KINDS = ("assign", "access", "hex", "owned")
 _either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -89,7 +89,7 @@ def scan_secrets(docs: DataFrame, most_owners: int = 1, id_col: str = "doc_id",
     small_batches(docs.sparkSession)
     repository = F.col(repository_col or id_col).cast("string")
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.col(owner_col).cast("string").alias("owner"), repository.alias("repository")).alias("owner"), F.col(text_col).alias("text"))
-    found = held.mapInArrow(_found, "doc_id long, owner struct<owner: string, repository: string>, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start: long, kind: int, stop: long, value: long>>")
+    found = held.mapInArrow(tidied(_found), "doc_id long, owner struct<owner: string, repository: string>, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start: long, kind: int, stop: long, value: long>>")
     rows = Staged(found.withColumn("rid", F.monotonically_increasing_id()), "secrets").df
     each = rows.where(F.size("found") > 0).select("rid", "owner.*", F.explode("found").alias("span"))
     each = each.withColumn("value", F.col("span.value"))

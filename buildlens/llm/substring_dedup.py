@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.bloom import probe_ids
-from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, release, small_batches
+from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, release, small_batches, tidied
 
 #: A group or block of 100,000 or 20,000 suffixes takes some 100 or 20 MB with its trees.
 PREFIX, WINDOW, GROUP_ROWS, BLOCK_ROWS = 10, 50, 100_000, 20_000
@@ -209,7 +209,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROU
     """For docs (doc_id, tag, text): the scanned rows with `copy` (a whole copy of a smaller document), and
     (doc_id, tag, spans array<struct<start, stop>>) of the word spans to remove from the others."""
     spark = docs.sparkSession
-    scanned = Staged(docs.mapInArrow(_scan(window), "doc_id long, tag long, n long, sha binary, anchors array<long>"), "scan").df
+    scanned = Staged(docs.mapInArrow(tidied(_scan(window)), "doc_id long, tag long, n long, sha binary, anchors array<long>"), "scan").df
     long = scanned.where(F.col("doc_id").isNotNull() & (F.col("n") >= window))
     classes = Staged(long.groupBy("sha").agg(F.min("doc_id").alias("least")), "classes").df
     marked = scanned.join(classes, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
@@ -221,12 +221,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROU
     chosen = Staged(chosen, "chosen")
     release(spark)
     possible = probe_ids(docs, chosen.df.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.*")
-    around = possible.join(chosen.df, ["doc_id", "tag"]).select("doc_id", "tag", "text", "chosen").mapInArrow(_contexts(window), _CONTEXT)
+    around = possible.join(chosen.df, ["doc_id", "tag"]).select("doc_id", "tag", "text", "chosen").mapInArrow(tidied(_contexts(window)), _CONTEXT)
     contexts = Staged(around, "contexts")
     chosen.drop()
     release(spark)
     cold = contexts.df.where("not hot").drop("hot", "h").repartition("g").sortWithinPartitions("g")
-    spans = cold.mapInArrow(_trees(window, block_rows), "doc_id long, tag long, start int, stop int")
+    spans = cold.mapInArrow(tidied(_trees(window, block_rows)), "doc_id long, tag long, start int, stop int")
     hot = contexts.df.where("hot").select("g", "h", "doc_id", "tag", "start")
     least = Staged(hot.groupBy("g", "h").agg(F.min("doc_id").alias("least")), "least").df
     deep = hot.join(least, ["g", "h"]).where("doc_id > least").select("doc_id", "tag", "start", (F.col("start") + window).alias("stop"))
@@ -251,7 +251,7 @@ def drop_repeated_substrings(docs: DataFrame, window: int = WINDOW, id_col: str
     marked, spans = repeated_spans(held, window, group_rows)
     possible = probe_ids(held, spans.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.*")
     cut = possible.join(spans, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
-    cut = Staged(cut.mapInArrow(_cut(texts), "doc_id long, tag long, n_removed long, kept_sha256 string, kept_text string"), "cut").df.dropDuplicates(["doc_id", "tag"])
+    cut = Staged(cut.mapInArrow(tidied(_cut(texts)), "doc_id long, tag long, n_removed long, kept_sha256 string, kept_text string"), "cut").df.dropDuplicates(["doc_id", "tag"])
     nothing = hashlib.sha256(b"").hexdigest()
     out = marked.join(cut, ["doc_id", "tag"], "left")
     return out.select(

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import batches_of, mix, odd_constants, raw, small_batches
+from buildlens.llm.common import Staged, batches_of, mix, odd_constants, raw, small_batches, tidied
 
 ORDERS, BUCKETS, FEATURES, SAMPLE = (3, 4, 5, 6), 1 << 20, 1 << 12, 12_000
 _STEP = 1 << 20
@@ -80,7 +80,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, n: int, scale: np.ndarray,
 def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = FEATURES, l2: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
     """A weight for each bucket and a bias, from labelled (text, y, key): y is 0 or 1, key orders the sample."""
     drawn = labelled.select("text", F.col("y").cast("int").alias("y"))
-    counts = drawn.mapInArrow(_counts, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    counts = drawn.mapInArrow(tidied(_counts), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     f, n0, n1 = (counts.column(c).to_numpy() for c in ("f", "n0", "n1"))
     of = {r["y"]: r["count"] for r in drawn.groupBy("y").count().collect()}
     a, b = of.get(1, 0), of.get(0, 0)
@@ -92,7 +92,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = FEATURES, l2: flo
     best = best[often[best]]
     wanted, number = np.zeros(BUCKETS, bool), np.zeros(BUCKETS, np.int64)
     wanted[f[best]], number[f[best]] = True, np.arange(len(best))
-    rows = drawn.mapInArrow(_rows(wanted), "y int, f binary").toArrow()
+    rows = drawn.mapInArrow(tidied(_rows(wanted)), "y int, f binary").toArrow()
     y = rows.column("y").to_numpy().astype(float)
     w, b = _logistic([number[np.frombuffer(r, "<i4")] for r in rows.column("f").to_pylist()], y, len(best), ratio[best], l2, rounds)
     weights = np.zeros(BUCKETS, np.float32)
@@ -112,9 +112,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     usable = usable.where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)) != held_out_fold)
-    drawn = usable.orderBy(F.xxhash64("id"), "id").limit(sample)
+    drawn = Staged(usable.orderBy(F.xxhash64("id"), "id").limit(sample), "drawn").df
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    weights, bias = fit(held.join(F.broadcast(drawn), "id").select("text", "y"))  # `sample` rows of two numbers at most
+    # `sample` rows of two numbers at most are broadcast, and so many texts staged, as fitting reads them twice
+    chosen = Staged(held.join(F.broadcast(drawn), "id").select("text", "y"), "labelled")
+    weights, bias = fit(chosen.df)
+    chosen.drop()
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     known = bool(np.any(weights)) or drawn.head(1)
 
@@ -127,4 +130,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return out.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return out.mapInArrow(tidied(score), "doc_id long, held_out boolean, score double, predicted int")
