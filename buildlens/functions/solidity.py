@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.versions import parse_requirement
 
+# What compilers and tools of this language agree on.
 PRAGMA = r"pragma\s+solidity\s+(.+?);"
 LICENSE = r"///?\s*SPDX-License-Identifier:\s*(.+)"
 CONTRACT = r"\b(?:contract|library|abstract\s+contract|interface)\s+([\w$]+)"
 LIBRARY = r"\blibrary\s+([\w$]+)"
 VYPER_VERSION = r"#(?:pragma version|@version)\s+(.+)"
-_NAMED = r"(?:\w+(?:\s+as\s+\w+)?|\*\s+as\s+\w+|\{\s*(?:\w+(?:\s+as\s+\w+)?(?:\s*,\s*)?)+\s*\})\s+from\s+"
-IMPORT = r"import\s+(?:(?:\"(.*)\"|'(.*)')(?:\s+as\s+\w+)?|" + _NAMED + r"(?:\"(.*)\"|'(.*)'))\s*;"
+IMPORT = r"import\s+(?:(?:\"(.*)\"|'(.*)')(?:\s+as\s+\w+)?|(?:(?:\w+(?:\s+as\s+\w+)?|\*\s+as\s+\w+|\{\s*(?:\w+(?:\s+as\s+\w+)?(?:\s*,\s*)?)+\s*\})\s+from\s+(?:\"(.*)\"|'(.*)')))\s*;"
 ALIAS = r"(?:(\w+)|\*|'|\")\s+as\s+(\w+)"
 VYPER_IMPORT = r"^\s*(?:from\s+(\.*)([\w.]*)\s+)?import\s+(\.*)([\w.]+)(?:\s+as\s+\w+)?\s*(?:#.*)?$"
 PUBLIC_FUNCTION = r"\bfunction\b[^;{]*\b(?:public|external)\b"
