@@ -536,3 +536,19 @@ def compile_jobs(spark, sources):
     jobs = sources.select("path", F.lit("Solidity").alias("language"), F.when(F.col("size") % 2 == 0, "0.8.0").otherwise("0.7.6").alias("version"), F.lit("default").alias("profile"))
     files = F.map_values(F.from_json(F.get_json_object("input", "$.sources"), "map<string, struct<content: string>>"))
     return job_inputs(jobs, sources).select("version", F.size(files).cast("long").alias("n_files"), F.aggregate(files, F.lit(0).cast("long"), lambda n, s: n + F.length(s["content"])).alias("n_chars"))
+
+
+def streamed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of sources by ten minutes, counted by a stream over the events that are there."""
+    from buildlens.streaming.watch import change_counts
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    versions_ = stream.select(F.concat(F.lit("src/F"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("at"))
+    name = f"buildlens_stream_{uuid.uuid4().hex[:8]}"
+    change_counts(versions_).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.unix_seconds("window.start").alias("start"), "versions")
+
+
+QUERIES["streamed_versions"] = streamed_versions
+ORACLE_SQL["streamed_versions"] = "SELECT CAST(floor(epoch(ts) / 600) AS BIGINT) * 600 AS start, count(*) AS versions FROM events GROUP BY 1"
