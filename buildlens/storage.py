@@ -35,3 +35,24 @@ class Written:
         except Exception:  # noqa: BLE001  the session is gone: nothing left to do
             return
         atexit.unregister(self.drop)
+
+
+class Growing:
+    """A table that grows by parts, each written once and never again."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.name, self.parts = name, [Written(first, name)]
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[p.path for p in self.parts])
+
+    @property
+    def last(self) -> DataFrame:
+        return self.parts[-1].df
+
+    def add(self, part: DataFrame) -> bool:
+        """Writes a further part; whether it has a row."""
+        self.parts.append(Written(part.select(*self.schema.names), self.name))
+        return bool(self.last.head(1))
