@@ -41,7 +41,7 @@ class Staged:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/buildlens/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(self.path)
+        df.write.option("parquet.block.size", str(32 << 20)).parquet(self.path)  # small row groups: less memory in writers
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
 
@@ -66,7 +66,7 @@ def raw(column: pa.Array) -> list[bytes | None]:
 class WordHash(dict):
     """64-bit hash of a word, remembered for up to `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -118,13 +118,27 @@ def word_count(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the Python worker gives freed memory back: idle workers stay beside the JVM for long."""
+#: What an operator keeps in a Python worker from task to task, by its name.
+KEPT: dict[str, dict] = {}
+
+
+def _give_back() -> None:
+    """Idle workers stay beside the JVM for long: freed memory goes back to the system."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, before which the worker drops what other operators have kept in it, and after which it gives memory back."""
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [name for name in KEPT if name != keeps]
+        for name in others:
+            del KEPT[name]
+        if others:
+            _give_back()
         yield from run(batches)
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
 
     return outer
 

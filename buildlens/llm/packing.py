@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import batches_of, raw, small_batches, tidied
+from buildlens.llm.common import KEPT, batches_of, raw, small_batches, tidied
 
 MAX_TOKENS, MAX_SEGMENTS, HELD, MIN_PIECE, END_ID = 2048, 64, 512, 16, 1
 
@@ -104,20 +104,20 @@ class Packer:
             return out
 
 
-_LOADED: dict[str, object] = {}
+def _kept(name: str) -> dict:
+    """What packing keeps in a Python worker: tokenizers, and ids of words by tokenizer."""
+    return KEPT.setdefault("packing", {}).setdefault(name, {})
 
 
 def load_tokenizer(path: str):
     """The tokenizer of a file, read once for each Python worker."""
-    if path not in _LOADED:
+    loaded = _kept("tokenizers")
+    if path not in loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
-
-
-_KNOWN: dict[str, dict[bytes, bytes]] = {}
+        loaded[path] = Tokenizer.from_file(path)
+    return loaded[path]
 
 
 #: By byte: ASCII letters and digits (lower case), and other printable ASCII characters.
@@ -144,15 +144,16 @@ class WordTokens:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.most = load_tokenizer(path), most
-        if path + "|merges" not in _LOADED:
+        loaded = _kept("merges")
+        if path not in loaded:
             bare = Tokenizer.from_file(path)
             bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
             ends = np.zeros(bare.get_vocab_size(), bool)
             ends[[i for t, i in bare.get_vocab().items() if t.endswith("</w>")]] = True
-            _LOADED[path + "|merges"] = bare, ends
-        self.bare, self.ends = _LOADED[path + "|merges"]
+            loaded[path] = bare, ends
+        self.bare, self.ends = loaded[path]
         self.letters = _byte_letters()
-        self.known = _KNOWN.setdefault(path, {})
+        self.known = _kept(f"words of {path}")
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -256,4 +257,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
             yield out()
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return held.mapInArrow(tidied(run), _SCHEMA + ", ids array<int>" * ids)
+    return held.mapInArrow(tidied(run, keeps="packing"), _SCHEMA + ", ids array<int>" * ids)
