@@ -128,15 +128,19 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _drop_others(keeps: str) -> None:
+    others = [name for name in KEPT if name != keeps]
+    for name in others:
+        del KEPT[name]
+    if others:
+        _give_back()
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, before which the worker drops what other operators have kept in it, and after which it gives memory back."""
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        others = [name for name in KEPT if name != keeps]
-        for name in others:
-            del KEPT[name]
-        if others:
-            _give_back()
+        _drop_others(keeps)  # by name: a nested function would take its own copy of KEPT to the worker
         yield from run(batches)
         _give_back()
 
