@@ -181,8 +181,8 @@ def dirty_files(spark, edges, sources):
     sources=SOURCES,
 )
 def ordered_dependencies(spark, edges, sources):
-    """Dependencies of some targets in the order for flattening."""
-    return graph.ordered_dependencies(edges, sources.where("size = 3 and id >= 3").select("path")).withColumn("place", F.col("place").cast("long"))
+    """Dependencies of every file in the order for flattening."""
+    return graph.ordered_dependencies(edges, sources.select("path")).withColumn("place", F.col("place").cast("long"))
 
 
 @_query("SELECT dst AS path, src AS importer FROM edges GROUP BY ALL", edges=EDGES)
@@ -420,8 +420,8 @@ def renamed_definitions(spark, trees):
 
 @_query(None, edges=EDGES, sources=SOURCES)
 def flattened_sources(spark, edges, sources):
-    """Some targets in one text with all that they import."""
-    return edits.flatten(sources, edges, sources.where("size = 3 and id >= 3").select("path"))
+    """Every file in one text with all that it imports."""
+    return edits.flatten(sources, edges, sources.select("path"))
 
 
 @_query(None, artifacts=ARTIFACTS)
