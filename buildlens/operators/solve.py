@@ -74,16 +74,24 @@ def chosen_versions(candidates: DataFrame) -> DataFrame:
         return own.select("path", "v")
     rank = lambda c: (c["installed"], tuple(c["v"]))
     common = set.intersection(*[{rank(c) for c in r["candidates"]} for r in sets])
-    taken: dict[tuple, None] = {}
-    rows = []
+    taken: list[tuple] = []  # (path from which on it is chosen, version): new ones come at the first path of a set only
     for r in sets:
         able = {rank(c) for c in r["candidates"]}
-        pick = max(common) if common else max((x for x in taken if x in able), default=max(able))
-        taken[pick] = None
-        rows.append((r["candidates"], list(pick[1])))
+        if common:
+            taken = [(sets[0]["first"], max(common))]
+        elif not any(x in able for _, x in taken):
+            taken.append((r["first"], max(able)))
+    rows = []
+    for r in sets:
+        able, steps = {rank(c) for c in r["candidates"]}, []
+        for since, x in taken:
+            if x in able and (not steps or x > steps[-1][1]):
+                steps.append((since, x))
+        rows.append((r["candidates"], [(since, list(x[1])) for since, x in steps]))
     spark = candidates.sparkSession
-    plan = spark.createDataFrame(rows, own.select("candidates", "v").schema)
-    return own.select("path", "candidates").join(plan, "candidates").select("path", "v")
+    plan = spark.createDataFrame(rows, f"candidates {own.schema['candidates'].dataType.simpleString()}, steps array<struct<since: string, v: array<int>>>")
+    chosen = F.element_at(F.filter("steps", lambda s: s["since"] <= F.col("path")), -1)
+    return own.select("path", "candidates").join(plan, "candidates").select("path", chosen["v"].alias("v"))
 
 
 def compatible_profiles(restrictions: DataFrame, edges: DataFrame, inputs: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -441,10 +441,10 @@ def conflict_free_files(spark, artifacts):
     edges=EDGES,
 )
 def solved_versions(spark, sources, edges):
-    """A version for every input, by what it and its imports demand."""
+    """A version for every file that can have one, by what it and its imports demand."""
     v = spark.createDataFrame([(list(x),) for x in _INSTALLED], "v array<int>")
     reqs = sources.select("path", solidity.version_requirement(F.col("content")).alias("requirement"))
-    got = solve.chosen_versions(solve.compatible_versions(reqs, edges, sources.where("id < 3 or size % 5 in (0, 1)").select("path"), solve.available_versions(v)))
+    got = solve.chosen_versions(solve.compatible_versions(reqs, edges, sources.select("path"), solve.available_versions(v)))
     return got.select("path", F.array_join(F.col("v").cast("array<string>"), ".").alias("version"))
 
 

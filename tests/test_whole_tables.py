@@ -17,7 +17,7 @@ def path(k):
 def parts(spark, tmp_path_factory):
     """(folder, rows): a part table whose files all are targets and inputs."""
     rng = random.Random(5)
-    rows = [(k, rng.randrange(1, 51), f"Brand#{rng.randrange(9)}") for k in range(1, N + 1)]
+    rows = [(k, 1 + 5 * rng.randrange(10) if k < 18 else rng.randrange(1, 51), f"Brand#{rng.randrange(9)}") for k in range(1, N + 1)]
     folder = str(tmp_path_factory.mktemp("parts"))
     spark.createDataFrame(rows, "p_partkey long, p_size int, p_brand string").write.parquet(f"{folder}/part.parquet")
     return folder, rows
@@ -70,3 +70,30 @@ def test_flattened_sources_of_every_file(spark, parts):
         head.append(f"pragma solidity {' '.join(sorted({p for _, s, _ in files for p in pragma[s % 5].split()}))};")
         bodies = [x for i, s, b in files for x in (f"contract {b.replace('#', '_')} {{}}", f"library L{i} {{ function f() {'public' if s % 2 == 0 else 'internal'} {{}} }}")]
         assert [x for x in got[path(k)].split("\n") if x] == head + bodies
+
+
+def test_solved_versions_of_every_file(spark, parts):
+    from buildlens.plans.queries import _INSTALLED
+
+    folder, rows = parts
+    fits = [lambda b, c: b == 8, lambda b, c: b in (7, 8), lambda b, c: (b, c) == (8, 19), lambda b, c: b == 8 and c >= 4, lambda b, c: b == 7 and c >= 5]
+    reach, size = closures(), {path(k): s for k, s, _ in rows}
+    able = {path(k): {v for v in _INSTALLED if all(fits[size[n] % 5](*v[1:]) for n in reach[path(k)] if n in size)} for k, *_ in rows}
+    able = {p: a for p, a in able.items() if a}
+    assert not set.intersection(*able.values()) and len({size[p] % 5 for p in able}) == 5
+    taken, want = set(), {}
+    for p in sorted(able):
+        want[p] = max(able[p] & taken or able[p])
+        taken.add(want[p])
+    got = {r["path"]: r["version"] for r in QUERIES["solved_versions"](spark, folder).collect()}
+    assert got == {p: ".".join(map(str, v)) for p, v in want.items()}
+
+
+def test_versions_in_turn_by_file(spark):
+    """A file may take what was chosen after the first file of its candidate set."""
+    from buildlens.operators.solve import chosen_versions
+
+    sets = [("a", [1]), ("b", [1, 2, 3]), ("c", [3]), ("d", [1, 2, 3])]
+    rows = [(p, [([0, 8, x], True) for x in xs]) for p, xs in sets]
+    c = spark.createDataFrame(rows, "path string, candidates array<struct<v: array<int>, installed: boolean>>")
+    assert {r["path"]: r["v"][2] for r in chosen_versions(c).collect()} == {"a": 1, "b": 1, "c": 3, "d": 3}
