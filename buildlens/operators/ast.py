@@ -28,7 +28,7 @@ def _nodes(tree: dict) -> Iterator[tuple]:
         if isinstance(value, dict):
             inner, below = parent, depth
             if "nodeType" in value:
-                plain = {k: v for k, v in value.items() if not isinstance(v, (dict, list))}
+                plain = {k: v for k, v in value.items() if k == "exportedSymbols" or not isinstance(v, (dict, list))}
                 yield (place, value.get("id"), parent, depth, value["nodeType"], value.get("name"), *_location(value.get("src")), value.get("referencedDeclaration"), contract, json.dumps(plain))
                 place += 1
                 inner, below = value.get("id"), depth + 1
@@ -41,7 +41,7 @@ def _nodes(tree: dict) -> Iterator[tuple]:
 def walk(trees: DataFrame, path_col: str = "path", ast_col: str = "ast") -> DataFrame:
     """One row per node of JSON trees: NODE_SCHEMA, with `place` the node's place in a walk from the top.
 
-    attributes has the plain attributes as JSON, for `attribute`. Null and unreadable trees have no nodes.
+    attributes has the plain attributes and exportedSymbols as JSON, for `attribute`. Null and unreadable trees have no nodes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,13 +52,58 @@ def renamed_definitions(nodes: DataFrame, places: DataFrame) -> DataFrame:
     return rows.select("id", "name", F.when(n > 1, F.concat("name", F.lit("_"), i.cast("string"))).otherwise(F.col("name")).alias("new_name"), "path", "start")
 
 
+def reference_places(nodes: DataFrame) -> DataFrame:
+    """(path, referenced, start, end) of references by name; of a member access, its last name alone."""
+    from buildlens.operators.ast import attribute
+
+    rows = nodes.where(F.col("referenced").isNotNull() & F.col("node_type").isin("Identifier", "IdentifierPath", "UserDefinedTypeName", "MemberAccess"))
+    end = F.col("start") + F.col("length")
+    member = F.octet_length(attribute(F.col("attributes"), "memberName", "string"))
+    return rows.select("path", "referenced", F.when(F.col("node_type") == "MemberAccess", end - member).otherwise(F.col("start")).alias("start"), end.alias("end")).where("start is not null")
+
+
+def member_edits(nodes: DataFrame, renamed: DataFrame) -> DataFrame:
+    """Edits of references to what contracts define, as Parent.Child by the parent's new name.
+
+    References by the bare name are within the contract or its heirs, and stay.
+    """
+    from buildlens.operators.ast import contract_level_definitions
+
+    children = contract_level_definitions(nodes).join(renamed.select(F.col("id").alias("contract_id"), "new_name"), "contract_id")
+    children = children.select(F.col("id").alias("referenced"), "name", F.concat_ws(".", "new_name", "name").alias("text"))
+    rows = reference_places(nodes).join(children, "referenced").where(F.col("end") - F.col("start") != F.octet_length("name"))
+    return rows.select("path", "start", "end", "text").distinct()
+
+
+def qualifier_removals(nodes: DataFrame) -> DataFrame:
+    """Edits that take out names of imported files, with the point that follows."""
+    imports = nodes.where("node_type = 'ImportDirective'").select(F.col("id").alias("referenced")).distinct()
+    return reference_places(nodes).join(imports, "referenced", "left_semi").select("path", "start", (F.col("end") + 1).alias("end"), F.lit("").alias("text")).distinct()
+
+
+def inheritdoc_edits(nodes: DataFrame, renamed: DataFrame, sources: DataFrame) -> DataFrame:
+    """Edits of the first @inheritdoc of each comment on a contract's members: the new name of what the file exports
+    by that name, or no tag where that is no known definition."""
+    owners = nodes.where((F.col("parent_id") == F.col("contract_id")) & F.col("node_type").isin("EventDefinition", "ErrorDefinition", "FunctionDefinition", "VariableDeclaration"))
+    docs = nodes.where("node_type = 'StructuredDocumentation'").select("path", F.col("parent_id").alias("id"), "start", "length").join(owners.select("path", "id"), ["path", "id"])
+    docs = docs.join(sources.select("path", "content"), "path")
+    doc = F.decode(F.substring(F.encode("content", "UTF-8"), F.col("start").cast("int") + 1, F.col("length").cast("int")), "UTF-8")
+    tag = r"(?s)^(.*?)(@inheritdoc *)(?=[^ ])([^ \n*/]*)"
+    parts = [F.regexp_extract(doc, tag, i) for i in (1, 2, 3)]
+    found = docs.where(F.regexp_like(doc, F.lit(tag))).select("path", (F.col("start") + F.octet_length(parts[0])).alias("tag_start"), F.octet_length(parts[1]).alias("size"), parts[2].alias("name"))
+    exported = nodes.where("node_type = 'SourceUnit'").select("path", F.explode(F.from_json(F.get_json_object("attributes", "$.exportedSymbols"), "map<string, array<long>>")).alias("name", "ids"))
+    names = exported.select("path", "name", F.get("ids", 0).alias("id")).join(renamed.select("id", "new_name"), "id").select("path", "name", "new_name")
+    rows = found.join(names, ["path", "name"], "left").withColumn("at", F.col("tag_start") + F.col("size"))
+    start = F.when(F.col("new_name").isNotNull(), F.col("at")).otherwise(F.col("tag_start"))
+    return rows.select("path", start.alias("start"), (F.col("at") + F.octet_length("name")).alias("end"), F.coalesce("new_name", F.lit("")).alias("text")).distinct()
+
+
 def rename_edits(nodes: DataFrame, renamed: DataFrame, sources: DataFrame) -> DataFrame:
     """Edits of all references to renamed definitions, and of the names where they are defined.
 
     A reference is given its definition's name even if that wasn't renamed: so aliases of imports resolve.
     """
-    refs = nodes.where(F.col("referenced").isNotNull() & F.col("node_type").isin("Identifier", "IdentifierPath", "UserDefinedTypeName"))
-    refs = refs.join(renamed.select(F.col("id").alias("referenced"), "new_name"), "referenced").select("path", "start", (F.col("start") + F.col("length")).alias("end"), F.col("new_name").alias("text")).distinct()
+    refs = reference_places(nodes).join(renamed.select(F.col("id").alias("referenced"), "new_name"), "referenced").select("path", "start", "end", F.col("new_name").alias("text")).distinct()
     own = renamed.where("name <> new_name").join(sources.select("path", "content"), "path")
     after = F.substring(F.encode("content", "UTF-8"), F.col("start").cast("int") + 1, F.octet_length(F.encode("content", "UTF-8")))
     at = F.col("start") + F.octet_length(F.regexp_extract(F.decode(after, "UTF-8"), r"^((?:\w+\s+)+?)(?=[\w$]+\s*[\s{(;=])", 1))
@@ -67,11 +112,12 @@ def rename_edits(nodes: DataFrame, renamed: DataFrame, sources: DataFrame) -> Da
 
 
 def flattened_text(rows: DataFrame) -> DataFrame:
-    """(target, content) of rows (target, place, license, pragma, body): the target's licence, the combined pragma and
-    the bodies in order, with three or more newlines as two."""
+    """(target, content) of rows (target, place, license, pragma, body, perhaps abicoder): the target's licence, the
+    combined pragma, that of abicoder and the bodies in order, with three or more newlines as two."""
+    abicoder = F.first("abicoder") if "abicoder" in rows.columns else F.lit(None).cast("string")
     listed = F.array_sort(F.collect_list(F.struct("place", "body")))
-    out = rows.groupBy("target").agg(F.max_by("license", "place").alias("license"), F.first("pragma").alias("pragma"), F.array_join(F.transform(listed, lambda x: x["body"]), "\n").alias("bodies"))
-    head = F.concat_ws("\n", F.concat(F.lit("// SPDX-License-Identifier: "), "license"), F.concat(F.lit("pragma solidity "), "pragma", F.lit(";")))
+    out = rows.groupBy("target").agg(F.max_by("license", "place").alias("license"), F.first("pragma").alias("pragma"), abicoder.alias("abicoder"), F.array_join(F.transform(listed, lambda x: x["body"]), "\n").alias("bodies"))
+    head = F.concat_ws("\n", F.concat(F.lit("// SPDX-License-Identifier: "), "license"), F.concat(F.lit("pragma solidity "), "pragma", F.lit(";")), "abicoder")
     text = F.regexp_replace(F.concat_ws("\n", F.nullif(head, F.lit("")), "bodies"), "\n{3,}", "\n\n")
     return out.select("target", F.concat(F.regexp_replace(text, "^\n+|\n+$", ""), F.lit("\n")).alias("content"))
 
@@ -98,25 +144,30 @@ def flatten(sources: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFra
 
 
 def flatten_with_trees(sources: DataFrame, nodes: DataFrame, edges: DataFrame, target: str) -> DataFrame:
-    """(target, content) like flatten, by syntax trees: definitions of one name are told apart, references follow."""
+    """(target, content) like flatten, by syntax trees: definitions of one name are told apart, references follow.
+
+    Names of imported files go, members are named by their contract, and the first abicoder pragma is kept."""
     spark = sources.sparkSession
     order = ordered_dependencies(edges, spark.createDataFrame([(target,)], "path string"))
     own = nodes.join(order.select("path"), "path", "left_semi")
     renamed = renamed_definitions(own, order)
     edits = removals(own, "ImportDirective").unionByName(removals(own, "PragmaDirective")).unionByName(rename_edits(own, renamed, sources))
+    edits = edits.unionByName(member_edits(own, renamed)).unionByName(qualifier_removals(own)).unionByName(inheritdoc_edits(own, renamed, sources))
     edited = apply_edits(sources.join(order.select("path"), "path", "left_semi"), edits)
     license_line = r"(?m)^[^\n]*///?\s*SPDX-License-Identifier:[^\n]*\n?"
     rows = order.join(edited.select("path", F.concat(F.lit("// "), "path", F.lit("\n"), F.regexp_replace("content", license_line, "")).alias("body")), "path")
     facts = sources.select("path", F.nullif(F.regexp_extract("content", solidity.LICENSE, 1), F.lit("")).alias("license"), solidity.version_text(F.col("content")).alias("version"))
     rows = rows.join(facts, "path")
     pragma = rows.select(F.explode(F.split("version", r"[ ,]+")).alias("p")).where("p <> ''").agg(F.nullif(F.concat_ws(" ", F.array_sort(F.collect_set("p"))), F.lit("")).alias("pragma"))
-    return flattened_text(rows.select("target", "place", "license", "body").withColumn("pragma", pragma.scalar()))
+    rows = rows.join(process_pragmas(own.withColumn("target", F.lit(target)), sources, ["target"]), "target", "left")
+    return flattened_text(rows.select("target", "place", "license", "body", "abicoder").withColumn("pragma", pragma.scalar()))
 
 
-def process_pragmas(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, abicoder) the first abicoder or experimental pragma in walk order (by path and place: a fixed choice)."""
-    rows = nodes.where("node_type = 'PragmaDirective'").select(*by, "path", "place", F.get_json_object("attributes", "$.literals").alias("literals"))
-    return first_in_order(rows, by, ["path", "place"])
+def process_pragmas(nodes: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
+    """(by, abicoder) the first abicoder or experimental pragma as written (by path and place: a fixed choice)."""
+    text = F.decode(F.substring(F.encode("content", "UTF-8"), F.col("start").cast("int") + 1, F.col("length").cast("int")), "UTF-8")
+    rows = nodes.where("node_type = 'PragmaDirective'").join(sources.select("path", "content"), "path").select(*by, "path", "place", text.alias("abicoder"))
+    return first_in_order(rows.where(F.col("abicoder").rlike("experimental|abicoder")), by, ["path", "place"]).select(*by, "abicoder")
 
 
 def interface_edits(nodes: DataFrame) -> DataFrame:
