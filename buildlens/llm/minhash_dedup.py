@@ -31,10 +31,18 @@ SHINGLE, CHUNK_VALUES, SKETCH = 5, 6, 128
 
 
 def chunks_for(percent: int) -> int:
-    """So many chunks that a pair at the threshold shares no key once in 100,000 times (8 for 85, 11 for 80)."""
+    """So many chunks that a pair at the threshold shares no key once in 100,000 times (8 for 85, 11 for 80).
+
+    A ValueError for thresholds that need more chunks than the signature has values for (below about 70).
+    """
     p = percent / 100
     miss = 1 - p**CHUNK_VALUES - CHUNK_VALUES * (1 - p) * p ** (CHUNK_VALUES - 1)
-    return min(SKETCH // CHUNK_VALUES, max(1, math.ceil(math.log(1e-5) / math.log(miss)))) if 0 < miss < 1 else 1
+    if miss <= 0:
+        return 1
+    need = max(1, math.ceil(math.log(1e-5) / math.log(miss))) if miss < 1 else math.inf
+    if need > SKETCH // CHUNK_VALUES:
+        raise ValueError(f"a threshold of {percent} % needs {need} chunks; {SKETCH} values make {SKETCH // CHUNK_VALUES}")
+    return need
 
 
 def sketch_distance(percent: int) -> int:
