@@ -1,7 +1,8 @@
 """Bloom filters of bounded size, as broadcast tables of 64-bit words (DataFrame functions only).
 
-A filter has at most MAX_BITS bits, so its table has at most MAX_BITS / 64 rows, whatever the data. Beyond about
-MAX_BITS / 16 keys it lets more rows through than it need; those who use it always go on to an exact step.
+A filter has at most MAX_BITS bits, so its table has at most MAX_BITS / 64 rows, whatever the data. More keys than one
+filter holds are dealt by hash into ranges, each with a filter of its own: rows are written once by range, without a
+shuffle, and the ranges are probed in turn, so there is one broadcast filter at a time and as few rows pass as before.
 """
 
 from __future__ import annotations
@@ -21,6 +22,14 @@ def filter_bits(rows: int) -> int:
     return bits
 
 
+def ranges_for(rows: int) -> int:
+    """How many filters `rows` keys need."""
+    n = 1
+    while MAX_BITS * n < BITS_PER_ROW * rows:
+        n *= 2
+    return n
+
+
 def _positions(key, bits: int) -> tuple[F.Column, F.Column]:
     return key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1))
 
@@ -42,12 +51,38 @@ def mark_possible(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
     return out.withColumn("possible", found).drop(*[f"_{c}{i}" for c in "wmp" for i in range(2)])
 
 
+class Bloom:
+    """The filter of `rows` keys (one long column, key): of those that at least `least` rows have, none is missed."""
+
+    def __init__(self, keys: DataFrame, rows: int, least: int = 1):
+        self.ranges, self.least = ranges_for(rows), least
+        self.bits = filter_bits(-(-rows // self.ranges))
+        if self.ranges == 1:
+            self.words = Staged(filter_words(keys, self.bits, least), "bloom").df
+        else:
+            self.keys = Staged(keys.select("key", self._range()), "keys", by="_range").df
+
+    def _range(self):
+        return F.pmod(F.xxhash64(F.col("key"), F.lit(7)), F.lit(self.ranges)).cast("int").alias("_range")
+
+    def mark(self, rows: DataFrame) -> DataFrame:
+        """rows (with key) and `possible`. With several ranges they are written twice, range by range, and never shuffled."""
+        if self.ranges == 1:
+            return mark_possible(rows, self.words, self.bits)
+        held, parts = Staged(rows.select("*", self._range()), "ranges", by="_range"), []
+        for i in range(self.ranges):
+            words = Staged(filter_words(self.keys.where(F.col("_range") == i).select("key"), self.bits, self.least), "bloom")
+            parts.append(Staged(mark_possible(held.df.where(F.col("_range") == i).select(*rows.columns), words.df, self.bits), "marked"))
+            words.drop()
+        held.drop()
+        return rows.sparkSession.read.schema(parts[0].df.schema).parquet(*[p.path for p in parts])
+
+
 def probe_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """(row, id, possible) for each row of docs: whether its id may be among `ids` (one column, id; no row is missed)."""
-    bits = filter_bits(ids.count())
-    words = Staged(filter_words(ids.select(F.xxhash64("id").alias("key")), bits), "ids").df
+    bloom = Bloom(ids.select(F.xxhash64("id").alias("key")), ids.count())
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[id_col]).alias("key"))
-    return mark_possible(held, words, bits).drop("key")
+    return bloom.mark(held).drop("key")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,12 +1,18 @@
-"""Shared helpers: intermediate tables in the cluster's shared folder, Arrow batches, word hashes."""
+"""Shared helpers: intermediate tables in the cluster's shared folder, Arrow batches, word hashes.
+
+All operators treat texts whole: a text of any length that fits in a row is read from its first to its last character,
+one text at a time. Operators name the columns they read and rename them at once, so other columns may have any name.
+"""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +27,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder in spark.checkpoint.dir, or else the context's checkpoint folder. Without either, a local session
+    (tests, one machine) gets one of our own; on a cluster that is an error, as executors wouldn't share it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file:///tmp/checkpoints"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -31,19 +46,46 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+class staging:
+    """with staging() as tables: ... - drops what is staged within at the end, but for what tables.keep was given,
+    which an outer staging() holds then. Callers who have read a result give its tables back this way."""
+
+    open: ClassVar[list[staging]] = []
+
+    def __enter__(self) -> staging:
+        self.held: list[Staged] = []
+        self.open.append(self)
+        return self
+
+    def keep(self, table: Staged) -> Staged:
+        self.held.remove(table)
+        if len(self.open) > 1:
+            self.open[-2].held.append(table)
+        return table
+
+    def __exit__(self, *_) -> None:
+        self.open.remove(self)
+        for table in self.held:
+            table.drop()
+
+
 class Staged:
     """A table written once to the shared folder: cuts the lineage and survives lost executors.
 
-    drop() removes it as soon as no later plan reads it; what a returned DataFrame still reads goes when the
-    application ends.
+    drop() removes it as soon as no later plan reads it; what a returned DataFrame still reads goes with the caller's
+    staging(), or else when the application ends. by: a column that its folders are named by, so that one value's rows
+    are read alone.
     """
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/buildlens/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.option("parquet.block.size", str(32 << 20)).parquet(self.path)  # small row groups: less memory in writers
+        out = df.write.option("parquet.block.size", str(32 << 20))  # small row groups: less memory in writers
+        (out.partitionBy(by) if by else out).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
+        if staging.open:
+            staging.open[-1].held.append(self)
 
     def drop(self) -> None:
         try:
@@ -53,11 +95,6 @@ class Staged:
         atexit.unregister(self.drop)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that very long texts don't gather in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()
@@ -147,13 +184,10 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     return outer
 
 
-def batches_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in frames if b.num_rows)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer used, once their result is staged."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+def batches_of(frames: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of at most `rows` rows and some `size` bytes (or one row), so that long texts don't gather
+    in one. Cut here, in the worker: the session's own batch size stays as it is."""
+    for b in frames:
+        step = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from buildlens.llm import common
 
@@ -48,3 +49,64 @@ def test_staged_tables(spark):
     assert held.path.startswith(common.shared_dir(spark))
     held.drop()
     held.drop()
+
+
+def test_staging_drops_what_was_staged_within(spark):
+    with common.staging() as outer:
+        with common.staging() as tables:
+            a, b = common.Staged(spark.range(3), "a"), common.Staged(spark.range(4), "b")
+            tables.keep(b)
+        assert not there(spark, a.path)
+        assert b.df.count() == 4
+        assert outer.held == [b]
+    assert not there(spark, b.path)
+    assert not common.staging.open
+
+
+def there(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, _, default):
+            return default
+
+    class Gateway:
+        sc = lambda self: self
+        getCheckpointDir = lambda self: self
+        isDefined = lambda self: False
+
+    class Context:
+        _jsc, master = Gateway(), "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match=r"spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    Context.master = "local[4]"
+    assert common.shared_dir(Session).startswith("file:")
+    Context.master = "local-cluster[3,2,3000]"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 50 + ["y" * 100_000])], ["t"])
+    parts = list(common.batches_of([b], rows=20, size=10_000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b]))
+    assert max(p.num_rows for p in parts) <= 20
+    assert len(list(common.batches_of([b.slice(0, 0)]))) == 0
+    assert len(list(common.batches_of([b], rows=51, size=1 << 30))) == 1
+
+
+def test_operators_leave_the_session_as_it_is(spark):
+    from buildlens.llm import language_id, minhash_dedup
+
+    before = dict(spark.conf.getAll)
+    docs = spark.createDataFrame([(1, "a b", "en"), (2, "a b", "en")], "doc_id long, text string, lang string")
+    minhash_dedup.near_duplicates(docs).collect()
+    language_id.languages(docs).collect()
+    assert dict(spark.conf.getAll) == before
