@@ -3,13 +3,14 @@
 A document's signature is m chunks of six b-bit minhash values (b = 16); the distance of two signatures is the number
 of values that differ. By pigeonhole, two signatures at distance 2m - 1 or less have a chunk with at most one differing
 value. That error is enumerated: each chunk gives one key for each of its values, made of the other values, so chunks
-with at most one error share a key. Hence every pair within the distance shares a key (farther ones mostly do as well:
-m is such that a pair at the threshold of similarity shares none once in 100,000 times).
+with at most one error share a key. Hence every pair within the distance shares a key, for certain; farther ones mostly
+do as well: m is such that a pair at the threshold of similarity shares none once in a million times.
 
 Documents with equal shingle sets form one class, and only the classes' first documents get keys. Every key links its
-documents to the smallest one, its pivot; pairs that pass bounds on lengths and on shingles that no other candidate
-has, and a 128-bit sketch, are confirmed on full sets. Only documents of one key that are still in different components are then held against each other, without the
-key's largest component on one side. So copies are never expanded into pairs, and no link between components is lost.
+documents to the smallest one, its pivot; pairs that pass proven bounds, on lengths and on shingles that no other
+candidate has, are confirmed on full sets. Only documents of one key that are still in different components are then
+held against each other, without the key's largest component on one side. So copies are never expanded into pairs, and
+no candidate is dropped that could be a link.
 """
 
 from __future__ import annotations
@@ -24,36 +25,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.bloom import probe_ids, without_ids
-from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, small_batches, tidied
+from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, staging, tidied
 from buildlens.llm.components import connected_components
 
-SHINGLE, CHUNK_VALUES, SKETCH = 5, 6, 128
+SHINGLE, CHUNK_VALUES, MOST_VALUES, MISSED = 5, 6, 192, 1e-6
 
 
 def chunks_for(percent: int) -> int:
-    """So many chunks that a pair at the threshold shares no key once in 100,000 times (8 for 85, 11 for 80).
+    """So many chunks that a pair at the threshold shares no key once in 1 / MISSED times (10 for 85, 13 for 80).
 
-    A ValueError for thresholds that need more chunks than the signature has values for (below about 70).
+    A ValueError for thresholds that need more chunks than a signature may have values for (below about 70).
     """
     p = percent / 100
     miss = 1 - p**CHUNK_VALUES - CHUNK_VALUES * (1 - p) * p ** (CHUNK_VALUES - 1)
     if miss <= 0:
         return 1
-    need = max(1, math.ceil(math.log(1e-5) / math.log(miss))) if miss < 1 else math.inf
-    if need > SKETCH // CHUNK_VALUES:
-        raise ValueError(f"a threshold of {percent} % needs {need} chunks; {SKETCH} values make {SKETCH // CHUNK_VALUES}")
+    need = max(1, math.ceil(math.log(MISSED) / math.log(miss))) if miss < 1 else math.inf
+    if need > MOST_VALUES // CHUNK_VALUES:
+        raise ValueError(f"a threshold of {percent} % needs {need} chunks; {MOST_VALUES} values make {MOST_VALUES // CHUNK_VALUES}")
     return need
 
 
-def sketch_distance(percent: int) -> int:
-    """The distance of sketches that a pair at the threshold exceeds once in 10^7 times (28 of 128 bits for 85)."""
-    p, tail, d = (1 - percent / 100) / 2, 0.0, SKETCH
-    while d and tail + math.comb(SKETCH, d) * p**d * (1 - p) ** (SKETCH - d) <= 1e-7:
-        tail += math.comb(SKETCH, d) * p**d * (1 - p) ** (SKETCH - d)
-        d -= 1
-    return d
-
-
 def shingle_set(text: bytes | None, words: WordHash, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; with fewer words, of the whole sequence; empty without words."""
     tokens = text.lower().split() if text else []
@@ -72,37 +64,34 @@ def minima(shingles: np.ndarray, multipliers: np.ndarray, block: int = 2048) ->
 class Signer:
     def __init__(self, chunks: int):
         self.chunks, self.values = chunks, chunks * CHUNK_VALUES
-        self.multipliers = odd_constants(SKETCH, 11)
-        self.salts = odd_constants(SKETCH, 23)
+        self.multipliers = odd_constants(self.values, 11)
+        self.salts = odd_constants(self.values, 23)
         self.weights = odd_constants(self.values, 31).reshape(chunks, -1)
 
-    def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys (one for each value of each chunk), the sketch's two words, and the values, three in a word."""
+    def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (one for each value of each chunk), and the values, three in a word."""
         least = mix(minima(shingles, self.multipliers) ^ self.salts)
-        values = (least[: self.values] >> np.uint64(48)).reshape(self.chunks, -1)
+        values = (least >> np.uint64(48)).reshape(self.chunks, -1)
         packed = (values.reshape(-1, 3) << np.array([0, 16, 32], np.uint64)).sum(axis=1).view(np.int64)
         parts = (values + np.uint64(1)) * self.weights
-        keys = mix(parts.sum(axis=1, keepdims=True) - parts + self.salts[: self.values].reshape(self.chunks, -1))
-        sketch = np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
-        return keys.ravel().view(np.int64), sketch, packed
+        keys = mix(parts.sum(axis=1, keepdims=True) - parts + self.salts.reshape(self.chunks, -1))
+        return keys.ravel().view(np.int64), packed
 
 
 def _signatures(chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sign = WordHash(), Signer(chunks)
         for b in batches_of(batches):
-            n, hashes, s0, s1, keys, values = [], [], [], [], [], []
+            n, hashes, keys, values = [], [], [], []
             none = np.empty(0, np.int64)
             for text in raw(b.column(1)):
                 shingles = shingle_set(text, words)
                 n.append(len(shingles))
-                k, sketch, v = sign(shingles) if len(shingles) else (none, (0, 0), none)
+                k, v = sign(shingles) if len(shingles) else (none, none)
                 values.append(v)
                 hashes.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 keys.append(k)
-                s0.append(int(sketch[0]))
-                s1.append(int(sketch[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), lists(keys, pa.int64()), lists(values, pa.int64())], ["doc_id", "n", "set_hash", "s0", "s1", "keys", "values"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), lists(keys, pa.int64()), lists(values, pa.int64())], ["doc_id", "n", "set_hash", "keys", "values"])
 
     return run
 
@@ -140,16 +129,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     Words are runs between ASCII white space, A-Z lower-cased. Documents are linked when 100 * common shingles >=
     percent * shingles of both. Null texts and texts without words have no shingles and are linked with nothing.
     component_id is the smallest id reachable; kept marks the row whose own id that is. Rows with a null id are linked
-    with nothing and kept, with a null component_id. Rows that repeat an id share its component. An empty table gives
-    an empty result.
+    with nothing and kept, with a null component_id. Rows that repeat an id share its component. Texts of any length are
+    taken whole. An empty table gives an empty result. Other columns are ignored, whatever their names.
+
+    n_shingles counts distinct 64-bit hashes of shingles (two of a document's n collide once in 2^65 / n^2 documents).
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = Staged(docs.mapInArrow(tidied(_signatures(chunks_for(percent))), "doc_id long, n long, set_hash binary, s0 long, s1 long, keys array<long>, values array<long>"), "signatures").df
+    with staging() as tables:
+        sigs, classes, final = _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent)
+        for table in (sigs, classes, final):
+            tables.keep(table)
+    sigs, classes, final = sigs.df, classes.df, final.df
+    by_class = classes.join(final, "rep", "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id"))
+    found = sigs.where("n > 0 and doc_id is not null").select("doc_id", "n", "set_hash").join(by_class, "set_hash").select("doc_id", "n", "component_id")
+    alone = sigs.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _components(docs: DataFrame, percent: int) -> tuple[Staged, Staged, Staged]:
+    """Of docs (doc_id, text): signatures, the classes of equal sets with their first documents (set_hash, rep), and the
+    components of those that have a link (rep, component_id)."""
+    signed = Staged(docs.mapInArrow(tidied(_signatures(chunks_for(percent))), "doc_id long, n long, set_hash binary, keys array<long>, values array<long>"), "signatures")
+    sigs = signed.df
     some = sigs.where("n > 0 and doc_id is not null")
-    classes = Staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes").df
-    reps = some.join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi")
+    classes = Staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = some.join(classes.df.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi")
     keys = reps.select(F.posexplode("keys").alias("place", "key"), "doc_id")
     pivots = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").drop("last")
     pivots = Staged(pivots, "pivots").df  # here and below: so that Spark can split hot keys, each side has an exchange
@@ -159,18 +162,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sets = sets.mapInArrow(tidied(_sets), "id long, shingles array<long>").join(members.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     sets = Staged(sets, "sets")
     ids = members.select(F.col("doc_id").alias("id")).distinct()
-    facts = sigs.select(F.col("doc_id").alias("id"), "n", "s0", "s1", "values").join(ids, "id", "left_semi").dropDuplicates(["id"]).join(_shared_counts(sets.df), "id")
+    facts = sigs.select(F.col("doc_id").alias("id"), "n", "values").join(ids, "id", "left_semi").dropDuplicates(["id"]).join(_shared_counts(sets.df), "id")
     facts = Staged(facts, "facts").df
 
-    distance = sketch_distance(percent)
-
     def alike(a: str, b: str, shared: str) -> Column:
-        """Bounds that every linked pair meets (the sketch, all but certainly): common shingles are at most the fewer
-        shared ones of the two, and the union at least the rest."""
+        """Bounds that every linked pair meets: common shingles are at most the fewer shared ones of the two, and the
+        union at least the rest."""
         c = lambda side, name: F.col(f"{side}.{name}")
-        bits = F.bit_count(c(a, "s0").bitwiseXOR(c(b, "s0"))) + F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1")))
         most = F.least(c(a, shared), c(b, shared))
-        return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (most * 100 >= (c(a, "n") + c(b, "n") - most) * percent) & (bits <= distance)
+        return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (most * 100 >= (c(a, "n") + c(b, "n") - most) * percent)
 
     star = members.where("doc_id <> pivot").select("pivot", "doc_id").distinct()
     star = star.join(facts.alias("x"), F.col("pivot") == F.col("x.id")).join(facts.alias("y"), F.col("doc_id") == F.col("y.id")).where(alike("x", "y", "shared"))
@@ -216,16 +216,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     merged = connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     merged = Staged(merged, "merged").df
     final = lead.unionByName(merged.join(lead, "id", "left_anti").select("id", F.col("id").alias("component"))).alias("l").join(merged.select(F.col("id").alias("component"), F.col("component").alias("into")), "component", "left")
-    final = Staged(final.select(F.col("id").alias("rep"), F.coalesce("into", "component").alias("component_id")), "final").df
-    rest.drop()
-    star.drop()
-    by_class = classes.join(final, "rep", "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id"))
-    found = sigs.where("n > 0 and doc_id is not null").select("doc_id", "n", "set_hash").join(by_class, "set_hash").select("doc_id", "n", "component_id")
-    alone = sigs.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return signed, classes, Staged(final.select(F.col("id").alias("rep"), F.coalesce("into", "component").alias("component_id")), "final")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: that with the smallest id. Rules as in near_duplicates."""
-    judged = Staged(near_duplicates(docs, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("id")), "dropped").df
-    return without_ids(docs, judged, id_col)
+    with staging() as tables:
+        judged = tables.keep(Staged(near_duplicates(docs, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("id")), "dropped"))
+    return without_ids(docs, judged.df, id_col)
