@@ -1,15 +1,18 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
-Suffixes are sampled and split by a variable-length prefix. Every window of `window` words has an anchor: its
-PREFIX-word run with the smallest hash (the leftmost of equals). Equal windows have equal anchors at equal places, so
-it suffices to sort, for each anchor, the suffixes that begin at it. Anchors of a single document are dropped first.
-
-* An anchor with at most `group_rows` occurrences is one memory-sized group. Its suffixes are sorted with their
-  longest common prefixes, which is a suffix tree (the nodes at a depth are the runs with a common prefix that long);
-  the words before the anchor make a second tree. A window with l words before its anchor is a pair of a node at depth
-  l of the second and at depth window - l of the first: together, the deep nodes give the maximal repeats.
-* The suffixes of a more frequent anchor are split by the longest prefix there is, the whole window. Each group is then
-  one deep node, of which only the smallest document is needed: an aggregate, combined before the shuffle.
+The suffix tree is a sparse one. Every window of `window` words has an anchor: its PREFIX-word run with the smallest
+hash (the leftmost of equals). Equal windows have equal anchors at equal places, so it suffices to take the suffixes
+that begin at anchors, and to keep, for each, the words before it that its windows reach back to. Suffixes whose prefix
+only one document has are dropped first.
+
+* Suffixes are split by prefixes of variable length. A group begins with the anchor itself, PREFIX words. One of more
+  than `group_rows` suffixes is split in two: of its windows, those that reach back less share a longer prefix from the
+  anchor on, the others one that begins some words before it. So prefixes grow (10, 30, 40, 45 ... words) until a group
+  fits; a prefix as long as the window is a single deep node, of which only the smallest document is needed.
+* The suffixes of a group make a suffix tree, and the words before their anchors, read backwards, a second one. A window
+  with l words before its anchor belongs to a pair of nodes, at depth l of the second tree and window - l of the first.
+  Each such pair of deep nodes is a maximal repeat: the suffixes below both, for all l that lie on the nodes' edges. The
+  smallest document is found once for each, and the others lose its windows.
 
 Copies of a whole document are settled first, by their digest, and stay out of the trees.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.bloom import probe_ids
-from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, release, small_batches, tidied
+from buildlens.llm.common import Staged, WordHash, batches_of, gram_hashes, lists, mix, odd_constants, raw, staging, tidied
 
 #: A group or block of 100,000 or 20,000 suffixes takes some 100 or 20 MB with its trees.
 PREFIX, WINDOW, GROUP_ROWS, BLOCK_ROWS = 10, 50, 100_000, 20_000
@@ -43,10 +46,9 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return grams[at[first]], at[first], first, np.diff(np.r_[first, len(at)])
 
 
-def window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the windows at `starts`."""
-    rows = words[starts[:, None] + np.arange(window)]
-    return tuple(mix((rows * odd_constants(window, seed)).sum(axis=1)).view(np.int64) for seed in (5, 6))
+def run_hashes(words: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a run of words."""
+    return tuple(int(mix((words * odd_constants(len(words), seed)).sum(keepdims=True)).view(np.int64)[0]) for seed in (5, 6))
 
 
 def _scan(window: int):
@@ -64,50 +66,101 @@ def _scan(window: int):
     return run
 
 
-_CONTEXT = "hot boolean, g long, h long, doc_id long, tag long, start int, rel int, cnt int, words binary"
-_CONTEXT_TYPES = [("hot", pa.bool_()), ("g", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("rel", pa.int32()), ("cnt", pa.int32()), ("words", pa.binary())]
+_SUFFIX = "g long, h long, a int, b int, doc_id long, tag long, k int, start int"
+_CONTEXT = "g long, doc_id long, tag long, start int, rel int, cnt int, words binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _contexts(window: int):
-    """Of each document, the words around its chosen anchors; of frequent anchors, a hash for each window."""
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _over_chosen(window: int, schema: str, rows_of):
+    """For (doc_id, tag, text, chosen): the rows that rows_of gives for each chosen suffix and its anchor's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for b in batches_of(batches):
+        for b in batches_of(batches, 256):
             out: list[tuple] = []
             for doc, tag, text, chosen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2)), b.column(3).to_pylist(), strict=True):
                 words = text.split()
                 codes = hashes.of(words)
-                g, at, first, count = anchors(codes, window)
+                _, at, first, count = anchors(codes, window)
                 for c in chosen:
-                    k = c["k"]
-                    i, m = int(first[k]), int(count[k])
-                    if c["hot"]:
-                        starts = np.arange(i, i + m)
-                        out += [(True, x, y, doc, tag, int(s), 0, 1, None) for x, y, s in zip(*(v.tolist() for v in (*window_hashes(codes, starts, window), starts)), strict=True)]
-                    else:
-                        out.append((False, int(g[k : k + 1].view(np.int64)[0]), 0, doc, tag, i, int(at[k]) - i, m, b" ".join(words[i : i + m + window - 1])))
+                    place = int(at[c["k"]])
+                    # words that the windows have before the anchor: from the fewest to the most
+                    fewest, most = place - int(first[c["k"]]) - int(count[c["k"]]) + 1, place - int(first[c["k"]])
+                    out += rows_of(c, doc, tag, words, codes, place, fewest, most)
                 if len(out) >= 4096:
-                    yield _batch(out)
+                    yield _batch(out, schema)
                     out = []
             if out:
-                yield _batch(out)
+                yield _batch(out, schema)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _CONTEXT_TYPES, strict=True)], names=[n for n, _ in _CONTEXT_TYPES])
+def _longer_prefixes(window: int):
+    """Both halves of each chosen suffix's windows, a to b words before the anchor, by their common prefix."""
 
+    def rows_of(c, doc, tag, words, codes, place, fewest, most):
+        middle = (c["a"] + c["b"]) // 2
+        for a, b in ((c["a"], middle), (middle + 1, c["b"])):
+            if a <= most and fewest <= b:
+                yield (*run_hashes(codes[place - a : place - b + window]), a, b, doc, tag, c["k"], place - a)
 
-def _nodes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows (word codes), and the longest common prefix of each with the one before it."""
-    held = np.ascontiguousarray(rows.astype(">u4"))
-    order = held.view(f"S{4 * rows.shape[1]}").ravel().argsort(kind="stable")
-    ordered = rows[order]
-    differ = ordered[1:] != ordered[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-    return order, np.r_[0, lcp]
+    return _over_chosen(window, _SUFFIX, rows_of)
+
+
+def _contexts(window: int):
+    """Of each chosen suffix the words of its windows."""
+
+    def rows_of(c, doc, tag, words, codes, place, fewest, most):
+        fewest, most = max(fewest, c["a"]), min(most, c["b"])
+        yield (c["g"], doc, tag, place - most, most, most - fewest + 1, b" ".join(words[place - most : place - fewest + window]))
+
+    return _over_chosen(window, _CONTEXT, rows_of)
+
+
+class SuffixTree:
+    """The tree of rows of word codes, all cut to one depth: nodes with their depths and parents (node 0 is the root),
+    and the node at which each row ends, which equal rows share."""
+
+    def __init__(self, rows: np.ndarray):
+        width = rows.shape[1]
+        held = np.ascontiguousarray(rows.astype(">u4"))
+        order = held.view(f"S{4 * width}").ravel().argsort(kind="stable")
+        ordered = rows[order]
+        differ = ordered[1:] != ordered[:-1]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        depth, parent, path = [0, width], [0, 0], [0, 1]  # path: the nodes above the row at hand
+        ends = [1]
+        for shared in common.tolist():
+            if shared < width:
+                last = path[-1]
+                while depth[path[-1]] > shared:
+                    last = path.pop()
+                if depth[path[-1]] < shared:  # an inner node on the edge to the last one
+                    depth.append(shared)
+                    parent.append(path[-1])
+                    parent[last] = len(depth) - 1
+                    path.append(parent[last])
+                depth.append(width)
+                parent.append(path[-1])
+                path.append(len(depth) - 1)
+            ends.append(path[-1])
+        self.depth, self.parent = np.array(depth), np.array(parent)
+        self.ends = np.empty(len(rows), np.int64)
+        self.ends[order] = ends
+
+    def up(self, nodes: np.ndarray, depth: int) -> np.ndarray:
+        """For each node the highest one above it that is at least so deep: the one on whose edge that depth lies."""
+        while True:
+            above = (nodes != 0) & (self.depth[self.parent[nodes]] >= depth)
+            if not above.any():
+                return nodes
+            nodes = np.where(above, self.parent[nodes], nodes)
 
 
 def repeated_windows(texts: list[bytes], doc: np.ndarray, rel: np.ndarray, cnt: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,38 +173,34 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, rel: np.ndarray, cnt:
     code: dict[bytes, int] = {}
     flat = np.fromiter((code.setdefault(x, len(code) + 1) for w in words for x in w), np.uint32, size.sum())
     begin = np.r_[0, np.cumsum(size)[:-1]]
-    left_most = int(rel.max())
+    most = int(rel.max())
     place = rel[:, None] + np.arange(window)
-    right = np.where(place < size[:, None], flat[np.minimum(begin[:, None] + place, len(flat) - 1)], 0).astype(np.uint32)
-    right_order, right_lcp = _nodes(right)
-    if left_most:
-        place = rel[:, None] - 1 - np.arange(left_most)
-        left = np.where(place >= 0, flat[np.maximum(begin[:, None] + place, 0)], 0).astype(np.uint32)
-        left_order, left_lcp = _nodes(left)
+    after = SuffixTree(np.where(place < size[:, None], flat[np.minimum(begin[:, None] + place, len(flat) - 1)], 0).astype(np.uint32))
+    place = rel[:, None] - 1 - np.arange(max(1, most))
+    before = SuffixTree(np.where(place >= 0, flat[np.maximum(begin[:, None] + place, 0)], 0).astype(np.uint32))
+    lefts, node = np.empty((most + 1, len(doc)), np.int32), before.ends
+    for n in range(most, -1, -1):
+        node = before.up(node, n)
+        lefts[n] = node
     at, offsets = [], []
-    node_right, node_left = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-    for before in range(left_most + 1):  # words of the window that stand before the anchor
-        some = np.flatnonzero((rel - before >= 0) & (rel - before < cnt))
-        if len(some) < 2:
-            continue
-        node_right[right_order] = np.cumsum(right_lcp < window - before)
-        if before:
-            node_left[left_order] = np.cumsum(left_lcp < before)
-        node = node_right[some] * (len(doc) + 1) + node_left[some]
-        order = np.lexsort((doc[some], node))
-        node, ids = node[order], doc[some][order]
-        head = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        least = np.repeat(ids[head], np.diff(np.r_[head, len(node)]))
-        hit = some[order][ids > least]
+    least, right, was = np.full(len(doc), np.iinfo(np.int64).max), after.ends, np.full(len(doc), -1)
+    for n in range(most + 1):  # words of the window that stand before the anchor
+        right = after.up(right, window - n)
+        pair = np.where((rel >= n) & (rel - n < cnt), right * (len(before.depth) + 1) + lefts[n], -1)
+        fresh = np.flatnonzero((pair != was) & (pair >= 0))  # whole repeats, as their suffixes share all their windows
+        if len(fresh):
+            order = fresh[np.lexsort((doc[fresh], pair[fresh]))]
+            head = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]])
+            least[order] = np.repeat(doc[order][head], np.diff(np.r_[head, len(order)]))
+        hit = np.flatnonzero((pair >= 0) & (doc > least))
         at.append(hit)
-        offsets.append(rel[hit] - before)
-    if not at:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        offsets.append(rel[hit] - n)
+        was = pair
     return np.concatenate(at), np.concatenate(offsets)
 
 
 def _trees(window: int, block_rows: int):
-    """From contexts sorted by anchor: (doc_id, tag, start, stop) of the words that repeated windows cover."""
+    """From contexts sorted by group: (doc_id, tag, start, stop) of the words that repeated windows cover."""
 
     def spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
         doc, tag, start, rel, cnt = (table.column(c).to_numpy() for c in ("doc_id", "tag", "start", "rel", "cnt"))
@@ -168,13 +217,13 @@ def _trees(window: int, block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
-        for b in batches_of(batches):
+        for b in batches_of(batches, 8192):
             held.append(b)
             rows += b.num_rows
             if rows >= block_rows:
                 table = pa.Table.from_batches(held)
                 g = table.column("g").to_numpy()
-                whole = int(np.searchsorted(g, g[-1], "left"))  # the last anchor may go on in the next batch
+                whole = int(np.searchsorted(g, g[-1], "left"))  # the last group may go on in the next batch
                 if whole:
                     yield from spans(table.slice(0, whole))
                 held = table.slice(whole).to_batches()
@@ -205,36 +254,48 @@ def _cut(texts: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[Staged, Staged]:
     """For docs (doc_id, tag, text): the scanned rows with `copy` (a whole copy of a smaller document), and
     (doc_id, tag, spans array<struct<start, stop>>) of the word spans to remove from the others."""
-    spark = docs.sparkSession
     scanned = Staged(docs.mapInArrow(tidied(_scan(window)), "doc_id long, tag long, n long, sha binary, anchors array<long>"), "scan").df
     long = scanned.where(F.col("doc_id").isNotNull() & (F.col("n") >= window))
     classes = Staged(long.groupBy("sha").agg(F.min("doc_id").alias("least")), "classes").df
     marked = scanned.join(classes, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
-    marked = Staged(marked.select("doc_id", "tag", "n", "sha", "copy", F.when(~F.col("copy") & F.col("doc_id").isNotNull(), F.col("anchors")).alias("anchors")), "marked").df
-    places = marked.select("doc_id", "tag", F.posexplode("anchors").alias("k", "g"))
-    shared = places.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
-    shared = Staged(shared.select("g", (F.col("rows") > group_rows).alias("hot")), "shared").df
-    chosen = places.join(shared, "g").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("k", "hot")).alias("chosen"))
-    chosen = Staged(chosen, "chosen")
-    release(spark)
-    possible = probe_ids(docs, chosen.df.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.*")
-    around = possible.join(chosen.df, ["doc_id", "tag"]).select("doc_id", "tag", "text", "chosen").mapInArrow(tidied(_contexts(window)), _CONTEXT)
-    contexts = Staged(around, "contexts")
-    chosen.drop()
-    release(spark)
-    cold = contexts.df.where("not hot").drop("hot", "h").repartition("g").sortWithinPartitions("g")
-    spans = cold.mapInArrow(tidied(_trees(window, block_rows)), "doc_id long, tag long, start int, stop int")
-    hot = contexts.df.where("hot").select("g", "h", "doc_id", "tag", "start")
-    least = Staged(hot.groupBy("g", "h").agg(F.min("doc_id").alias("least")), "least").df
-    deep = hot.join(least, ["g", "h"]).where("doc_id > least").select("doc_id", "tag", "start", (F.col("start") + window).alias("stop"))
-    spans = spans.unionByName(deep).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = Staged(spans, "spans").df
-    contexts.drop()
-    release(spark)
-    return marked.drop("anchors"), spans
+    marked = Staged(marked.select("doc_id", "tag", "n", "sha", "copy", F.when(~F.col("copy") & F.col("doc_id").isNotNull(), F.col("anchors")).alias("anchors")), "marked")
+    group = ["g", "h", "a", "b"]
+
+    def shared(suffixes: DataFrame, name: str) -> DataFrame:
+        """(group, rows) of groups that several documents have."""
+        found = suffixes.groupBy(*group).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        return Staged(found.where("lo <> hi").select(*group, "rows"), name).df
+
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        """docs that have a chosen suffix, with all of theirs."""
+        listed = Staged(chosen.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("k", "a", "b", "g")).alias("chosen")), "chosen").df
+        possible = probe_ids(docs, listed.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.*")
+        return possible.join(listed, ["doc_id", "tag"]).select("doc_id", "tag", "text", "chosen")
+
+    suffixes = marked.df.select(F.posexplode("anchors").alias("k", "g"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("a"), F.lit(window - min(PREFIX, window)).alias("b"), "doc_id", "tag", F.lit(-1).alias("start"))
+    small, nodes = None, None
+    while True:
+        sizes = shared(suffixes, "groups")
+        fits = suffixes.join(sizes.where(F.col("rows") <= group_rows), group)
+        small = fits if small is None else small.unionByName(fits)
+        large = sizes.where(F.col("rows") > group_rows)
+        if not large.head(1):
+            break
+        split = Staged(texts_of(suffixes.join(large, group)).mapInArrow(tidied(_longer_prefixes(window)), _SUFFIX), "suffixes").df
+        whole = split.where("a = b")  # a prefix as long as the window
+        nodes = whole if nodes is None else nodes.unionByName(whole)
+        suffixes = split.where("a < b")
+    small = small.select("doc_id", "tag", "k", "a", "b", F.xxhash64(*group).alias("g"))
+    contexts = Staged(texts_of(small).mapInArrow(tidied(_contexts(window)), _CONTEXT), "contexts")
+    spans = contexts.df.repartition("g").sortWithinPartitions("g").mapInArrow(tidied(_trees(window, block_rows)), "doc_id long, tag long, start int, stop int")
+    if nodes is not None:
+        least = Staged(nodes.groupBy(*group).agg(F.min("doc_id").alias("least")), "least").df
+        spans = spans.unionByName(nodes.join(least, group).where("doc_id > least").select("doc_id", "tag", "start", (F.col("start") + window).alias("stop")))
+    spans = Staged(spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    return marked, spans
 
 
 def drop_repeated_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, texts: bool = True) -> DataFrame:
@@ -242,18 +303,21 @@ def drop_repeated_substrings(docs: DataFrame, window: int = WINDOW, id_col: str
 
     Every word covered by a window of `window` consecutive words that also starts in a document with a smaller id is
     removed; windows are judged on the input. kept_text has the kept words joined by one space; it is null where nothing
-    is removed (the text stays as it is) and empty where nothing is left; without `texts` it is null or empty. Words are runs between ASCII white space. A
-    null text has no words. Rows with a null id keep everything and are no other row's smaller document; rows that
-    repeat an id count as one document. An empty table gives an empty result.
+    is removed (the text stays as it is) and empty where nothing is left; without `texts` it is null or empty. Words are
+    runs between ASCII white space. A null text has no words; texts of any length are read whole. Rows with a null id
+    keep everything and are no other row's smaller document; rows that repeat an id count as one document. An empty
+    table gives an empty result. Other columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession, 256)
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
-    marked, spans = repeated_spans(held, window, group_rows)
-    possible = probe_ids(held, spans.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.*")
-    cut = possible.join(spans, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
-    cut = Staged(cut.mapInArrow(tidied(_cut(texts)), "doc_id long, tag long, n_removed long, kept_sha256 string, kept_text string"), "cut").df.dropDuplicates(["doc_id", "tag"])
+    with staging() as tables:
+        marked, spans = repeated_spans(held, window, group_rows)
+        possible = probe_ids(held, spans.df.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.*")
+        cut = possible.join(spans.df, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
+        cut = Staged(cut.mapInArrow(tidied(_cut(texts)), "doc_id long, tag long, n_removed long, kept_sha256 string, kept_text string"), "cut")
+        tables.keep(marked), tables.keep(cut)
+    cut = cut.df.dropDuplicates(["doc_id", "tag"])  # rows that repeat an id and a text are cut alike
     nothing = hashlib.sha256(b"").hexdigest()
-    out = marked.join(cut, ["doc_id", "tag"], "left")
+    out = marked.df.join(cut, ["doc_id", "tag"], "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_words"),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from buildlens.llm import minhash_dedup, substring_dedup
+from buildlens.llm.common import WordHash
 from buildlens.llm.components import connected_components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -96,9 +97,35 @@ def test_near_edge_cases(spark):
 
 
 def test_plan_follows_the_threshold():
-    assert (minhash_dedup.chunks_for(85), minhash_dedup.chunks_for(80), minhash_dedup.chunks_for(100)) == (8, 11, 1)
-    assert minhash_dedup.sketch_distance(85) < minhash_dedup.sketch_distance(80) < 50
-    assert minhash_dedup.sketch_distance(100) == 0
+    assert (minhash_dedup.chunks_for(85), minhash_dedup.chunks_for(80), minhash_dedup.chunks_for(100)) == (10, 13, 1)
+
+
+def test_every_pair_within_the_distance_shares_a_key():
+    """Signatures of m chunks at distance 2m - 1 at most: by pigeonhole a chunk has one error at most, so a key is shared."""
+    rng = random.Random(3)
+    sign = minhash_dedup.Signer(4)
+    sets = [minhash_dedup.shingle_set(edited(rng, [f"w{k}" for k in range(200)], rng.randrange(12)).encode(), WordHash()) for _ in range(60)]
+    signed = [sign(s) for s in sets]
+    lanes = lambda packed: [(int(v) >> lane) & 0xFFFF for v in packed for lane in (0, 16, 32)]
+    near = 0
+    for i in range(60):
+        for j in range(i):
+            distance = sum(a != b for a, b in zip(lanes(signed[i][1]), lanes(signed[j][1]), strict=True))
+            if distance <= 7:
+                near += 1
+                assert set(signed[i][0].tolist()) & set(signed[j][0].tolist())
+    assert near > 100
+
+
+def test_no_bound_drops_a_pair_that_is_a_link(spark):
+    """Many pairs at exactly the threshold: 85 shingles of 100 in common."""
+    data = []
+    for i in range(60):
+        shared = [f"s{i}_{k}" for k in range(89)]
+        data += [(2 * i, " ".join([*shared, *[f"a{i}_{k}" for k in range(7)]])), (2 * i + 1, " ".join([*shared, *[f"b{i}_{k}" for k in range(8)]]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs_of(spark, data), 85).collect()}
+    assert got == brute_near(data, 85)
+    assert sum(kept for _, _, kept in got.values()) == 60
 
 
 def brute_cut(data, window):
@@ -146,7 +173,7 @@ def test_substrings(spark, window, group_rows):
 def test_blocks_of_whole_groups(spark):
     data = substring_fixture()
     held = docs_of(spark, data).select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    spans = lambda rows: sorted((r["doc_id"], sorted({x for s in r["spans"] for x in range(s["start"], s["stop"])})) for r in substring_dedup.repeated_spans(held, 50, 100_000, rows)[1].collect())
+    spans = lambda rows: sorted((r["doc_id"], sorted({x for s in r["spans"] for x in range(s["start"], s["stop"])})) for r in substring_dedup.repeated_spans(held, 50, 100_000, rows)[1].df.collect())
     assert spans(1) == spans(20_000)
 
 
@@ -156,3 +183,34 @@ def test_substring_edge_cases(spark):
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.drop_repeated_substrings(d).collect())
     assert got == [(0, 60, 0), (2, 60, 0), (2, 60, 0), (3, 61, 60)]
     assert substring_dedup.drop_repeated_substrings(d.limit(0)).count() == 0
+
+
+def test_suffix_trees_have_the_nodes_of_all_common_prefixes():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = rng.integers(1, 3, size=(80, 7)).astype(np.uint32)
+    tree = substring_dedup.SuffixTree(rows)
+    held = [tuple(r) for r in rows.tolist()]
+    prefixes = {a[:n] for a in held for b in held for n in [next((k for k in range(7) if a[k] != b[k]), 7)]} - {()}
+    assert len(tree.depth) == 1 + len(prefixes)  # the root, inner nodes and ends
+    for depth in range(1, 8):
+        node = tree.up(tree.ends, depth)
+        assert len({(n, h[:depth]) for n, h in zip(node.tolist(), held, strict=True)}) == len({h[:depth] for h in held}) == len(set(node.tolist()))
+        assert (tree.depth[node] >= depth).all()
+        assert (tree.depth[tree.parent[node]] < depth).all()
+
+
+def test_prefixes_grow_until_groups_fit(spark):
+    """A passage that many documents share, in other surroundings each: its group is split by longer prefixes."""
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(70)]
+    data = [(i, " ".join([*[f"u{rng.random()}" for _ in range(60)], *passage, *[f"v{rng.random()}" for _ in range(60)]])) for i in range(40)]
+    docs = docs_of(spark, data).select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    chosen = docs.select("doc_id", "tag", "text", F.expr("array(named_struct('k', 3, 'a', 0, 'b', 40, 'g', 1L))").alias("chosen"))
+    split = chosen.mapInArrow(substring_dedup._longer_prefixes(50), substring_dedup._SUFFIX).collect()
+    assert {(r["a"], r["b"]) for r in split} <= {(0, 20), (21, 40)}
+    got = substring_dedup.drop_repeated_substrings(docs_of(spark, data), group_rows=3).collect()
+    want = brute_cut(data, 50)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == {i: v[:3] for i, v in want.items()}
+    assert sum(v[1] for v in want.values()) == 39 * 70
