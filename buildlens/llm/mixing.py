@@ -49,7 +49,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, most: int = MOST_REPEAT
     A source takes all its documents as often as its target allows and, in the order of md5(doc_id), the part that is
     left; where it ends inside a document, only that many words of it. The words taken are the target, rounded.
     first_position is null where nothing is taken. Null text has size 0, a null source is a source of its own, null
-    ids come first, repeated rows each count. Reruns agree: nothing depends on partitions. Empty tables stay empty.
+    ids come first, repeated rows each count, and texts of any length are counted whole. Reruns agree: nothing depends
+    on partitions. Empty tables stay empty. Other columns are ignored, whatever their names.
     """
     sized = Staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes").df
     per = source_targets(sized, weights, tilts, most)
@@ -81,14 +82,17 @@ def position(at, wanted, tilt) -> F.Column:
     return 2 * u / ((1 - tilt) + F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * u))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **how) -> DataFrame:
     """The mix itself: docs' rows, once for each time they are taken, range-sorted by training position.
 
-    A last, partial copy holds the text's first words, joined by one space; an n_chars column follows the text. Rows
-    that share an id share the decision of the first of them. Columns stay as they are.
+    A last, partial copy holds the text's first words, joined by one space; chars_col, if there is such a column, counts
+    its characters then. Rows that share an id share the decision of the one that starts first in its source's demand
+    (of equal ones, with the smallest size). Null and empty texts and empty sources are not taken. All other columns
+    stay as they are, whatever their names; an empty table stays empty.
     """
     plan = mixed(docs, id_col=id_col, text_col=text_col, **how).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), "size", "source_size", "taken", "start", "wanted", "tilt").dropDuplicates(["_id"])
+    plan = plan.select(F.col("doc_id").alias("_id"), "size", "source_size", "taken", "start", "wanted", "tilt")
+    plan = plan.groupBy("_id").agg(F.min(F.struct("start", "size", "source_size", "taken", "wanted", "tilt")).alias("p")).select("_id", "p.*")
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"))
     rows = held.join(plan, held["_id"].eqNullSafe(plan["_id"])).select("row", "size", "source_size", "taken", "start", "wanted", "tilt", plan["_id"])
     rows = rows.withColumn("copy", F.explode(F.expr("sequence(0L, (taken + size - 1) div size - 1)")))
@@ -98,5 +102,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("_text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col(f"row.{text_col}")))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(n, "position", "_id", "copy").sortWithinPartitions("position", "_id", "copy")
-    new = {text_col: F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    new = {text_col: F.col("_text")}
+    if chars_col in docs.columns:
+        new[chars_col] = F.length("_text").cast(dict(docs.dtypes)[chars_col])
     return rows.select(*[(F.when(F.col("words") < F.col("size"), new[c]).otherwise(F.col("row")[c]) if c in new else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -65,6 +65,33 @@ def test_bloom_never_misses_and_mostly_passes(spark):
     assert bloom.without_ids(spark.range(10).withColumnRenamed("id", "doc_id"), spark.range(3)).count() == 7
 
 
+def test_more_keys_than_a_filter_holds(spark, monkeypatch):
+    """With filters of 4,096 bits, 2,000 texts have 8 filters: results are whole, and most unique rows still pass through."""
+    monkeypatch.setattr(bloom, "MAX_BITS", 4096)
+    assert (bloom.ranges_for(256), bloom.ranges_for(2000)) == (1, 8)
+    d = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.when(F.col("id") < 100, F.col("id") % 50).otherwise(F.col("id"))).alias("text"), F.lit("x").alias("_range"))
+    rows = d.select("doc_id", F.xxhash64("text").alias("key"))
+    marked = bloom.Bloom(rows.select("key"), 2000, least=2).mark(rows)
+    assert marked.columns == ["doc_id", "key", "possible"]
+    assert marked.count() == 2000
+    assert marked.where("doc_id < 100 and not possible").count() == 0
+    assert marked.where("doc_id >= 100 and possible").count() < 0.1 * 1900
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(d).collect()}
+    assert got == {i: (i % 50, 2) if i < 100 else (i, 1) for i in range(2000)}
+    kept = exact_dedup.drop_exact_copies(d)
+    assert kept.columns == d.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(2000) if not 50 <= i < 100]
+    gone = bloom.without_ids(d, spark.range(0, 2000, 2))
+    assert sorted(r["doc_id"] for r in gone.collect()) == list(range(1, 2000, 2))
+
+
+def test_copies_with_one_id_leave_the_same_row_each_time(spark):
+    rows = [(1, "a b", c) for c in "zyxw"] + [(2, "a  b", "v")]
+    kept = {tuple(exact_dedup.drop_exact_copies(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, other string")).first()) for k in range(4)}
+    assert len(kept) == 1
+    assert next(iter(kept))[0] == 1
+
+
 def brute_url(url, rules=URL_RULES):
     at = (url or "").find("://")
     rest = url[at + 3 :] if url and at >= 0 else ""
@@ -100,6 +127,17 @@ def test_cascade_is_exact_with_tiny_filters(spark):
     assert sorted(r["key"] for r in got) == sorted(f"k{i}" for i in range(60))
 
 
+@pytest.mark.parametrize("bits", [64, 256])
+def test_cascade_ends_where_one_filter_would_be_full(spark, monkeypatch, bits):
+    monkeypatch.setattr(url_filters, "MAX_BITS", bits)
+    listed = spark.range(0, 300).select(F.concat(F.lit("k"), "id").alias("key"))
+    universe = spark.range(0, 900).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = url_filters.Cascade(listed, universe, bits_per_key=4, hashes=2)
+    assert cascade.levels[0].segments > 1
+    assert len(cascade.levels) < 20
+    assert sorted(r["key"] for r in universe.where(cascade.has(F.col("key"))).collect()) == sorted(f"k{i}" for i in range(300))
+
+
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -174,3 +212,14 @@ def test_mixed_documents(spark):
     for s, target in brute_targets(sizes).items():
         assert abs(words[s] - target) <= 1
     assert mixing.mixed_documents(d.limit(0)).count() == 0
+
+
+def test_mixing_repeated_ids_nulls_and_long_texts(spark):
+    data = [(1, "a b c", "s"), (1, "d e", "s"), (None, "f g", "s"), (2, None, "t"), (3, "", None), (4, "w " * 60_000, None)]
+    d = docs_of(spark, data).withColumns({"start": F.lit(1), "p": F.lit(2)})
+    first = sorted(map(str, mixing.mixed_documents(d).collect()))
+    assert first == sorted(map(str, mixing.mixed_documents(d.repartition(5)).collect()))
+    got = mixing.mixed_documents(d.drop("n_chars").withColumn("n_chars", F.lit("kept")), chars_col=None).collect()
+    assert {r["n_chars"] for r in got} == {"kept"}
+    assert {r["doc_id"] for r in got} <= {1, None, 4}
+    assert sum(len(r["text"].split()) for r in got if r["source"] is None) > 59_000
