@@ -2,9 +2,10 @@
 
 Patterns find the base spans: assignments, access keys and hexadecimal strings. Further candidates are long tokens of
 letters and digits that look random and lie outside the base spans. Every candidate's value is hashed, and the hashes
-are counted over the whole corpus by distinct repositories and owners. A value that more than `most_owners` owners
-have is a widely copied example; a value of one owner looks live. Live-looking candidates are added as spans of kind
-"owned"; base spans always stay, and are counted as live or example.
+are counted over the whole corpus by distinct repositories and by distinct owners. A value that more than `most_owners`
+owners have, or more than `most_repositories` repositories (be they all one owner's), is a widely copied example; one
+that few repositories of its owner have looks live. Live-looking candidates are added as spans of kind "owned"; base
+spans always stay, and are counted as live or example.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import Staged, batches_of, raw, small_batches, tidied
+from buildlens.llm.common import Staged, batches_of, raw, tidied
 
 KINDS = ("assign", "access", "hex", "owned")
 _either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -31,7 +32,7 @@ HEX = re.compile("[0-9a-f]{32,}")  # a run of 32 or more: shorter runs are dropp
 OWNED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _LONG_BYTES = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 _HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-MIN_BITS = 3.0
+MIN_BITS, MOST_OWNERS, MOST_REPOSITORIES = 3.0, 1, 10
 
 
 def bits_per_character(value: str) -> float:
@@ -77,16 +78,16 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
 
-def scan_secrets(docs: DataFrame, most_owners: int = 1, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     spans has kind:start:end of all base spans and of the added ones, by start and then kind, comma-joined; it is empty
-    where there are none. n_live and n_example count the base spans whose values at most, or more than, `most_owners`
-    owners have. A repository is a document unless a column is named. Null texts count as empty, a null owner or
-    repository as one of its own; repeated rows are judged each, but count once in the frequencies; an empty table
-    gives an empty result.
+    where there are none. n_live counts the base spans whose values at most `most_owners` owners and
+    `most_repositories` repositories have, n_example the others. A repository is a document unless a column is named.
+    Null texts count as empty, texts of any length are read whole, a null owner or repository counts as one of its own;
+    repeated rows are judged each, but count once in the frequencies; an empty table gives an empty result. Other
+    columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession)
     repository = F.col(repository_col or id_col).cast("string")
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.col(owner_col).cast("string").alias("owner"), repository.alias("repository")).alias("owner"), F.col(text_col).alias("text"))
     found = held.mapInArrow(tidied(_found), "doc_id long, owner struct<owner: string, repository: string>, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start: long, kind: int, stop: long, value: long>>")
@@ -97,7 +98,7 @@ def scan_secrets(docs: DataFrame, most_owners: int = 1, id_col: str = "doc_id",
     by_owner = by_place.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     owned = by_owner.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
     owned = Staged(owned, "owned").df
-    judged = each.join(owned, "value").withColumn("live", F.col("owners") <= most_owners)
+    judged = each.join(owned, "value").withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
     kept = judged.where(F.col("live") | (F.col("span.kind") < 3)).groupBy("rid").agg(
         F.array_sort(F.collect_list(F.struct("span.start", "span.kind", "span.stop"))).alias("all"),
         F.count_if(F.col("live") & (F.col("span.kind") < 3)).alias("n_live"),
