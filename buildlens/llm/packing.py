@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import KEPT, batches_of, raw, small_batches, tidied
+from buildlens.llm.common import KEPT, batches_of, raw, tidied
 
 MAX_TOKENS, MAX_SEGMENTS, HELD, MIN_PIECE, END_ID = 2048, 64, 512, 16, 1
 
@@ -41,6 +41,12 @@ class Piece:
     def losses(self) -> int:
         return len(self.ids) if self.loss is None else int(self.loss.sum())
 
+    def fitting(self, tokens: int, losses: int) -> int:
+        """How many tokens from the start are within both numbers."""
+        if self.loss is None:
+            return min(tokens, losses, len(self.ids))
+        return min(tokens, int(np.searchsorted(np.cumsum(self.loss), losses, "right")))
+
     def cut(self, n: int) -> tuple[Piece, Piece]:
         a, b = (None, None) if self.loss is None else (self.loss[:n], self.loss[n:])
         return Piece(self.key, self.start, self.ids[:n], self.total, a), Piece(self.key, self.start + n, self.ids[n:], self.total, b)
@@ -57,7 +63,6 @@ class Packer:
 
     def __post_init__(self):
         self.limits = np.array([self.max_tokens, self.max_segments, self.max_loss], float)
-        self.whole = min(self.max_tokens, self.max_loss)
         self.waiting: list[Piece | None] = [None] * self.held
         self.demand = np.full((self.held, 3), np.inf)  # a slot that holds nothing fits nowhere
         self.shares = np.zeros((self.held, 3))
@@ -70,8 +75,8 @@ class Packer:
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Takes a piece in; gives the sequences that are filled by it."""
-        while len(piece.ids) >= self.whole:
-            head, piece = piece.cut(self.whole)
+        while len(piece.ids) >= self.max_tokens or piece.losses() >= self.max_loss:
+            head, piece = piece.cut(piece.fitting(self.max_tokens, self.max_loss))
             yield [head]
         if len(piece.ids):
             self._hold(self.free.pop(), piece)
@@ -94,13 +99,14 @@ class Packer:
                 self.demand[i] = np.inf
                 self.free.append(i)
                 continue
-            gap = int(min(left[0], left[2]))
-            if gap >= self.min_piece and left[1] >= 1 and len(self.free) < self.held:
+            if left[0] >= self.min_piece and left[1] >= 1 and len(self.free) < self.held:
                 size = self.demand[:, 0]
                 i = int(np.where(np.isfinite(size), size, -1.0).argmax())  # the longest: its rest is no small piece
-                head, rest = self.waiting[i].cut(gap)
-                self._hold(i, rest)
-                out.append(head)
+                gap = self.waiting[i].fitting(int(left[0]), int(left[2]))
+                if gap >= self.min_piece:
+                    head, rest = self.waiting[i].cut(gap)
+                    self._hold(i, rest)
+                    out.append(head)
             return out
 
 
@@ -215,14 +221,29 @@ class WordTokens:
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int | None = END_ID, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `ids` the ids.
+def conversation_parts(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(doc_id, parts) of conversations for pack_documents: the turns in order, those of `trained` roles bearing loss.
+
+    Null turns come first, null texts are empty, null roles bear no loss; turns of equal number go by role and text. A
+    conversation is one example, so its turns meet in one row.
+    """
+    part = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), F.coalesce(F.col(role_col).isin(*trained), F.lit(False)).alias("loss"))
+    listed = turns.select(F.col(id_col).cast("long").alias("doc_id"), part.alias("part")).groupBy("doc_id").agg(F.array_sort(F.collect_list("part")).alias("all"))
+    return listed.select("doc_id", F.transform("all", lambda p: F.struct(p["text"].alias("text"), p["loss"].alias("loss"))).alias("parts"))
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int | None = END_ID, ids: bool = False, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, with `ids` the ids, and with
+    `parts_col` loss_tokens.
 
     A document is its text's ids and then end_id (which null and empty texts consist of; without end_id they give no
-    row). All its tokens bear loss. Every id lies in exactly one piece; pieces of a sequence follow each other from
-    offset 0 without gaps. Sequence ids are unique over all tasks. Repeated rows and null ids are packed like others.
+    row). All its tokens bear loss. With parts_col, an array of structs (text, loss), it is the ids of all its parts in
+    turn, of which those of parts with loss bear loss (a null loss is none), and end_id does if the last part does; no
+    sequence has more than max_loss of them. Every id lies in exactly one piece; pieces of a sequence follow each other
+    from offset 0 without gaps. Sequence ids are unique over all tasks. Repeated rows and null ids are packed like
+    others. Texts of any length are packed whole; a task holds all ids of the text at hand, four bytes each. An empty
+    table gives an empty result. Other columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = WordTokens(tokenizer_path), Packer(max_tokens, max_segments, max_loss or max_tokens)
@@ -232,22 +253,39 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
             nonlocal number
             offset = 0
             for p in sequence:
-                rows.append((p.key, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, number, offset, p.ids.astype(np.int32) if ids else None))
+                rows.append((p.key, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, number, offset, p.losses(), p.ids.astype(np.int32) if ids else None))
                 offset += len(p.ids)
             number += 1
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:7]]
+            columns = list(zip(*rows, strict=True))
+            arrays, names = [pa.array(c, pa.int64()) for c in columns[:7]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if ids:
-                columns.append(pa.array([r[7] for r in rows], pa.list_(pa.int32())))
+                arrays.append(pa.array(columns[8], pa.list_(pa.int32())))
+                names.append("ids")
+            if parts_col:
+                arrays.append(pa.array(columns[7], pa.int64()))
+                names.append("loss_tokens")
             rows.clear()
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(columns)])
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        def examples(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+            if not parts_col:
+                yield from ((np.concatenate([found, end]), None) for found in words.ids(raw(b.column(1))))
+                return
+            listed = [x or [] for x in b.column(1).to_pylist()]
+            found = words.ids([(p["text"] or "").encode() if p else b"" for x in listed for p in x])
+            for parts in listed:
+                own, loss = [], [bool(p and p["loss"]) for p in parts]
+                for _ in parts:
+                    own.append(next(found))
+                last = loss[-1] if loss else False
+                yield np.concatenate([*own, end]).astype("<u4"), np.repeat([*loss, last], [*map(len, own), len(end)])
 
         end = np.array([] if end_id is None else [end_id], "<u4")
-        for b in batches_of(batches):
-            for doc, found in zip(b.column(0).to_pylist(), words.ids(raw(b.column(1))), strict=True):
-                all_ids = np.concatenate([found, end])
-                for sequence in packer.add(Piece(doc, 0, all_ids, len(all_ids))):
+        for b in batches_of(batches, 256):
+            for doc, (all_ids, loss) in zip(b.column(0).to_pylist(), examples(b), strict=True):
+                for sequence in packer.add(Piece(doc, 0, all_ids, len(all_ids), loss)):
                     place(sequence)
                 if len(rows) >= 8192:
                     yield out()
@@ -256,5 +294,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
         if rows:
             yield out()
 
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return held.mapInArrow(tidied(run, keeps="packing"), _SCHEMA + ", ids array<int>" * ids)
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(parts_col or text_col).alias("text"))
+    return held.mapInArrow(tidied(run, keeps="packing"), _SCHEMA + ", ids array<int>" * ids + ", loss_tokens long" * bool(parts_col))
