@@ -1,9 +1,11 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios (Wang & Manning, 2012).
 
-Features are the presence of hashed n-grams (of UTF-8 bytes, ASCII lower case, white-space runs as one space). Class
+Features are the presence of hashed n-grams (of characters, in lower case, white-space runs as one space). Class
 counts give each feature its log-count ratio; the features whose counts differ most between the classes (chi-squared)
 stand for the text as their ratios, and a logistic regression is fitted on them. A classifier is fitted on at most
 `sample` labelled rows, those with the smallest hash of their id; every text is scored whole.
+
+FEATURES and L2 were chosen by `cross_validated`, whose folds lie within the rows that may be learned from.
 """
 
 from __future__ import annotations
@@ -15,18 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import Staged, batches_of, mix, odd_constants, raw, small_batches, tidied
+from buildlens.llm.common import Staged, batches_of, mix, odd_constants, raw, staging, tidied
 
-ORDERS, BUCKETS, FEATURES, SAMPLE = (3, 4, 5, 6), 1 << 20, 1 << 12, 12_000
+ORDERS, BUCKETS, FEATURES, L2, SAMPLE = (3, 4, 5, 6), 1 << 20, 1 << 12, 1e-3, 12_000
 _STEP = 1 << 20
 
 
 def features(text: bytes | None) -> Iterator[np.ndarray]:
-    """Hashed n-grams of a text, in parts of bounded size; repeated ones are not removed."""
-    data = b" " + b" ".join((text or b"").lower().split()) + b" "
+    """Hashed n-grams of a text's characters, in parts of bounded size; repeated ones are not removed."""
+    data = (b" " + b" ".join((text or b"").split()) + b" ").decode().lower()
     c = odd_constants(max(ORDERS), 91)
     for at in range(0, len(data), _STEP):
-        part = np.frombuffer(data, np.uint8, min(len(data) - at, _STEP + max(ORDERS) - 1), at).astype(np.uint64) + np.uint64(1)
+        part = np.frombuffer(data[at : at + _STEP + max(ORDERS) - 1].encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
         for n in ORDERS:
             m = len(part) - n + 1
             if m <= 0:
@@ -77,8 +79,8 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, n: int, scale: np.ndarray,
     return w, b
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = FEATURES, l2: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """A weight for each bucket and a bias, from labelled (text, y, key): y is 0 or 1, key orders the sample."""
+def fit(labelled: DataFrame, kept: int = FEATURES, l2: float = L2, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """A weight for each bucket and a bias, from labelled (text, y): y is 0 or 1."""
     drawn = labelled.select("text", F.col("y").cast("int").alias("y"))
     counts = drawn.mapInArrow(tidied(_counts), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     f, n0, n1 = (counts.column(c).to_numpy() for c in ("f", "n0", "n1"))
@@ -100,33 +102,62 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = FEATURES, l2: flo
     return weights, b
 
 
+def _usable(labels: DataFrame, id_col: str, label_col: str, folds: int, held_out_fold: int) -> DataFrame:
+    """(id, y) of the rows that may be learned from."""
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    return usable.where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)) != held_out_fold)
+
+
+def cross_validated(docs: DataFrame, labels: DataFrame, kept: list[int], l2: list[float], inner: int = 3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0) -> list[tuple[int, float, float, float]]:
+    """(kept, l2, log loss, accuracy) for each pair of parameters, the least loss first, over `inner` folds of the
+    sample. Held-out rows are in none of them; equal texts are in one fold, so that no copy of a judged text is learned."""
+    drawn = _usable(labels, id_col, label_col, folds, held_out_fold).orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    out = []
+    with staging():
+        rows = Staged(rows.select("text", "y", F.pmod(F.xxhash64("text"), F.lit(inner)).alias("fold")), "folds").df
+        for k in kept:
+            for penalty in l2:
+                p, y = [], []
+                for i in range(inner):
+                    weights, bias = fit(rows.where(F.col("fold") != i), k, penalty)
+                    judged = rows.where(F.col("fold") == i).select("text", "y").toArrow()
+                    p += [_score(weights, bias, t) for t in raw(judged.column("text").combine_chunks())]
+                    y += judged.column("y").to_pylist()
+                p, y = np.clip(p, 1e-9, 1 - 1e-9), np.array(y)
+                out.append((k, penalty, float(-np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))), float(np.mean((p >= 0.5) == (y == 1)))))
+    return sorted(out, key=lambda r: r[2])
+
+
+def _score(weights: np.ndarray, bias: float, text: bytes | None, wanted: np.ndarray | None = None) -> float:
+    z = weights[_distinct(features(text), weights != 0 if wanted is None else wanted)].sum(dtype=np.float64) + bias
+    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Labels are learned only from rows whose crc32(id as text) mod `folds` is not `held_out_fold`; a score depends on the
     text alone. Null labels are left out, and of several labels of an id the largest counts. Null texts count as empty,
     and get the score of a text without features. Null ids are not held out and have no label. Without any usable label
-    every score is 0 and nothing is predicted toxic. Repeated rows are scored each; an empty table stays empty.
+    every score is 0 and nothing is predicted toxic. Repeated rows are scored each, texts of any length whole; an empty
+    table stays empty. Other columns, of either table, are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession, 256)
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    usable = usable.where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)) != held_out_fold)
-    drawn = Staged(usable.orderBy(F.xxhash64("id"), "id").limit(sample), "drawn").df
+    drawn = Staged(_usable(labels, id_col, label_col, folds, held_out_fold).orderBy(F.xxhash64("id"), "id").limit(sample), "drawn").df
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # `sample` rows of two numbers at most are broadcast, and so many texts staged, as fitting reads them twice
     chosen = Staged(held.join(F.broadcast(drawn), "id").select("text", "y"), "labelled")
     weights, bias = fit(chosen.df)
     chosen.drop()
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    known = bool(np.any(weights)) or drawn.head(1)
+    known = bool(drawn.head(1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         wanted = w != 0
         for b in batches_of(batches):
-            z = np.array([w[_distinct(features(t), wanted)].sum(dtype=np.float64) for t in raw(b.column(2))]) + bias
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if known else np.zeros(b.num_rows)
+            p = np.array([_score(w, bias, t, wanted) if known else 0.0 for t in raw(b.column(2))])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
