@@ -2,8 +2,9 @@
 
 A word's score for a language is the mean-weighted log probability of its character n-grams (UTF-8 bytes of the
 lower-cased word between boundary marks), relative to the mean over languages. Languages that don't use the word's
-script are ruled out. The best path through the languages, paying `penalty` for each change, labels spans of words; the
-language with the most labelled words is the document's, and its share of them the score.
+script are ruled out; a word in a script that no language uses speaks for none. The best path through the languages,
+paying `penalty` for each change, labels spans of words; the language with the most words that speak for it is the
+document's, and their share of all words with a letter is the score.
 
 Where no other language gains more than half the penalty over the best single one in any run of words, the constant
 path is the best one, and Viterbi isn't run; this changes no result. The model is fitted on at most `sample` documents,
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import batches_of, mix, odd_constants, raw, small_batches, tidied
+from buildlens.llm.common import batches_of, mix, odd_constants, raw, tidied
 
-ORDERS, BUCKETS, SAMPLE, PENALTY, RULED_OUT, CACHE = (1, 2, 3, 4), 1 << 17, 4_000, 6.0, -8.0, 250_000
+ORDERS, BUCKETS, SAMPLE, PENALTY, RULED_OUT, MIN_SCORE, CACHE = (1, 2, 3, 4), 1 << 17, 4_000, 6.0, -8.0, 0.3, 250_000
 #: First and last code points of scripts (fixed values of Unicode blocks); anything else is script 0.
 SCRIPTS = [
     (0x0041, 0x024F, "Latin"), (0x1E00, 0x1EFF, "Latin"), (0x0370, 0x03FF, "Greek"), (0x1F00, 0x1FFF, "Greek"), (0x0400, 0x052F, "Cyrillic"),
@@ -72,7 +73,7 @@ def _prepared(word: bytes) -> tuple[bytes, int]:
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, kind, bucket, n): n-gram counts (kind 0) and words by script (kind 1)."""
-    for b in batches_of(batches):
+    for b in batches_of(batches, 1024, 3_000_000):
         by: dict[str, list[bytes]] = {}
         for text, lang in zip(raw(b.column(0)), b.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).extend((text or b"").split())
@@ -105,7 +106,7 @@ class Model:
         self.uses = scripts > 1e-3 * scripts.sum(axis=0)
 
     def scores(self, words: list[bytes]) -> np.ndarray:
-        """(words, languages + 1): the scores, and 1 where the word has a letter."""
+        """(words, languages + 1): the scores, and 1 where the word has a letter, 2 if of a script that a language uses."""
         found = [_prepared(w) for w in words]
         out = np.zeros((len(words), len(self.languages) + 1), np.float32)
         letters = [i for i, (_, s) in enumerate(found) if s >= 0]
@@ -118,7 +119,7 @@ class Model:
         scripts = np.array([found[i][1] for i in letters])
         known = self.uses[scripts].any(axis=1, keepdims=True)
         out[letters, :-1] = np.where(self.uses[scripts] | ~known, part, part.min(axis=1, keepdims=True) + RULED_OUT)
-        out[letters, -1] = 1
+        out[letters, -1] = 1 + known[:, 0]
         return out
 
 
@@ -193,12 +194,13 @@ class Labeller:
                 continue
             lead = one_language(rows[:, :-1], self.penalty)
             if lead >= 0:
-                out[i] = (self.model.languages[lead], 1.0, [(0, len(row), self.model.languages[lead])])
+                out[i] = (self.model.languages[lead], float((rows[:, -1] > 1).sum() / has.sum()), [(0, len(row), self.model.languages[lead])])
             else:
-                mixed.append((i, rows[:, :-1], has))
+                mixed.append((i, rows[:, :-1], rows[:, -1]))
         if mixed:
-            for (i, _, has), path in zip(mixed, viterbi([s for _, s, _ in mixed], self.penalty), strict=True):
-                votes = np.bincount(path[has], minlength=len(self.model.languages))
+            for (i, _, kind), path in zip(mixed, viterbi([s for _, s, _ in mixed], self.penalty), strict=True):
+                has = kind > 0
+                votes = np.bincount(path[kind > 1], minlength=len(self.model.languages))
                 lead = int(votes.argmax())
                 head = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
                 spans = [(int(a), int(b), self.model.languages[path[a]]) for a, b in zip(head, np.r_[head[1:], len(path)], strict=True)]
@@ -211,17 +213,6 @@ def fit(learn: DataFrame) -> Model:
     return Model(learn.mapInArrow(tidied(_learn), "lang string, kind int, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow())
 
 
-def _in_parts(texts: list[bytes | None], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t or b"") > most:
-            yield start, i
-            start, held = i, 0
-        held += len(t or b"")
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def learned(docs: DataFrame, sample: int, id_col: str, text_col: str, lang_col: str, folds: int, held_out_fold: int) -> Model:
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).where(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) != held_out_fold)
     ids = usable.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -234,46 +225,45 @@ def languages(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, s
 
     Learns from the text and non-null language of documents (of `learn`, or else of docs) whose crc32(id as text) mod
     `folds` is not `held_out_fold`; a prediction depends on the text alone. "und" with score 0 is predicted for null
-    texts and texts without a letter, and for all if nothing could be learned. Null ids are not held out and not learned
-    from. Repeated rows are judged each; an empty table stays empty.
+    texts and texts without a letter, and for all if nothing could be learned. A text in scripts that no learned
+    language uses has score 0 as well. Of languages with as many words the first by name counts. Null ids are not held
+    out and not learned from. Texts of any length are read whole. Repeated rows are judged each; an empty table stays
+    empty. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1024)
     model = learned(docs if learn is None else learn, sample, id_col, text_col, lang_col, folds, held_out_fold)
     shared = spark.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value, penalty)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
-        for b in batches_of(batches):
-            texts = raw(b.column(2))
-            for i, j in _in_parts(texts):
-                found = labeller(texts[i:j])
-                columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-                if spans:
-                    columns.append(pa.array([[dict(zip(("start", "stop", "lang"), s, strict=True)) for s in x[2]] for x in found], kind))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "spans"][: len(columns)])
+        for b in batches_of(batches, 1024, 3_000_000):
+            found = labeller(raw(b.column(2)))
+            columns = [b.column(0), b.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            if spans:
+                columns.append(pa.array([[dict(zip(("start", "stop", "lang"), s, strict=True)) for s in x[2]] for x in found], kind))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "spans"][: len(columns)])
 
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return held.mapInArrow(tidied(label), "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<start: long, stop: long, lang: string>>" * spans)
 
 
-def drop_unidentified(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out_fold: int = 1) -> DataFrame:
-    """docs without the rows whose language is "und": null texts and texts without a letter. Columns stay as they are.
+def drop_unidentified(docs: DataFrame, kept: list[str] | None = None, min_score: float = MIN_SCORE, sample: int = SAMPLE, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out_fold: int = 1) -> DataFrame:
+    """docs without the rows whose language isn't one of `kept` (all that were learned, if none are named) or whose score
+    is below min_score: texts in other languages or scripts, texts that are too mixed, null texts and texts without a
+    letter. Columns stay as they are, whatever their names.
 
     Rules as in languages; nothing shuffles. Where no language could be learned nothing is dropped.
     """
-    small_batches(docs.sparkSession, 1024)
     shared = docs.sparkSession.sparkContext.broadcast(learned(docs, sample, id_col, text_col, lang_col, folds, held_out_fold))
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value, penalty)
-        for b in batches_of(batches):
-            texts = raw(b.column(at))
-            for i, j in _in_parts(texts):
-                known = [not shared.value.languages or x[0] != "und" for x in labeller(texts[i:j])]
-                yield b.slice(i, j - i).filter(pa.array(known, pa.bool_()))
+        model = shared.value
+        wanted, labeller = set(model.languages if kept is None else kept), Labeller(model, penalty)
+        for b in batches_of(batches, 1024, 3_000_000):
+            good = [not model.languages or (lang in wanted and score >= min_score) for lang, score, _ in labeller(raw(b.column(at)))]
+            yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(tidied(keep), docs.schema)

@@ -58,6 +58,35 @@ def test_widely_copied_secrets_are_examples(spark):
     assert {(r["n_live"], r["n_example"], r["n_assign"]) for r in secret_scan.scan_secrets(d).collect()} == {(0, 1, 1)}
 
 
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    """A value in 50 documents of one owner is as widely copied as one of many owners; one in three of them is live."""
+    rows = [(i, "Zx81kQpL0aTq7VbN3mRw token=abcdefgh99", "hot") for i in range(50)] + [(100 + i, "Yw92jRqM1bUr8WcO4nSx token=zyxwvuts11", "hot") for i in range(3)]
+    d = spark.createDataFrame([*rows, (102, rows[-1][1], "hot")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_live"], r["n_example"], r["spans"].count("owned")) for r in secret_scan.scan_secrets(d).collect()}
+    assert got == {i: (0, 1, 0) if i < 50 else (1, 0, 1) for i, _, _ in rows}
+    repositories = d.withColumn("repo", F.lit("one"))
+    assert all(r["n_live"] == 1 for r in secret_scan.scan_secrets(repositories, repository_col="repo").collect())
+
+
+def test_owned_spans_against_brute_force(spark):
+    rng = random.Random(7)
+    values = ["".join(rng.choice("abcdefGHIJ0123456789+/-_") for _ in range(rng.choice([19, 20, 24, 40]))) for _ in range(25)] + ["a" * 30, "1" * 30, "ab1" * 10]
+    rows = [(i, " ".join(["x"] * rng.randrange(4) + [rng.choice(values), rng.choice(["é,", "token=", "y"]), rng.choice(values)]), f"s{rng.randrange(3)}") for i in range(150)]
+    rows += [(200 + i, f"see Qw7{i}rTy8uIoP9aSdFg{i % 10} now", f"s{i % 6 // 3}") for i in range(30)]  # of one document each
+    seen = defaultdict(lambda: (set(), set()))
+    spans = {}
+    for i, t, s in rows:
+        base = secret_scan.base_spans(t)
+        spans[i] = [m for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and secret_scan.bits_per_character(m[0]) >= 3 and not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+        for v in [m[0] for m in spans[i]] + [b[3] for b in base]:
+            seen[v][0].add(s)
+            seen[v][1].add(i)
+    want = {i: sorted((m.start(), m.end()) for m in ms if len(seen[m[0]][0]) <= 1 and len(seen[m[0]][1]) <= 4) for i, ms in spans.items()}
+    got = {r["doc_id"]: sorted(tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("owned")) for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"), most_repositories=4).collect()}
+    assert got == want
+    assert any(want.values())
+
+
 # Packing
 
 
@@ -113,6 +142,37 @@ def test_packer_keeps_all_limits():
     assert seen == {p.key: p.total for p in items}
 
 
+def test_conversations_keep_the_limit_of_loss_bearing_tokens(spark):
+    rng = random.Random(9)
+    turns = [(c, t, ("user", "assistant", None)[t % 2 if c % 7 else 2], " ".join(rng.choice(["Hello", "wörld!", "it's", "x9."]) for _ in range(rng.choice([1, 20, 150]))) if t % 5 else None) for c in range(60) for t in range(c % 9)]
+    parts = packing.conversation_parts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    extra = spark.createDataFrame([(1000, None), (1001, []), (None, [("a b", None)]), (1002, [(None, True)])], "doc_id long, parts array<struct<text: string, loss: boolean>>")
+    rows = packing.pack_documents(parts.unionByName(extra).coalesce(1), TOKENIZER, max_tokens=200, max_loss=70, ids=True, parts_col="parts").collect()
+    whole = packing.load_tokenizer(TOKENIZER)
+    want = {1000: ([1], [0]), 1001: ([1], [0]), None: ([*whole.encode("a b", add_special_tokens=False).ids, 1], None), 1002: ([1], [1])}
+    for c in {t[0] for t in turns}:
+        ids, loss = [], []
+        for _, _, role, text in sorted((t for t in turns if t[0] == c), key=lambda t: t[1]):
+            found = whole.encode(text or "", add_special_tokens=False).ids
+            ids, loss = ids + found, loss + [int(role == "assistant")] * len(found)
+            last = int(role == "assistant")
+        want[c] = ([*ids, 1], [*loss, last])
+    got, sequences = defaultdict(list), defaultdict(lambda: [0, 0])
+    for r in rows:
+        got[r["doc_id"]].append((r["start"], r["ids"], r["loss_tokens"]))
+        sequences[r["sequence_id"]][0] += r["length"]
+        sequences[r["sequence_id"]][1] += r["loss_tokens"]
+    assert set(got) == set(want)
+    for c, (ids, loss) in want.items():
+        pieces = sorted(got[c])
+        assert [x for _, p, _ in pieces for x in p] == ids
+        assert all(n == sum((loss or [0] * len(ids))[a : a + len(p)]) for a, p, n in pieces)
+    assert max(n for n, _ in sequences.values()) <= 200
+    assert max(n for _, n in sequences.values()) <= 70
+    free = packing.pack_documents(parts.coalesce(1), TOKENIZER, max_tokens=200, parts_col="parts").groupBy("sequence_id").agg(F.sum("loss_tokens").alias("n")).agg(F.max("n")).first()[0]
+    assert free > 70  # without the third limit some sequence has more
+
+
 def test_words_give_the_ids_of_whole_texts():
     hypothesis = pytest.importorskip("hypothesis")
     words, whole = packing.WordTokens(TOKENIZER), packing.load_tokenizer(TOKENIZER)
@@ -130,7 +190,7 @@ def test_words_give_the_ids_of_whole_texts():
 
 
 def brute_nearest(data, every, top):
-    ok = {i: np.array(v, float) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v) and len(v) == 16}
+    ok = {i: np.array(v, float) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
     out = {}
     for q in ok:
         if q % every == 0:
@@ -148,7 +208,7 @@ def vectors(n, seed):
 def test_search_recall_and_exact_scores(spark):
     data = vectors(1500, 1)
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(4)
-    got = additive_search.nearest(df, every=20, top=20).collect()
+    got = additive_search.nearest(df, every=20, top=20, shortlist=50).collect()
     want = brute_nearest(data, 20, 20)
     by = defaultdict(list)
     for r in sorted(got, key=lambda r: r["rank"]):
@@ -170,14 +230,28 @@ def test_search_edge_cases(spark):
     by = defaultdict(list)
     for r in sorted(additive_search.nearest(df).collect(), key=lambda r: r["rank"]):
         by[r["query_id"]].append(r["vec_id"])
-    assert sorted(by) == [0, 20, 40, 60, 80, 140]
-    for q, ids in by.items():
+    assert sorted(by) == [0, 20, 40, 60, 80, 120, 140]
+    for q, ids in by.items():  # 120 has zeros for the components it lacks
         assert ids == ([] if q == 140 else [140]) + [i for i in range(22) if i != q][: 20 if q == 140 else 19]
     assert additive_search.nearest(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, same), (1, [-1.0] * 16)], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in additive_search.nearest(few).collect()] == [(0, 1, 1, -16.0)]
 
 
+def test_groups_of_queries_and_splits_of_codes_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(vectors(900, 4), "vec_id long, embedding array<float>").repartition(6)
+    whole = sorted(map(str, additive_search.nearest(df, every=3).collect()))
+    monkeypatch.setattr(additive_search, "QUERY_BLOCK", 32)
+    monkeypatch.setattr(additive_search, "QUERY_GROUP", 70)
+    monkeypatch.setattr(additive_search, "CODE_BLOCK", 64)
+    assert sorted(map(str, additive_search.nearest(df, every=3).collect())) == whole
+
+
+def test_shortlists_grow_with_the_table():
+    assert [additive_search.shortlist_for(n) for n in (10, 50_000, 400_000)] == [160, 160, 320]
+    assert additive_search.shortlist_for(10**9) > 4000
+
+
 def test_beam_search_is_no_worse_than_greedy():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8)).astype(np.float32)
@@ -226,6 +300,42 @@ def test_toxicity_learns_and_never_looks(spark):
     assert again == {i: r["score"] for i, r in got.items()}  # labels of held-out rows change nothing
 
 
+def test_scores_against_brute_force(spark):
+    """Presence of character n-grams times weights, in plain Python, from the weights that were learned."""
+    docs, labels = toxic_fixture(200)
+    docs = [(i, t.replace("a", "é").replace("b", "漢") if i % 2 else t.upper()) for i, t in docs]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    y = dict(labels)
+    learned = [(t, y[i]) for i, t in docs if i in y and fold(i, 5) != 0]
+    weights, bias = toxicity.fit(spark.createDataFrame(learned, "text string, y int"))
+    bucket = {}
+
+    def grams(text):
+        t = " " + " ".join(text.split()).lower() + " "
+        return {t[k : k + n] for n in toxicity.ORDERS for k in range(len(t) - n + 1)}
+
+    def slot(gram):
+        if gram not in bucket:
+            c = toxicity.odd_constants(max(toxicity.ORDERS), 91)
+            code = np.array([sum((ord(x) + 1) * int(c[k]) for k, x in enumerate(gram)) % (1 << 64) ^ len(gram)], np.uint64)
+            bucket[gram] = int(toxicity.mix(code)[0]) >> 44
+        return bucket[gram]
+
+    for r in toxicity.toxicity(d, lab).collect():
+        z = sum(float(weights[b]) for b in {slot(g) for g in grams(docs[r["doc_id"]][1])}) + bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_parameters_are_chosen_without_held_out_rows(spark):
+    docs, labels = toxic_fixture(300)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.cross_validated(d, lab, [16, 256], [1e-3], inner=2)
+    assert {r[:2] for r in got} == {(16, 1e-3), (256, 1e-3)}
+    assert [r[2] for r in got] == sorted(r[2] for r in got)
+    flipped = lab.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.cross_validated(d, flipped, [16, 256], [1e-3], inner=2) == got
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -263,6 +373,7 @@ def test_languages(spark):
     assert sum(got[i]["lang_pred"] == lang for i, lang in held) / len(held) > 0.97
     assert [got[i]["lang_pred"] for i in (1001, 1002, 1003)] == ["und"] * 3
     assert got[1004]["lang_pred"] in SYLLABLES
+    assert got[1004]["score"] == 0  # a script that no learned language uses
     assert got[1000]["lang_pred"] == "fr"
     spans = [(s["lang"], s["stop"] - s["start"]) for s in got[1000]["spans"]]
     assert [x for x, _ in spans] == ["de", "fr", "ru"]
@@ -272,7 +383,57 @@ def test_languages(spark):
     assert language_id.languages(d.where("lang is null")).where("lang_pred <> 'und'").count() == 0
     kept = language_id.drop_unidentified(d)
     assert kept.columns == d.columns
-    assert sorted(r["doc_id"] for r in d.exceptAll(kept).collect()) == [1001, 1002, 1003]
+    assert sorted(r["doc_id"] for r in d.exceptAll(kept).collect()) == [1001, 1002, 1003, 1004]
+    some = language_id.drop_unidentified(d, kept=["en", "fr"])  # texts with letters, dropped by their language
+    by = {r["doc_id"]: r["lang_pred"] for r in got.values()}
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in some.collect()) == sorted((i is None, i) for i in [*[x[0] for x in data], *[x[0] for x in extra]] if by[i] in ("en", "fr") and i != 1004)
+    mixed_out = language_id.drop_unidentified(d, min_score=0.9)
+    assert 1000 in {r["doc_id"] for r in d.exceptAll(mixed_out).collect()}
+    assert language_id.drop_unidentified(d.limit(0)).count() == 0
+
+
+def test_languages_of_very_long_texts(spark):
+    rng = random.Random(2)
+    long = sentence(rng, "de", 150_000)
+    d = spark.createDataFrame([*language_fixture(), (9000, long + " " + sentence(rng, "fr", 40_000), None)], "doc_id long, text string, lang string")
+    r = language_id.languages(d).where("doc_id = 9000").first()
+    assert r["lang_pred"] == "de"
+    assert [s["lang"] for s in r["spans"]] == ["de", "fr"]
+    assert abs(r["spans"][0]["stop"] - 150_000) <= 3
+    assert language_id.drop_unidentified(d).where("doc_id = 9000").count() == 1
+
+
+def test_word_scores_against_brute_force(spark):
+    """Summed log probabilities of n-grams relative to the mean over languages, counted in plain Python."""
+    data = [(t, lang) for _, t, lang in language_fixture()[:24]]
+    model = language_id.fit(spark.createDataFrame(data, "text string, lang string"))
+    assert model.languages == ["de", "en", "fr", "ru"]
+
+    def slots(word):
+        marked = b"^" + word.encode() + b"$"
+        c = language_id.odd_constants(max(language_id.ORDERS), 57)
+        out = []
+        for n in language_id.ORDERS:
+            for k in range(len(marked) - n + 1):
+                code = sum((x + 1) * int(c[j]) for j, x in enumerate(marked[k : k + n])) % (1 << 64) ^ n
+                out.append(int(language_id.mix(np.array([code], np.uint64))[0]) >> 47)
+        return out
+
+    counts = {lang: defaultdict(int) for lang in model.languages}
+    for t, lang in data:
+        for w in t.split():
+            for s in slots(w):
+                counts[lang][s] += 1
+    total = {lang: sum(c.values()) + 0.05 * language_id.BUCKETS for lang, c in counts.items()}
+    for word in ("the", "schein", "éque", "овни"):
+        logs = np.array([[np.log((counts[lang][s] + 0.05) / total[lang]) for lang in model.languages] for s in slots(word)])
+        want = (logs - logs.mean(axis=1, keepdims=True)).sum(axis=0) / len(language_id.ORDERS)
+        cyrillic = word == "овни"
+        uses = np.array([(lang == "ru") == cyrillic for lang in model.languages])
+        got = model.scores([word.encode()])[0]
+        assert got[:-1] == pytest.approx(np.where(uses, want, want.min() + language_id.RULED_OUT), abs=1e-3)
+        assert got[-1] == 2
+    assert list(model.scores(["漢".encode(), b"12"])[:, -1]) == [1, 0]
 
 
 def test_viterbi_against_all_paths():
