@@ -3,7 +3,8 @@
 The suffix tree is a sparse one. Every window of `window` words has an anchor: its PREFIX-word run with the smallest
 hash (the leftmost of equals). Equal windows have equal anchors at equal places, so it suffices to take the suffixes
 that begin at anchors, and to keep, for each, the words before it that its windows reach back to. Suffixes whose prefix
-only one document has are dropped first.
+only one document has are dropped first. Suffixes whose windows are all equal make one: that of the smallest document
+stands for them, and the other documents lose all its windows.
 
 * Suffixes are split by prefixes of variable length. A group begins with the anchor itself, PREFIX words. One of more
   than `group_rows` suffixes is split in two: of its windows, those that reach back less share a longer prefix from the
@@ -46,11 +47,36 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return grams[at[first]], at[first], first, np.diff(np.r_[first, len(at)])
 
 
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^n modulo 2^64, remembered."""
+    held = _POWERS.get(base)
+    if held is None or len(held) <= n:
+        held = np.full(max(4096, 2 * n) + 1, base, np.uint64)
+        held[0] = 1
+        _POWERS[base] = held = np.multiply.accumulate(held)
+    return held[: n + 1]
+
+
+def surroundings(words: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """For each anchor a hash of all words of its windows, and of where in them it stands."""
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, len(words))[:-1])]
+    run = (sums[first + count + window - 1] - sums[first]) * _powers(pow(_BASE, -1, 1 << 64), len(words))[first]
+    c = odd_constants(2, 13)
+    return mix(run + (at - first).astype(np.uint64) * c[0] + count.astype(np.uint64) * c[1])
+
+
 def run_hashes(words: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit hashes of a run of words."""
     return tuple(int(mix((words * odd_constants(len(words), seed)).sum(keepdims=True)).view(np.int64)[0]) for seed in (5, 6))
 
 
+_PLACES = [("g", pa.int64()), ("c", pa.int64()), ("first", pa.int32()), ("cnt", pa.int32())]
+
+
 def _scan(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -60,14 +86,17 @@ def _scan(window: int):
                 words = text.split() if text else []
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).digest())
-                found.append(anchors(hashes.of(words), window)[0].view(np.int64) if len(words) >= window else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), lists(found, pa.int64())], ["doc_id", "tag", "n", "sha", "anchors"])
+                codes = hashes.of(words)
+                g, at, first, count = anchors(codes, window)
+                found.append((g.view(np.int64), surroundings(codes, at, first, count, window).view(np.int64) if len(g) else at, first, count))
+            arrays = [lists([f[i].astype(t.to_pandas_dtype()) for f in found], t) for i, (_, t) in enumerate(_PLACES)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), *arrays], ["doc_id", "tag", "n", "sha", *(x for x, _ in _PLACES)])
 
     return run
 
 
-_SUFFIX = "g long, h long, a int, b int, doc_id long, tag long, k int, start int"
-_CONTEXT = "g long, doc_id long, tag long, start int, rel int, cnt int, words binary"
+_SUFFIX = "g long, h long, a int, b int, doc_id long, tag long, k int, g0 long, c long, start int"
+_CONTEXT = "g long, doc_id long, g0 long, c long, start int, rel int, cnt int, words binary"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
@@ -88,10 +117,9 @@ def _over_chosen(window: int, schema: str, rows_of):
                 codes = hashes.of(words)
                 _, at, first, count = anchors(codes, window)
                 for c in chosen:
-                    place = int(at[c["k"]])
+                    place, begin = int(at[c["k"]]), int(first[c["k"]])
                     # words that the windows have before the anchor: from the fewest to the most
-                    fewest, most = place - int(first[c["k"]]) - int(count[c["k"]]) + 1, place - int(first[c["k"]])
-                    out += rows_of(c, doc, tag, words, codes, place, fewest, most)
+                    out += rows_of(c, doc, tag, words, codes, place, place - begin - int(count[c["k"]]) + 1, place - begin)
                 if len(out) >= 4096:
                     yield _batch(out, schema)
                     out = []
@@ -108,7 +136,7 @@ def _longer_prefixes(window: int):
         middle = (c["a"] + c["b"]) // 2
         for a, b in ((c["a"], middle), (middle + 1, c["b"])):
             if a <= most and fewest <= b:
-                yield (*run_hashes(codes[place - a : place - b + window]), a, b, doc, tag, c["k"], place - a)
+                yield (*run_hashes(codes[place - a : place - b + window]), a, b, doc, tag, c["k"], c["g0"], c["c"], most - a)
 
     return _over_chosen(window, _SUFFIX, rows_of)
 
@@ -117,8 +145,8 @@ def _contexts(window: int):
     """Of each chosen suffix the words of its windows."""
 
     def rows_of(c, doc, tag, words, codes, place, fewest, most):
-        fewest, most = max(fewest, c["a"]), min(most, c["b"])
-        yield (c["g"], doc, tag, place - most, most, most - fewest + 1, b" ".join(words[place - most : place - fewest + window]))
+        low, high = max(fewest, c["a"]), min(most, c["b"])
+        yield (c["g"], doc, c["g0"], c["c"], most - high, high, high - low + 1, b" ".join(words[place - high : place - low + window]))
 
     return _over_chosen(window, _CONTEXT, rows_of)
 
@@ -200,10 +228,10 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, rel: np.ndarray, cnt:
 
 
 def _trees(window: int, block_rows: int):
-    """From contexts sorted by group: (doc_id, tag, start, stop) of the words that repeated windows cover."""
+    """From contexts sorted by group: (g0, c, start, stop) of their words that repeated windows cover."""
 
     def spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, tag, start, rel, cnt = (table.column(c).to_numpy() for c in ("doc_id", "tag", "start", "rel", "cnt"))
+        doc, g0, c, start, rel, cnt = (table.column(x).to_numpy() for x in ("doc_id", "g0", "c", "start", "rel", "cnt"))
         row, offset = repeated_windows(table.column("words").to_pylist(), doc, rel.astype(np.int64), cnt.astype(np.int64), window)
         if not len(row):
             return
@@ -212,7 +240,7 @@ def _trees(window: int, block_rows: int):
         head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)])
         last = np.r_[head[1:], len(row)] - 1
         r = row[head]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(tag[r]), pa.array((start[r] + offset[head]).astype(np.int32)), pa.array((start[r] + offset[last] + window).astype(np.int32))], ["doc_id", "tag", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([pa.array(g0[r]), pa.array(c[r]), pa.array((start[r] + offset[head]).astype(np.int32)), pa.array((start[r] + offset[last] + window).astype(np.int32))], ["g0", "c", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -257,29 +285,36 @@ def _cut(texts: bool):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[Staged, Staged]:
     """For docs (doc_id, tag, text): the scanned rows with `copy` (a whole copy of a smaller document), and
     (doc_id, tag, spans array<struct<start, stop>>) of the word spans to remove from the others."""
-    scanned = Staged(docs.mapInArrow(tidied(_scan(window)), "doc_id long, tag long, n long, sha binary, anchors array<long>"), "scan").df
+    listed = ", ".join(f"{x} array<{'long' if t == pa.int64() else 'int'}>" for x, t in _PLACES)
+    scanned = Staged(docs.mapInArrow(tidied(_scan(window)), f"doc_id long, tag long, n long, sha binary, {listed}"), "scan").df
     long = scanned.where(F.col("doc_id").isNotNull() & (F.col("n") >= window))
     classes = Staged(long.groupBy("sha").agg(F.min("doc_id").alias("least")), "classes").df
-    marked = scanned.join(classes, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
-    marked = Staged(marked.select("doc_id", "tag", "n", "sha", "copy", F.when(~F.col("copy") & F.col("doc_id").isNotNull(), F.col("anchors")).alias("anchors")), "marked")
+    marked = scanned.drop(*[x for x, _ in _PLACES]).join(classes, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("least")
+    marked = Staged(marked, "marked")
+    firsts = long.join(classes, "sha").where("doc_id = least")
+    places = firsts.select("doc_id", "tag", F.posexplode(F.arrays_zip(*[x for x, _ in _PLACES])).alias("k", "p")).select("doc_id", "tag", "k", "p.*")
+    several = Staged(places.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("g"), "several").df
+    members = Staged(places.join(several, "g"), "members").df
+    # equal surroundings make one suffix, at its first place in the smallest document
+    distinct = Staged(members.groupBy("g", "c").agg(F.min(F.struct("doc_id", "tag", "k")).alias("p")).select("g", "c", "p.*"), "distinct").df
     group = ["g", "h", "a", "b"]
 
-    def shared(suffixes: DataFrame, name: str) -> DataFrame:
-        """(group, rows) of groups that several documents have."""
+    def shared(suffixes: DataFrame) -> DataFrame:
+        """(group, rows) of groups in which there are several documents."""
         found = suffixes.groupBy(*group).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        return Staged(found.where("lo <> hi").select(*group, "rows"), name).df
+        return Staged(found.where("lo <> hi").select(*group, "rows"), "groups").df
 
     def texts_of(chosen: DataFrame) -> DataFrame:
         """docs that have a chosen suffix, with all of theirs."""
-        listed = Staged(chosen.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("k", "a", "b", "g")).alias("chosen")), "chosen").df
+        listed = Staged(chosen.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("k", "a", "b", "g", "g0", "c")).alias("chosen")), "chosen").df
         possible = probe_ids(docs, listed.select(F.col("doc_id").alias("id")).distinct(), "doc_id").where("possible").select("row.*")
         return possible.join(listed, ["doc_id", "tag"]).select("doc_id", "tag", "text", "chosen")
 
-    suffixes = marked.df.select(F.posexplode("anchors").alias("k", "g"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("a"), F.lit(window - min(PREFIX, window)).alias("b"), "doc_id", "tag", F.lit(-1).alias("start"))
+    suffixes = distinct.select("g", F.lit(0).cast("long").alias("h"), F.lit(0).alias("a"), F.lit(window - min(PREFIX, window)).alias("b"), "doc_id", "tag", "k", F.col("g").alias("g0"), "c")
     small, nodes = None, None
     while True:
-        sizes = shared(suffixes, "groups")
-        fits = suffixes.join(sizes.where(F.col("rows") <= group_rows), group)
+        sizes = shared(suffixes)
+        fits = suffixes.join(sizes.where(F.col("rows") <= group_rows), group).select(*suffixes.columns)
         small = fits if small is None else small.unionByName(fits)
         large = sizes.where(F.col("rows") > group_rows)
         if not large.head(1):
@@ -287,15 +322,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group_rows: int = GROU
         split = Staged(texts_of(suffixes.join(large, group)).mapInArrow(tidied(_longer_prefixes(window)), _SUFFIX), "suffixes").df
         whole = split.where("a = b")  # a prefix as long as the window
         nodes = whole if nodes is None else nodes.unionByName(whole)
-        suffixes = split.where("a < b")
-    small = small.select("doc_id", "tag", "k", "a", "b", F.xxhash64(*group).alias("g"))
+        suffixes = split.where("a < b").drop("start")
+    small = small.select("doc_id", "tag", "k", "a", "b", "g0", "c", F.xxhash64(*group).alias("g"))
     contexts = Staged(texts_of(small).mapInArrow(tidied(_contexts(window)), _CONTEXT), "contexts")
-    spans = contexts.df.repartition("g").sortWithinPartitions("g").mapInArrow(tidied(_trees(window, block_rows)), "doc_id long, tag long, start int, stop int")
+    cut = contexts.df.repartition("g").sortWithinPartitions("g").mapInArrow(tidied(_trees(window, block_rows)), "g0 long, c long, start int, stop int")
     if nodes is not None:
         least = Staged(nodes.groupBy(*group).agg(F.min("doc_id").alias("least")), "least").df
-        spans = spans.unionByName(nodes.join(least, group).where("doc_id > least").select("doc_id", "tag", "start", (F.col("start") + window).alias("stop")))
-    spans = Staged(spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    return marked, spans
+        cut = cut.unionByName(nodes.join(least, group).where("doc_id > least").select("g0", "c", "start", (F.col("start") + window).alias("stop")))
+    cut = Staged(cut.select(F.col("g0").alias("g"), "c", F.struct("start", "stop").alias("cut")).groupBy("g", "c").agg(F.collect_list("cut").alias("cut")), "cut").df
+    all_of = F.array(F.struct(F.lit(0).alias("start"), (F.col("cnt") - 1 + window).alias("stop")))
+    facts = distinct.select("g", "c", F.col("doc_id").alias("least")).join(cut, ["g", "c"], "left")
+    held = members.join(Staged(facts, "facts").df, ["g", "c"]).withColumn("cut", F.when(F.col("doc_id") > F.col("least"), all_of).otherwise(F.col("cut"))).where("cut is not null")
+    held = held.select("doc_id", "tag", F.transform("cut", lambda x: F.struct((x["start"] + F.col("first")).alias("start"), (x["stop"] + F.col("first")).alias("stop"))).alias("cut"))
+    return marked, Staged(held.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("cut")).alias("spans")), "spans")
 
 
 def drop_repeated_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, texts: bool = True) -> DataFrame:

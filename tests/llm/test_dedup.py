@@ -207,7 +207,7 @@ def test_prefixes_grow_until_groups_fit(spark):
     passage = [f"p{k}" for k in range(70)]
     data = [(i, " ".join([*[f"u{rng.random()}" for _ in range(60)], *passage, *[f"v{rng.random()}" for _ in range(60)]])) for i in range(40)]
     docs = docs_of(spark, data).select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    chosen = docs.select("doc_id", "tag", "text", F.expr("array(named_struct('k', 3, 'a', 0, 'b', 40, 'g', 1L))").alias("chosen"))
+    chosen = docs.select("doc_id", "tag", "text", F.expr("array(named_struct('k', 3, 'a', 0, 'b', 40, 'g', 1L, 'g0', 1L, 'c', 1L))").alias("chosen"))
     split = chosen.mapInArrow(substring_dedup._longer_prefixes(50), substring_dedup._SUFFIX).collect()
     assert {(r["a"], r["b"]) for r in split} <= {(0, 20), (21, 40)}
     got = substring_dedup.drop_repeated_substrings(docs_of(spark, data), group_rows=3).collect()
