@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from buildlens.llm.common import SPACE, Staged, word_count
 
-ROWS_PER_BUCKET, MOST_REPEATS = 20_000, 3
+ROWS_PER_BUCKET, MOST_REPEATS = 2_000, 3
 #: Weights 1, 2, 3 and so on in source order; each has a tilt of its schedule (-1: all early, 1: all late).
 WEIGHTS, TILTS = (1, 2, 3), (-0.5, 0.0, 0.5)
 
