@@ -81,7 +81,8 @@ class Staged:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/buildlens/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
         out = df.write.option("parquet.block.size", str(32 << 20))  # small row groups: less memory in writers
-        (out.partitionBy(by) if by else out).parquet(self.path)
+        with small_batches(self.spark):
+            (out.partitionBy(by) if by else out).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
         if staging.open:
@@ -95,6 +96,20 @@ class Staged:
         atexit.unregister(self.drop)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Within it the session hands Arrow batches of few rows to workers, unless it was told a size; after it, as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()
@@ -161,6 +176,7 @@ KEPT: dict[str, dict] = {}
 
 def _give_back() -> None:
     """Idle workers stay beside the JVM for long: freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
