@@ -2,6 +2,9 @@
 
 All stages read whole texts of any length, keep rows with a null id, keep columns of any other name as they are, and give
 an empty table for an empty one; their own rules for nulls, ties and repeated rows are in their docstrings.
+
+This is an application, not a library: where its session isn't told a size of Arrow batches, it chooses one for
+executors of 3 GB. Operators leave the session as it is.
 """
 
 from __future__ import annotations
@@ -22,9 +25,15 @@ SIMILARITY, SEQUENCE = 80, 2048
 LANGUAGES, MIN_SCORE = None, 0.3
 
 
+def _configure(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language of LANGUAGES, or for which less than MIN_SCORE of their words speak, go: other scripts,
     too mixed texts, texts without a letter, null texts. Repeated rows are judged each."""
+    _configure(spark)
     return drop_unidentified(docs, kept=LANGUAGES, min_score=MIN_SCORE)
 
 
@@ -51,6 +60,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     follow the training order within a file, and files are told apart by sequence_id alone."""
     import public_tokenizers
 
+    _configure(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=SEQUENCE)
 
 
