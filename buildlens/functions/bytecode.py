@@ -69,12 +69,12 @@ def library_hash(name: Column) -> Column:
 
 
 def hash_placeholder(digest: Column) -> Column:
-    """What newer compilers write, between two underscores, for a library with that hash."""
+    """What newer compiler releases write, between two underscores, for a library with that hash."""
     return F.concat(F.lit("$"), digest, F.lit("$"))
 
 
 def name_placeholder(qualified: Column) -> Column:
-    """What older compilers write: the qualified name cut or filled to 36 characters."""
+    """What older compiler releases write: the qualified name cut or filled to 36 characters."""
     return F.rpad(qualified, 36, "_")
 
 
@@ -89,6 +89,26 @@ def link(code: Column, qualified: Column, digest: Column, address: Column) -> Co
     return F.replace(once, F.concat(F.lit("__"), name_placeholder(qualified), F.lit("__")), to)
 
 
+def link_all(code: Column, references: Column, libraries: Column) -> Column:
+    """struct<code, references, linked>: all of libraries (array<struct<file, name, digest, address>>) linked in turn.
+
+    references, map<file, array<name>>, lose what was linked, and files without any; a library that they don't name is
+    left alone. linked: no placeholder is left.
+    """
+    kind = "struct<code: string, refs: map<string, array<string>>>"
+    start = F.struct(code.alias("code"), references.alias("refs")).cast(kind)
+
+    def step(state: Column, lib: Column) -> Column:
+        names = state["refs"][lib["file"]]
+        named = F.coalesce(F.array_contains(names, lib["name"]), F.lit(False)) & is_unlinked(state["code"])
+        left = F.transform_values(state["refs"], lambda f, n: F.when(f == lib["file"], F.array_remove(n, lib["name"])).otherwise(n))
+        done = F.struct(link(state["code"], F.concat_ws(":", lib["file"], lib["name"]), lib["digest"], lib["address"]).alias("code"), F.map_filter(left, lambda _, n: F.size(n) > 0).alias("refs"))
+        return F.when(named, done.cast(kind)).otherwise(state)
+
+    out = F.aggregate(libraries, start, step)
+    return F.struct(out["code"].alias("code"), out["refs"].alias("references"), (~is_unlinked(out["code"])).alias("linked"))
+
+
 def is_unlinked(code: Column) -> Column:
     return F.contains(code, F.lit("__"))
 

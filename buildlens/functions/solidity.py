@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.versions import parse_requirement
 
-# What compilers and tools of this language agree on.
+# What all tools of this language agree on.
 PRAGMA = r"pragma\s+solidity\s+(.+?);"
 LICENSE = r"///?\s*SPDX-License-Identifier:\s*(.+)"
 CONTRACT = r"\b(?:contract|library|abstract\s+contract|interface)\s+([\w$]+)"
@@ -27,6 +27,38 @@ def _or_null(found: Column) -> Column:
     return F.when(found != "", found)
 
 
+def captures(content: Column, pattern: str, group: int = 1) -> Column:
+    """array<struct<whole, inner, start, end>> of all matches: the match, one group of it, and its place in characters."""
+    both = F.arrays_zip(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(content, F.lit(pattern), F.lit(group)).alias("inner"))
+    kind = "struct<at: int, found: array<struct<whole: string, inner: string, start: int, end: int>>>"
+    start = F.struct(F.lit(1).alias("at"), F.array().alias("found")).cast(kind)
+
+    def step(state: Column, m: Column) -> Column:
+        at = F.position(m["whole"], content, state["at"])
+        one = F.struct(m["whole"].alias("whole"), m["inner"].alias("inner"), (at - 1).alias("start"), (at - 1 + F.length(m["whole"])).alias("end"))
+        return F.struct((at + F.length(m["whole"])).alias("at"), F.concat(state["found"], F.array(one)).alias("found")).cast(kind)
+
+    return F.aggregate(both, start, step)["found"]
+
+
+#: Text in tokens: strings, comments, and code between them.
+_TOKENS = r""" "(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|//[^\n]*+|/\*[\s\S]*?\*/|[^"'/]++|["'/] """.strip()
+
+
+def renamed(content: Column, names: Column) -> Column:
+    """content in which names, array<struct<alias, target>>, are written as their targets: whole names outside strings and
+    comments, but where they are declared or follow a point."""
+    declared = r"(?<!\b(?:function|error|as|contract|library|interface|struct|enum|event|modifier)\s{1,9})(?<![\w$.])"
+
+    def token(text: Column) -> Column:
+        put = lambda t, n: F.regexp_replace(t, F.concat(F.lit(declared + r"\Q"), n["alias"], F.lit(r"\E(?![\w$])")), F.replace(n["target"], F.lit("$"), F.lit(r"\$")))
+        plain = F.regexp_like(text, F.lit(r"""^["']|^//|^/\*"""))
+        return F.when(plain, text).otherwise(F.aggregate(names, text, put))
+
+    tokens = F.regexp_extract_all(content, F.lit(_TOKENS), F.lit(0))
+    return F.when(F.size(names) > 0, F.array_join(F.transform(tokens, token), "")).otherwise(content)
+
+
 def normal_newlines(content: Column) -> Column:
     """CRLF becomes LF; lone CRs stay."""
     return F.replace(content, F.lit("\r\n"), F.lit("\n"))

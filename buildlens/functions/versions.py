@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: EVM versions in order, and the first compiler that knows each of those from byzantium on (fixed values).
 EVM_VERSIONS = ["homestead", "tangerineWhistle", "spuriousDragon", "byzantium", "constantinople", "petersburg", "istanbul", "berlin", "london", "paris", "shanghai", "cancun", "prague", "osaka"]
 EVM_SINCE = {"byzantium": (0, 4, 21), "constantinople": (0, 4, 22), "petersburg": (0, 5, 5), "istanbul": (0, 5, 14), "berlin": (0, 8, 5), "london": (0, 8, 7), "paris": (0, 8, 18), "shanghai": (0, 8, 20), "cancun": (0, 8, 24), "prague": (0, 8, 27), "osaka": (0, 8, 29)}
-#: First compilers that take a setting; older ones get null (fixed values).
+#: First compiler releases that take a setting; older ones get null (fixed values).
 SETTING_SINCE = {"bytecode_hash": (0, 6, 0), "debug": (0, 6, 0), "stop_after": (0, 7, 3), "via_ir": (0, 7, 5), "inliner": (0, 8, 5), "model_checker": (0, 8, 7), "debug_info": (0, 8, 10), "invariants": (0, 8, 10), "cbor_metadata": (0, 8, 18), "eldarica": (0, 8, 18), "show_proved_safe": (0, 8, 20), "show_unsupported": (0, 8, 20)}
 
 
@@ -138,7 +138,7 @@ def apply_restriction(low: Column, high: Column, value: Column) -> Column:
     return F.when(value.isNull(), F.coalesce(low, high)).when(value < low, low).when(value > high, high).otherwise(value)
 
 
-#: Outputs that Vyper compilers don't give, by the first version that does (null: none does; fixed values).
+#: Outputs that no Vyper release gives, by the first version that does (null: none does; fixed values).
 VYPER_UNSUPPORTED = {"evm.bytecode.sourceMap": None, "evm.deployedBytecode.sourceMap": None}
 VYPER_SEARCH_PATHS = (0, 4, 0)
 

@@ -48,15 +48,25 @@ def walk(trees: DataFrame, path_col: str = "path", ast_col: str = "ast") -> Data
         names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
         types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
         kinds = [types[f.split()[1]] for f in NODE_SCHEMA.split(", ")]
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows.clear()
+            return out
+
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     tree = json.loads(text) if text else None
                 except ValueError:
                     tree = None
-                rows = [(path, *n) for n in _nodes(tree)] if isinstance(tree, dict) else []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                if isinstance(tree, dict):
+                    rows += [(path, *n) for n in _nodes(tree)]
+                if len(rows) >= 8192:
+                    yield batch()
+        if rows:
+            yield batch()
 
     return trees.select(F.col(path_col).alias("path"), F.col(ast_col).cast("string").alias("ast")).mapInArrow(run, NODE_SCHEMA)
 

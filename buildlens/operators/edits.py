@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from buildlens.functions import solidity
 from buildlens.operators.graph import ordered_dependencies
 from buildlens.operators.resolve import first_in_order
+from buildlens.storage import Written
 
 
 def apply_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
@@ -125,22 +126,26 @@ def flattened_text(rows: DataFrame) -> DataFrame:
 def flatten(sources: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, content): each target (path) with everything it imports in one text, by patterns alone.
 
-    Files come in dependency order, the target last. Licence, version, experimental and import lines go; the target's
-    licence and the combined pragma are put in front. Aliases of imported names are written as the names.
+    Files come in dependency order, the target last, each below its path. Licences of first lines, first version
+    pragmas, the first experimental or abicoder pragma of each file and import statements go; in front are the target's
+    licence, the combined version pragma and the first experimental or abicoder pragma in order. Aliases of imported
+    names are written as the names, outside strings, comments and declarations.
     """
     order = ordered_dependencies(edges, targets)
-    rows = order.join(sources.select("path", "content"), "path")
-    license_line = r"(?m)^[^\n]*///?\s*SPDX-License-Identifier:[^\n]*\n?"
-    body = F.regexp_replace("content", license_line, "")
-    for pattern in (r"pragma\s+solidity\s+.+?;", r"pragma\s+(?:experimental|abicoder)\s+.+?;"):
-        body = F.regexp_replace(body, pattern, "")
-    aliases = F.filter(F.flatten(F.transform(solidity.imports(F.col("content")), lambda i: i["aliases"])), lambda a: a["target"].isNotNull())
-    body = F.regexp_replace(body, solidity.IMPORT, "")
-    renamed = F.aggregate(aliases, body, lambda text, a: F.regexp_replace(text, F.concat(F.lit(r"\b"), a["alias"], F.lit(r"\b")), a["target"]))
-    licence = F.regexp_extract("content", solidity.LICENSE, 1)
-    rows = rows.select("target", "place", F.nullif(licence, F.lit("")).alias("license"), renamed.alias("body"), F.split(solidity.version_text(F.col("content")), r"[ ,]+").alias("parts"))
+    c = F.col("content")
+    version, special = r"pragma\s+solidity\s+.+?;", r"pragma\s+(?:experimental|abicoder)\s+.+?;"
+    first_line = F.regexp_extract(c, r"^([^\n]*)", 1)
+    bare = F.concat(F.regexp_replace(first_line, solidity.LICENSE, ""), F.substr(c, F.length(first_line) + 1))
+    for pattern in (version, special):
+        bare = F.regexp_replace(bare, r"(?s)^(.*?)" + pattern.replace(".+?", "[^\\n]+?"), "$1")
+    aliases = F.filter(F.flatten(F.transform(solidity.imports(c), lambda i: i["aliases"])), lambda a: a["target"].isNotNull())
+    body = solidity.renamed(F.regexp_replace(bare, solidity.IMPORT, ""), aliases)
+    # once for each file, however many targets have it
+    facts = sources.select("path", F.concat(F.lit("// "), "path", F.lit("\n"), body).alias("body"), solidity.license_of(c).alias("license"), F.nullif(F.regexp_extract(c, special, 0), F.lit("")).alias("special"), F.split(solidity.version_text(c), r"[ ,]+").alias("parts"))
+    rows = order.join(Written(facts, "flat").df, "path")
     parts = rows.select("target", F.explode("parts").alias("p")).where("p <> ''").groupBy("target").agg(F.concat_ws(" ", F.array_sort(F.collect_set("p"))).alias("pragma"))
-    return flattened_text(rows.drop("parts").join(parts, "target", "left"))
+    first = rows.where("special is not null").groupBy("target").agg(F.min_by("special", "place").alias("abicoder"))
+    return flattened_text(rows.select("target", "place", "license", "body").join(parts, "target", "left").join(first, "target", "left"))
 
 
 def flatten_with_trees(sources: DataFrame, nodes: DataFrame, edges: DataFrame, target: str) -> DataFrame:

@@ -21,16 +21,41 @@ def closure(edges: DataFrame, roots: DataFrame, include_self: bool = True) -> Da
     edges = Written(edges.select("src", "dst").distinct(), "edges").df
     start = roots.select("root").distinct()
     if include_self:
-        fresh = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    else:
-        fresh = start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(1).alias("depth"))
-    seen, more = Growing(fresh, "closure"), True
+        return closure_from(edges, start.select("root", F.col("root").alias("node")))
+    first = start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node"))
+    return closure_from(edges, first).withColumn("depth", F.col("depth") + 1)
+
+
+def closure_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(root, node, depth): everything reachable from each root's seeds (root, node), with its smallest distance from
+    one. A root may be a group of files: the table has a row for each group and node, not for each pair of files."""
+    edges = Written(edges.select("src", "dst").distinct(), "edges").df
+    seen, more = Growing(seeds.select("root", "node", F.lit(0).alias("depth")).distinct(), "closure"), True
     while more:
         step = seen.last.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
         more = seen.add(step.join(seen.df, ["root", "node"], "left_anti"))
     return seen.df
 
 
+def spread_bounds(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(path, lo, hi): the greatest lo and the least hi of all that each file (path, lo, hi) reaches, itself included; a
+    null bounds nothing. Bounds move along the edges until none changes: a row for each file, no pairs."""
+    edges = Written(edges.select("src", "dst").distinct(), "edges").df
+    known = Written(own.groupBy("path").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")), "bounds")
+    changed = known
+    while True:
+        offers = changed.df.join(edges, F.col("path") == F.col("dst")).groupBy("src").agg(F.max("lo").alias("more"), F.min("hi").alias("less"))
+        new = known.df.join(offers, F.col("path") == F.col("src")).select("path", F.greatest("lo", "more").alias("new_lo"), F.least("hi", "less").alias("new_hi"), "lo", "hi")
+        better = Written(new.where(~F.col("new_lo").eqNullSafe(F.col("lo")) | ~F.col("new_hi").eqNullSafe(F.col("hi"))).select("path", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi")), "better")
+        if not better.df.head(1):
+            return known.df
+        after = Written(known.df.join(better.df.select("path"), "path", "left_anti").unionByName(better.df), "bounds")
+        known.drop()
+        if changed is not known:
+            changed.drop()
+        known, changed = after, better
+
+
 def transitive_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(root, node) of each file (path): its dependencies, the file itself only on a cycle."""
     return closure(edges, files.select(F.col("path").alias("root")), include_self=False).select("root", "node")
@@ -92,9 +117,10 @@ def sources_by_version(edges: DataFrame, inputs: DataFrame) -> DataFrame:
 
     A file is in a group once, as input if it is one there.
     """
-    reach = closure(edges, inputs.select(F.col("path").alias("root")))
-    rows = inputs.join(reach, F.col("path") == F.col("root")).select("language", "version", "profile", F.col("node").alias("path"), (F.col("depth") == 0).alias("is_input"))
-    return rows.groupBy("language", "version", "profile", "path").agg(F.bool_or("is_input").alias("is_input"))
+    key = ["language", "version", "profile"]
+    reach = closure_from(edges, inputs.select(F.struct(*key).alias("root"), F.col("path").alias("node"))).select("root.*", F.col("node").alias("path"))
+    own = inputs.select(*key, "path", F.lit(True).alias("is_input")).distinct()
+    return reach.join(own, [*key, "path"], "left").withColumn("is_input", F.coalesce("is_input", F.lit(False)))
 
 
 def unresolved(resolved: DataFrame) -> DataFrame:
@@ -123,13 +149,31 @@ def render(edges: list[tuple[str, str]], root: str, ascii_only: bool = False) ->
 
 
 def standard_input(edges: DataFrame, targets: DataFrame, sources: DataFrame, root: str) -> DataFrame:
-    """(target, path, content): a target and its imports, each once, with paths relative to root."""
+    """(target, path, content): a target and its imports, each once, with paths relative to root. Remappings, which lead
+    to folders below root as well, are made relative by relative_remappings."""
     from buildlens.functions.paths import rebase_path
 
     reach = closure(edges, targets.select(F.col("path").alias("root"))).select(F.col("root").alias("target"), F.col("node").alias("path"))
     return reach.join(sources.select("path", "content"), "path").select("target", rebase_path(F.lit(root), F.col("path")).alias("path"), "content")
 
 
+def relative_remappings(remappings: DataFrame, root: str) -> DataFrame:
+    """remappings (ordinal, context, name, path) with contexts and paths relative to root where they are below it."""
+    from buildlens.functions.paths import strip_prefix
+
+    at = lambda c: strip_prefix(F.col(c), F.lit(root))
+    return remappings.withColumns({"context": at("context"), "path": at("path")})
+
+
+def finalize_imports(imports: DataFrame, by_language: dict) -> DataFrame:
+    """imports (language, ...) after each language's own last step (a function from its rows to rows); other languages'
+    rows stay as they are, and all of them in one table again."""
+    out = imports.where(~F.coalesce(F.col("language").isin(*by_language), F.lit(False)))
+    for language, step in by_language.items():
+        out = out.unionByName(step(imports.where(F.col("language") == language)))
+    return out
+
+
 def format_imports(root: str, dependencies: list[tuple[str, str | None]], incompatible: set[str] = frozenset()) -> str:
     """A file and what it imports (path, requirement) as lines, incompatible ones marked with !."""
     line = lambda path, need: ("! " if path in incompatible else "") + path + (f" {need}" if need else "")

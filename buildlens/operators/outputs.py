@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.paths import output_file
 from buildlens.operators.resolve import first_in_order
+from buildlens.storage import Written
 
 
 def explode_contracts(outputs: DataFrame) -> DataFrame:
@@ -145,44 +146,79 @@ def artifact_files(contracts: DataFrame, primary_profile: str = "default") -> Da
     The version is in the name if the contract has several, the profile if it has several and this isn't the primary
     one.
     """
-    whole = Window.partitionBy("path", "name")
-    versions, profiles = F.size(F.collect_set("version").over(whole)), F.size(F.collect_set("profile").over(whole))
-    with_profile = (profiles > 1) & (F.col("profile") != primary_profile)
-    return contracts.withColumn("file", output_file(F.col("path"), F.col("name"), F.when(versions > 1, F.col("version")), F.when(with_profile, F.col("profile"))))
+    several = contracts.groupBy("path", "name").agg((F.min("version") < F.max("version")).alias("_versions"), (F.min("profile") < F.max("profile")).alias("_profiles"))
+    rows = contracts.join(several, ["path", "name"])
+    with_profile = F.col("_profiles") & (F.col("profile") != primary_profile)
+    file = output_file(F.col("path"), F.col("name"), F.when(F.col("_versions"), F.col("version")), F.when(with_profile, F.col("profile")))
+    return rows.withColumn("file", file).select(*contracts.columns, "file")
 
 
-def conflict_free(artifacts: DataFrame) -> DataFrame:
-    """artifacts (path, file, ...) with `file` unique, ignoring case.
+def _alternative(n: Column) -> Column:
+    """The n-th name of a file: itself, then with 1, 2 ... of its source's innermost directories in front, and beyond those
+    with a number at its first component."""
+    depth = F.size("_folders")
+    longer = F.concat_ws("/", F.array_join(F.slice("_folders", F.greatest(depth - n + 1, F.lit(1)), F.least(n, depth)), "/"), F.col("_file"))
+    numbered = F.concat(F.regexp_extract("_file", "^([^/]*)", 1), F.lit("_"), (n - depth).cast("string"), F.regexp_extract("_file", "^[^/]*(.*)$", 1))
+    return F.when(n == 0, F.col("_file")).when(n <= depth, longer).otherwise(numbered)
 
-    Of those that share a file, the one with the fewest directories, then the first path, keeps it; the others get
-    parent directories in front, as many as it takes to differ from the keeper's, and where that isn't unique either, a
-    number at the first component. Only rows that collide are looked at together.
+
+def conflict_free(artifacts: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """artifacts (path, file, ...) with `file` unique, ignoring case, and none of `taken` (file).
+
+    In rounds, one for each directory of the deepest path: of the rows that ask for one name the one with the fewest
+    directories, then the first path, gets it, if it isn't taken; the others ask for their next name (see _alternative).
+    What is left is numbered, the rows of one name by the same order at once; a number that is taken is followed by one
+    beyond those of all the others. Only rows that still collide take part in a round.
     """
     folders = F.filter(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda p: p != "")
-    rows = artifacts.withColumns({"_folders": folders, "_at": F.lower("file")})
-    order = Window.partitionBy("_at").orderBy(F.size("_folders"), "path")
-    rows = rows.withColumn("_n", F.row_number().over(order))
-    first = F.first(F.struct("_folders", "path")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("_keeper", first["_folders"])
-    # parents from the innermost outward, until they are no longer the keeper's own
-    mine, theirs = F.reverse(F.transform("_folders", F.lower)), F.reverse(F.transform("_keeper", F.lower))
-    steps = F.when(F.size("_folders") > 0, F.sequence(F.lit(1), F.size("_folders"))).otherwise(F.array().cast("array<int>"))
-    differ = F.array_min(F.filter(steps, lambda n: ~F.slice(mine, 1, n).eqNullSafe(F.slice(theirs, 1, n))))
-    depth = F.coalesce(differ, F.size("_folders"))
-    longer = F.concat_ws("/", F.array_join(F.slice("_folders", F.greatest(F.size("_folders") - depth + 1, F.lit(1)), F.greatest(depth, F.lit(0))), "/"), F.col("file"))
-    rows = rows.withColumn("file", F.when((F.col("_n") == 1) | (F.size("_folders") == 0), F.col("file")).otherwise(longer))
-    again = Window.partitionBy(F.lower("file")).orderBy(F.col("_n") > 1, "path")
-    rows = rows.withColumn("_k", F.row_number().over(again) - 1)
-    numbered = F.concat(F.regexp_extract("file", "^([^/]*)", 1), F.lit("_"), F.col("_k").cast("string"), F.regexp_extract("file", "^[^/]*(.*)$", 1))
-    return rows.withColumn("file", F.when(F.col("_k") > 0, numbered).otherwise(F.col("file"))).drop("_folders", "_at", "_n", "_keeper", "_k")
+    rows = artifacts.withColumnRenamed("file", "_file").withColumns({"_folders": folders, "_n": F.lit(0), "_row": F.monotonically_increasing_id()})
+    waiting, done, numbered = Written(rows, "waiting"), [], []
+    order = [F.size("_folders"), "path", *[F.col(c) for c in artifacts.columns if c not in ("path", "file")], "_row"]
+    gone = artifacts.sparkSession.createDataFrame([], "_key string") if taken is None else taken.select(F.lower("file").alias("_key"))
+
+    def ask(df: DataFrame) -> DataFrame:
+        """Rows with the name they ask for, and whether it is taken."""
+        names = gone
+        for d in done:
+            names = names.unionByName(d.df.select("_key"))
+        asking = df.withColumn("file", _alternative(F.col("_n"))).withColumn("_key", F.lower("file"))
+        return asking.join(names.distinct().withColumn("_gone", F.lit(True)), "_key", "left").withColumn("_taken", F.coalesce("_gone", F.lit(False))).drop("_gone")
+
+    while waiting.df.head(1):
+        ranked = ask(waiting.df).withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+        ranked = Written(ranked, "asking")
+        got = ~F.col("_taken") & (F.col("_rank") == 1)
+        done.append(Written(ranked.df.where(got).select(*artifacts.columns, "_key"), "settled"))
+        rest = ranked.df.where(~got).withColumn("_n", F.col("_n") + 1).select(*rows.columns)
+        numbered.append(Written(rest.where(F.col("_n") > F.size("_folders")), "numbered"))
+        waiting.drop()
+        waiting = Written(rest.where(F.col("_n") <= F.size("_folders")), "waiting")
+    rest = numbered[0].df if numbered else rows.limit(0)
+    for more in numbered[1:]:
+        rest = rest.unionByName(more.df)
+    by = Window.partitionBy(F.lower("_file"))
+    rest = Written(rest.withColumns({"_n": F.size("_folders") + F.row_number().over(by.orderBy(*order)), "_all": F.count(F.lit(1)).over(by)}), "waiting")
+    while rest.df.head(1):
+        asked = Written(ask(rest.df), "asking")
+        done.append(Written(asked.df.where(~F.col("_taken")).select(*artifacts.columns, "_key"), "settled"))
+        after = Written(asked.df.where("_taken").withColumn("_n", F.col("_n") + F.col("_all")).select(*rest.df.columns), "waiting")
+        rest.drop()
+        rest = after
+    return artifacts.sparkSession.read.schema(artifacts.schema).parquet(*[d.path for d in done]) if done else artifacts
 
 
 def artifact_paths(contracts: DataFrame, cached: DataFrame, primary_profile: str = "default") -> DataFrame:
-    """contracts with file: the cached artifact_path of the same key, or else a new one free of conflicts."""
+    """contracts with file: the cached artifact_path of the same key, or else a new one that no cached artifact and no
+    other contract has.
+
+    Names carry a version or profile where the contract has several among contracts and cached ones together.
+    """
     key = ["path", "name", "version", "profile"]
     old = contracts.join(cached.select(*key, F.col("artifact_path").alias("file")), key)
-    new = conflict_free(artifact_files(contracts.join(cached.select(*key), key, "left_anti"), primary_profile))
-    return old.unionByName(new)
+    known = cached.join(contracts.select("path", "name").distinct(), ["path", "name"], "left_semi").select(*key)
+    named = artifact_files(contracts.select(*key).unionByName(known).distinct(), primary_profile)
+    new = contracts.join(named, key).join(cached.select(*key), key, "left_anti")
+    return old.unionByName(conflict_free(new.select(*old.columns), cached.select(F.col("artifact_path").alias("file"))))
 
 
 def standalone_sources(sources: DataFrame, contracts: DataFrame) -> DataFrame:

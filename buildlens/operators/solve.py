@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.functions.versions import matches, merge_requirements, satisfies
-from buildlens.operators.graph import closure
+from buildlens.functions.versions import matches, merge_requirements, parse_requirement, satisfies
+from buildlens.operators.graph import closure, spread_bounds
+from buildlens.storage import Written
 
 
 def available_versions(installed: DataFrame, remote: DataFrame | None = None) -> DataFrame:
@@ -17,6 +18,12 @@ def available_versions(installed: DataFrame, remote: DataFrame | None = None) ->
     return own.unionByName(remote.select("v").distinct().join(own.select("v"), "v", "left_anti").withColumn("installed", F.lit(False)))
 
 
+def parsed_requirements(files: DataFrame) -> DataFrame:
+    """(path, requirement) of files (path, version_text). Each distinct text, of which there are few, is parsed once."""
+    texts = Written(files.select("version_text").where("version_text is not null").distinct().select("version_text", parse_requirement(F.col("version_text")).alias("requirement")), "requirements").df
+    return files.select("path", "version_text").join(texts, "version_text", "left").select("path", "requirement")
+
+
 def version_requirements(files: DataFrame, restrictions: DataFrame) -> DataFrame:
     """(path, requirement): a file's own requirement and the project's for it; null where there is neither."""
     extra = restrictions.select("path", F.col("requirement").alias("extra"))
@@ -24,25 +31,32 @@ def version_requirements(files: DataFrame, restrictions: DataFrame) -> DataFrame
 
 
 def check_available(requirements: DataFrame, versions: DataFrame) -> DataFrame:
-    """(path, ok): whether any version meets the file's requirement. Versions are few and go along as one array."""
-    all_versions = versions.agg(F.collect_list("v").alias("all"))
-    return requirements.withColumn("_all", all_versions.scalar()).select("path", F.exists("_all", lambda v: matches(F.col("requirement"), v)).alias("ok"))
+    """(path, ok, error) whether any version meets the file's requirement: error is null, "not installed" where one that
+    isn't installed does, or "no version". Versions (v, perhaps installed) are few and go along as one array."""
+    installed = F.col("installed") if "installed" in versions.columns else F.lit(True)
+    every = versions.agg(F.collect_list(F.struct("v", installed.alias("installed"))).alias("all"))
+    rows = requirements.withColumn("_all", every.scalar()).withColumn("_fit", F.filter("_all", lambda c: matches(F.col("requirement"), c["v"])))
+    own, any_ = F.exists("_fit", lambda c: c["installed"]), F.size("_fit") > 0
+    return rows.select("path", any_.alias("ok"), F.when(own, F.lit(None).cast("string")).when(any_, "not installed").otherwise("no version").alias("error"))
 
 
 def file_candidates(requirements: DataFrame, versions: DataFrame) -> DataFrame:
     """(path, candidates array<struct<installed, v>>) of each file by itself."""
     every = versions.agg(F.collect_list(F.struct("installed", "v")).alias("all"))
-    return requirements.withColumn("_all", every.scalar()).select("path", F.filter("_all", lambda c: matches(F.col("requirement"), c["v"])).alias("candidates"))
+    distinct = requirements.select("requirement").distinct().withColumn("_all", every.scalar())
+    found = Written(distinct.select(F.col("requirement").alias("_r"), F.filter("_all", lambda c: matches(F.col("requirement"), c["v"])).alias("candidates")), "candidates").df
+    return requirements.join(found, F.col("requirement").eqNullSafe(F.col("_r"))).select("path", "candidates")
 
 
 def compatible_versions(requirements: DataFrame, edges: DataFrame, inputs: DataFrame, versions: DataFrame) -> DataFrame:
     """(path, candidates) of each input (path): versions that it and all it imports can take, by version.
 
-    Requirements are intervals, and so is their conjunction over a closure: two aggregates, no pairs with versions.
+    Requirements are intervals, and so is their conjunction over a closure: bounds that move along the edges.
     """
-    reach = closure(edges, inputs.select(F.col("path").alias("root")))
-    need = reach.join(requirements.withColumnRenamed("path", "node"), "node").where("requirement is not null").groupBy("root").agg(F.max("requirement.lo").alias("lo"), F.min("requirement.hi").alias("hi"))
-    need = need.select(F.col("root").alias("path"), F.struct("lo", "hi").alias("requirement"))
+    nodes = edges.select(F.col("src").alias("path")).unionByName(edges.select(F.col("dst").alias("path"))).distinct()
+    own = requirements.select("path", "requirement.lo", "requirement.hi")
+    need = spread_bounds(edges, own.unionByName(nodes.join(own, "path", "left_anti"), allowMissingColumns=True))
+    need = need.select("path", F.when(F.col("lo").isNotNull() | F.col("hi").isNotNull(), F.struct("lo", "hi")).alias("requirement"))
     return file_candidates(inputs.select("path").distinct().join(need, "path", "left"), versions).select("path", F.array_sort(F.transform("candidates", lambda c: F.struct(c["v"].alias("v"), c["installed"].alias("installed")))).alias("candidates"))
 
 
@@ -60,6 +74,14 @@ def best_candidate(candidates):
     return F.when(F.size(own) > 0, F.array_max(own)).otherwise(F.array_max(candidates))["v"]
 
 
+def rechecked_versions(chosen: DataFrame, edges: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(path, v, ok): whether each chosen version (path, v) also meets what all that the file imports demands now; where
+    several versions were chosen, files for which it doesn't have to be solved again."""
+    own = requirements.select("path", "requirement.lo", "requirement.hi")
+    need = spread_bounds(edges, own).select("path", F.struct("lo", "hi").alias("requirement"))
+    return chosen.join(need, "path", "left").select("path", "v", matches(F.col("requirement"), F.col("v")).alias("ok"))
+
+
 def chosen_versions(candidates: DataFrame) -> DataFrame:
     """(path, v) of each input that has candidates.
 

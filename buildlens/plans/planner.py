@@ -1,6 +1,6 @@
 """From sources to compile jobs, and from job outputs back to tables.
 
-Compilers are outside programs; a job is a row, and whatever runs it (a program on the executors, or outputs that are
+A compiler is an outside program; a job is a row, and whatever runs it (a program on the executors, or outputs that are
 already there) is a function from a job's JSON input to JSON output.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from buildlens.functions import solidity
 from buildlens.functions.paths import guess_language, parent
 from buildlens.functions.versions import version
-from buildlens.operators import graph, incremental, resolve, solve
+from buildlens.operators import graph, incremental, outputs, resolve, solve
+from buildlens.sources import sinks
 from buildlens.storage import Written
 
 
@@ -37,12 +38,13 @@ def parsed_sources(sources: DataFrame) -> DataFrame:
     """sources (path, content) with license, version_text, requirement, imports, libraries, contract_names, is_yul and
     language, by patterns."""
     c = F.col("content")
-    return sources.withColumns(
+    parsed = sources.withColumns(
         {
-            "license": solidity.license_of(c), "version_text": solidity.version_text(c), "requirement": solidity.version_requirement(c), "imports": solidity.imports(c), "libraries": solidity.libraries(c),
+            "license": solidity.license_of(c), "version_text": F.coalesce(solidity.version_text(c), solidity.vyper_version(c)), "imports": solidity.imports(c), "libraries": solidity.libraries(c),
             "contract_names": solidity.contract_names(c), "is_yul": solidity.is_yul(F.col("path")), "language": guess_language(F.col("path")),
         }
     )
+    return parsed.join(solve.parsed_requirements(parsed), "path")
 
 
 def import_graph(parsed: DataFrame, project: Project) -> tuple[DataFrame, DataFrame]:
@@ -98,6 +100,41 @@ def run_process(program: str, arguments: list[str], text: str, timeout: int = 60
     return done.stdout
 
 
+def by_language(compilers: dict[str, Callable[[str, str], str]]) -> Callable[[str, str], str]:
+    """One function for run_jobs that hands a job to the compiler of its input's language; an error for any other."""
+
+    def compile_one(v: str, text: str) -> str:
+        language = json.loads(text)["language"]
+        if language not in compilers:
+            raise ValueError(f"no compiler for {language}")
+        return compilers[language](v, text)
+
+    return compile_one
+
+
+def vyper_process(program: str, timeout: int = 600) -> Callable[[str, str], str]:
+    """A Vyper program for run_jobs: standard JSON in, standard JSON out, whatever the version."""
+    return lambda _, text: run_process(program, ["--standard-json"], text, timeout)
+
+
+_VERSIONS: dict[tuple, str] = {}
+
+
+def program_version(program: str, arguments: tuple[str, ...] = ("--version",)) -> str:
+    """What a program says its version is; asked once for each program and arguments in a Python process."""
+    key = (program, arguments)
+    if key not in _VERSIONS:
+        done = subprocess.run([program, *arguments], capture_output=True, text=True, timeout=60, check=True)
+        lines = [x for x in done.stdout.split("\n") if x.strip()]
+        _VERSIONS[key] = lines[-1].strip().removeprefix("Version:").strip().replace(".g++", ".gcc")
+    return _VERSIONS[key]
+
+
+def job_dumps(jobs: DataFrame, column: str, name: str) -> DataFrame:
+    """(path, content) of jobs' inputs or outputs for write_files, for a look at them: <name>.<version>.<job>.json."""
+    return jobs.select(F.concat(F.lit(name + "."), "version", F.lit("."), "job_id", F.lit(".json")).alias("path"), F.col(column).alias("content"))
+
+
 def run_jobs(jobs: DataFrame, compile_one: Callable[[str, str], str], parallel: int | None = None) -> DataFrame:
     """(job_id, version, output): compile_one(version, input) for each job, one at a time in every task.
 
@@ -137,13 +174,35 @@ def output_tables(outputs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return diagnostics, contracts, sources
 
 
-def compile_files(sources: DataFrame, project: Project, installed: DataFrame, compile_one: Callable[[str, str], str], settings: dict | None = None, entries: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The whole way: parse, resolve, solve, drop what is clean, run, and read the outputs as tables."""
+def compile_files(sources: DataFrame, project: Project, installed: DataFrame, compile_one: Callable[[str, str], str], settings: dict | None = None, entries: DataFrame | None = None, artifacts: DataFrame | None = None, out: str | None = None, dumps: bool = False, preprocess: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The whole way: parse, resolve, solve, drop what is clean, run, and read the outputs as tables.
+
+    preprocess: a function from sources (path, content) to sources, before compiling. artifacts: the cached ones (path,
+    name, version, profile, artifact_path, build_id), whose paths stay. out: a folder for the artifacts as JSON, for the
+    cache (Parquet, below cache), and with dumps for all inputs and outputs.
+    """
     parsed = Written(parsed_sources(sources), "parsed").df
     edges, missing = import_graph(parsed, project)
     jobs = plan_jobs(parsed, edges, installed, project, entries)
     need = incremental.job_kinds(parsed.select("path"), jobs.where("dirty").select("path"), edges)
-    inputs = job_inputs(jobs.join(need.select("path"), "path", "left_semi"), parsed, json.dumps(settings or {}))
+    texts = parsed.select("path", "content")
+    inputs = Written(job_inputs(jobs.join(need.select("path"), "path", "left_semi"), preprocess(texts) if preprocess else texts, json.dumps(settings or {})), "inputs").df
     done = Written(run_jobs(inputs, compile_one), "outputs").df
     diagnostics, contracts, out_sources = output_tables(done)
-    return {"jobs": jobs, "unresolved": missing, "diagnostics": diagnostics, "contracts": contracts, "sources": out_sources}
+    found = {"jobs": jobs, "unresolved": missing, "diagnostics": diagnostics, "contracts": contracts, "sources": out_sources}
+    if out is None:
+        return found
+    none = "path string, name string, version string, profile string, artifact_path string, build_id string"
+    old = parsed.sparkSession.createDataFrame([], none) if artifacts is None else artifacts
+    made = contracts.join(inputs.select("job_id", "profile"), "job_id").dropDuplicates(incremental.KEY)
+    placed = outputs.artifact_paths(made.select(*incremental.KEY), old.select(*incremental.KEY, "artifact_path"), project.profile)
+    made = Written(made.join(placed, incremental.KEY), "made").df
+    files = sinks.artifact_json(made, ["abi", "bytecode", "deployed", "metadata"])
+    if dumps:
+        files = files.unionByName(job_dumps(inputs, "input", "input")).unionByName(job_dumps(done, "output", "output"))
+    Written(sinks.write_files(files, out), "files")
+    fresh = made.select(*incremental.KEY, F.col("file").alias("artifact_path"), F.col("job_id").alias("build_id"))
+    kept = incremental.upsert(old.select(*fresh.columns), fresh)
+    now = incremental.cache_entry_rows(texts.withColumns({"mtime_ms": F.lit(None).cast("long"), "version_text": F.lit(None).cast("string")}), edges)
+    sinks.write_cache(now, kept, kept.select("build_id").distinct(), f"{out}/cache")
+    return found | {"artifacts": kept}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from buildlens.functions import bytecode, paths, solidity, versions
 from buildlens.operators import ast, edits, filters, graph, incremental, outputs, resolve, solve, sourcemap
 from buildlens.plans.planner import parsed_sources
-from buildlens.storage import Written
+from buildlens.storage import Written, shared_dir
 
 PATH = "concat('src/d', CAST({k} % 17 AS STRING), '/C', CAST({k} AS STRING), CASE WHEN {k} % 7 = 0 THEN '.t.sol' WHEN {k} % 11 = 0 THEN '.yul' ELSE '.sol' END)"
 _P = PATH.format(k="p_partkey")
@@ -116,7 +116,7 @@ _INSTALLED = [(0, 7, 4), (0, 7, 5), (0, 7, 6), (0, 8, 0), (0, 8, 4), (0, 8, 19),
 def version_candidates(spark, sources):
     """Versions that each file's own pragma allows, and the best of them."""
     v = spark.createDataFrame([(list(x),) for x in _INSTALLED], "v array<int>")
-    reqs = sources.select("path", solidity.version_requirement(F.col("content")).alias("requirement"))
+    reqs = solve.parsed_requirements(sources.select("path", solidity.version_text(F.col("content")).alias("version_text")))
     found = solve.file_candidates(reqs, solve.available_versions(v))
     best = solve.best_candidate(F.transform("candidates", lambda c: F.struct(c["v"].alias("v"), c["installed"].alias("installed"))))
     return found.where(F.size("candidates") > 0).select("path", F.size("candidates").cast("long").alias("n"), (best[1] * 100 + best[2]).alias("best"))
@@ -174,8 +174,8 @@ def dirty_files(spark, edges, sources):
 
 
 @_query(
-    f"RECURSIVE WITH {_CLOSURE}, own AS (SELECT DISTINCT src AS f FROM edges UNION SELECT dst FROM edges), every AS (SELECT root, node FROM reach UNION SELECT f, f FROM own)"
-    """, sizes AS (SELECT root AS node, count(*) AS n FROM every GROUP BY root), targets AS (SELECT path FROM sources WHERE size = 3 AND id >= 3)
+    f"RECURSIVE WITH {_CLOSURE}, own AS (SELECT DISTINCT src AS f FROM edges UNION SELECT dst FROM edges UNION SELECT path FROM sources), every AS (SELECT root, node FROM reach UNION SELECT f, f FROM own)"
+    """, sizes AS (SELECT root AS node, count(*) AS n FROM every GROUP BY root), targets AS (SELECT path FROM sources)
     SELECT root AS target, node AS path, row_number() OVER (PARTITION BY root ORDER BY node = root, n, regexp_extract(node, '([^/]*)$', 1), node) - 1 AS place FROM every JOIN sizes USING (node) JOIN targets ON root = path""",
     edges=EDGES,
     sources=SOURCES,
@@ -418,32 +418,61 @@ def renamed_definitions(spark, trees):
     return renamed.join(counts, "name").select("path", "name", "n_definitions", "new_name")
 
 
-@_query(None, edges=EDGES, sources=SOURCES)
+#: The same files with a second pragma in some, and with a name that is an alias, a string and part of a comment.
+FLAT = f"""SELECT id, path, size, brand, replace(replace(content, concat(';', chr(10), 'import "./'), concat(';', chr(10), CASE WHEN size % 4 = 0 THEN concat('pragma abicoder v', CAST(id % 3 AS STRING), ';', chr(10)) ELSE '' END, 'import "./')),
+  concat(' {{}}', chr(10), 'library'), concat(' is T {{ string s = "T"; T t = T.make(xT, ''T''); /* T */ function T() }} // T or T', chr(10), 'library')) AS content FROM ({SOURCES}) AS s"""
+
+
+@_query(
+    f"RECURSIVE WITH {_CLOSURE}, own AS (SELECT DISTINCT src AS f FROM edges UNION SELECT dst FROM edges UNION SELECT path FROM sources), every AS (SELECT root, node FROM reach UNION SELECT f, f FROM own)"
+    """, sizes AS (SELECT root AS node, count(*) AS n FROM every GROUP BY root), placed AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY node = root, n, regexp_extract(node, '([^/]*)$', 1), node) AS place FROM every JOIN sizes USING (node)),
+    facts AS (SELECT path, CASE WHEN size % 3 = 0 THEN '// SPDX-License-Identifier: MIT' || chr(10) ELSE '' END AS license, CASE WHEN size % 4 = 0 THEN 'pragma abicoder v' || CAST(id % 3 AS VARCHAR) || ';' END AS special, regexp_extract(content, 'pragma solidity (.+?);', 1) AS version,
+      '// ' || path || repeat(chr(10), 4 + (size % 3 = 0)::INT + (size % 4 = 0)::INT) || 'contract ' || replace(brand, '#', '_') || ' is Token { string s = "T"; Token t = Token.make(xT, ''T''); /* T */ function T() } // T or T' || chr(10) || regexp_extract(content, '(library .*)', 1) || chr(10) AS body FROM sources),
+    parts AS (SELECT root, string_agg(DISTINCT p, ' ' ORDER BY p) AS pragma FROM (SELECT root, unnest(string_split(version, ' ')) AS p FROM placed JOIN facts ON node = path) GROUP BY root),
+    joined AS (SELECT root, max(license) FILTER (node = root) AS license, arg_min(special, place) FILTER (special IS NOT NULL) AS special, string_agg(body, chr(10) ORDER BY place) AS bodies FROM placed JOIN facts ON node = path GROUP BY root)
+    SELECT root AS target, regexp_replace(license || 'pragma solidity ' || pragma || ';' || chr(10) || coalesce(special || chr(10), '') || rtrim(bodies, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g') || chr(10) AS content FROM joined JOIN parts USING (root) WHERE root IN (SELECT path FROM sources)""".replace("\\\\n", "\\n"),
+    edges=EDGES,
+    sources=FLAT,
+)
 def flattened_sources(spark, edges, sources):
     """Every file in one text with all that it imports."""
     return edits.flatten(sources, edges, sources.select("path"))
 
 
-@_query(None, artifacts=ARTIFACTS)
+@_query(
+    """RECURSIVE WITH asked AS (SELECT DISTINCT path, lower(name) AS name, 'X/' || lower(name) || '.json' AS file FROM artifacts), used AS (SELECT DISTINCT 'd' || CAST(ordinal % 17 AS VARCHAR) || '/X/n2.json' AS file FROM artifacts WHERE ordinal % 17 < 3 UNION SELECT 'X/n1.json'),
+    rows AS (SELECT path, name, file, row_number() OVER (PARTITION BY file ORDER BY path) AS r, split_part(path, '/', 2) AS d FROM asked),
+    first AS (SELECT path, name, file AS got, file NOT IN (SELECT file FROM used) AND r = 1 AS ok, d, file FROM rows),
+    second AS (SELECT path, name, d || '/' || file AS got, row_number() OVER (PARTITION BY file, d ORDER BY path) = 1 AND d || '/' || file NOT IN (SELECT file FROM used) AS ok, d, file FROM first WHERE NOT ok),
+    third AS (SELECT path, name, 'src/' || d || '/' || file AS got, row_number() OVER (PARTITION BY file, d ORDER BY path) = 1 AS ok, d, file FROM second WHERE NOT ok),
+    fourth AS (SELECT path, name, 'X_' || CAST(row_number() OVER (PARTITION BY file ORDER BY path) AS VARCHAR) || substr(file, 2) AS got FROM third WHERE NOT ok)
+    SELECT path, name, got AS file FROM first WHERE ok UNION ALL SELECT path, name, got FROM second WHERE ok UNION ALL SELECT path, name, got FROM third WHERE ok UNION ALL SELECT path, name, got FROM fourth""",
+    artifacts=ARTIFACTS,
+)
 def conflict_free_files(spark, artifacts):
-    """Artifact files made unique, ignoring case."""
+    """Artifact files made unique, ignoring case, with some names that are taken."""
     rows = artifacts.select("path", F.lower("name").alias("name")).distinct().withColumn("file", F.concat(F.lit("X/"), "name", F.lit(".json")))
-    return outputs.conflict_free(rows)
+    used = artifacts.where("ordinal % 17 < 3").select(F.concat(F.lit("D"), (F.col("ordinal") % 17).cast("string"), F.lit("/X/N2.json")).alias("file")).unionByName(spark.createDataFrame([("x/n1.json",)], "file string").select(F.replace("file", F.lit("x/"), F.lit("X/")).alias("file")))
+    return outputs.conflict_free(rows, used)
 
 
 @_query(
-    """RECURSIVE WITH v(a, b, c) AS (VALUES """ + ", ".join(map(str, _INSTALLED)) + """), reach AS (SELECT path AS root, path AS node FROM sources WHERE id < 3 OR size % 5 IN (0, 1) UNION SELECT root, dst FROM reach JOIN edges ON node = src),
-    allowed AS (SELECT path, b, c FROM (SELECT path, size % 5 AS k FROM sources), v WHERE a = 0 AND CASE k WHEN 0 THEN b = 8 WHEN 1 THEN b IN (7, 8) WHEN 2 THEN b = 8 AND c = 19 WHEN 3 THEN b = 8 AND c >= 4 ELSE b = 7 AND c >= 5 END),
-    able AS (SELECT root, b, c FROM reach JOIN allowed ON node = path GROUP BY root, b, c HAVING count(*) = (SELECT count(*) FROM reach r WHERE r.root = reach.root)),
-    common AS (SELECT b, c FROM able GROUP BY b, c HAVING count(*) = (SELECT count(DISTINCT root) FROM able) ORDER BY b DESC, c DESC LIMIT 1)
-    SELECT DISTINCT root AS path, '0.' || common.b || '.' || common.c AS version FROM able, common""",
+    f"RECURSIVE WITH {_CLOSURE}, every AS (SELECT root, node FROM reach UNION SELECT path, path FROM sources),"
+    + """ v(i, b, c) AS (VALUES """
+    + ", ".join(str((i, *x[1:])) for i, x in enumerate(_INSTALLED[:-1]))
+    + """),
+    masks AS (SELECT path, bit_or(1::BIGINT << i) FILTER (CASE size % 5 WHEN 0 THEN b = 8 WHEN 1 THEN b IN (7, 8) WHEN 2 THEN b = 8 AND c = 19 WHEN 3 THEN b = 8 AND c >= 4 ELSE b = 7 AND c >= 5 END) AS m FROM sources, v GROUP BY path),
+    able AS (SELECT root AS path, bit_and(m) AS m FROM every JOIN masks ON node = path GROUP BY root HAVING bit_and(m) <> 0), common AS (SELECT bit_and(m) AS all_of FROM able), ok AS (SELECT path, m, all_of, row_number() OVER (ORDER BY path) AS n FROM able, common),
+    walk AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS path, 0 AS pick, 0::BIGINT AS taken UNION ALL
+      SELECT n, path, pick, taken | (1::BIGINT << pick) FROM (SELECT ok.n, ok.path, taken, floor(log2(CASE WHEN all_of <> 0 THEN all_of WHEN m & taken <> 0 THEN m & taken ELSE m END))::INT AS pick FROM walk JOIN ok ON ok.n = walk.n + 1))
+    SELECT path, '0.' || b || '.' || c AS version FROM walk JOIN v ON pick = i WHERE path IS NOT NULL""",
     sources=SOURCES,
     edges=EDGES,
 )
 def solved_versions(spark, sources, edges):
-    """A version for every file that can have one, by what it and its imports demand."""
+    """A version for every file that can have one, by what it and its imports demand: one that all can take, or else in turn."""
     v = spark.createDataFrame([(list(x),) for x in _INSTALLED], "v array<int>")
-    reqs = sources.select("path", solidity.version_requirement(F.col("content")).alias("requirement"))
+    reqs = solve.parsed_requirements(sources.select("path", solidity.version_text(F.col("content")).alias("version_text")))
     got = solve.chosen_versions(solve.compatible_versions(reqs, edges, sources.select("path"), solve.available_versions(v)))
     return got.select("path", F.array_join(F.col("v").cast("array<string>"), ".").alias("version"))
 
@@ -553,10 +582,18 @@ def streamed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     versions_ = stream.select(F.concat(F.lit("src/F"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("at"))
-    name = f"buildlens_stream_{uuid.uuid4().hex[:8]}"
-    change_counts(versions_).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.unix_seconds("window.start").alias("start"), "versions")
+    held = f"{shared_dir(spark).rstrip('/')}/buildlens/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
+    counts = change_counts(versions_)
+
+    def write(batch: DataFrame, number: int) -> None:  # a window's last count stands
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{held}/counts/{number}")
+
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{held}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{held}/counts")
+    return rows.groupBy(F.unix_seconds("window.start").alias("start")).agg(F.max_by("versions", "batch").alias("versions"))
 
 
 QUERIES["streamed_versions"] = streamed_versions
 ORACLE_SQL["streamed_versions"] = "SELECT CAST(floor(epoch(ts) / 600) AS BIGINT) * 600 AS start, count(*) AS versions FROM events GROUP BY 1"
+
+from buildlens.plans import further_queries  # noqa: E402, F401  registers its queries here

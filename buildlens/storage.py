@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder in spark.checkpoint.dir, or else the context's checkpoint folder; on one machine, one of our own. On a
+    cluster without either it is an error: executors wouldn't share it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named or chosen.isDefined():
+        return named or chosen.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file:///tmp/checkpoints"
 
 
 def delete(spark: SparkSession, path: str) -> None:

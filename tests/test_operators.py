@@ -323,7 +323,7 @@ def test_flatten(spark):
     )
     edges = frame(spark, [("src/A.sol", "lib/B.sol")], "src string, dst string")
     text = edits.flatten(s, edges, frame(spark, [("src/A.sol",)], "path string")).first()["content"]
-    assert text == "// SPDX-License-Identifier: MIT\npragma solidity >=0.7.0 ^0.8.0;\n\ncontract B {}\n\ncontract A is B {}\n"
+    assert text == "// SPDX-License-Identifier: MIT\npragma solidity >=0.7.0 ^0.8.0;\npragma experimental X;\n// lib/B.sol\n\ncontract B {}\n\n// src/A.sol\n\ncontract A is B {}\n"
 
 
 def test_flatten_with_trees(spark):

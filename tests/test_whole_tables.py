@@ -68,7 +68,9 @@ def test_flattened_sources_of_every_file(spark, parts):
         files = [rows[number[n] - 1] for n in in_order(reach, path(k)) if n in number]
         head = ["// SPDX-License-Identifier: MIT"] if size % 3 == 0 else []
         head.append(f"pragma solidity {' '.join(sorted({p for _, s, _ in files for p in pragma[s % 5].split()}))};")
-        bodies = [x for i, s, b in files for x in (f"contract {b.replace('#', '_')} {{}}", f"library L{i} {{ function f() {'public' if s % 2 == 0 else 'internal'} {{}} }}")]
+        head += [f"pragma abicoder v{i % 3};" for i, s, _ in files if s % 4 == 0][:1]
+        code = """contract {} is Token {{ string s = "T"; Token t = Token.make(xT, 'T'); /* T */ function T() }} // T or T"""
+        bodies = [x for i, s, b in files for x in (f"// {path(i)}", code.format(b.replace("#", "_")), f"library L{i} {{ function f() {'public' if s % 2 == 0 else 'internal'} {{}} }}")]
         assert [x for x in got[path(k)].split("\n") if x] == head + bodies
 
 
