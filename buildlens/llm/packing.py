@@ -146,7 +146,7 @@ class WordTokens:
     word_bpe_49k.json does). Runs of Latin letters go to the merges alone, many at a time.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.most = load_tokenizer(path), most
