@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from buildlens.llm.common import KEPT, batches_of, raw, tidied
 
-MAX_TOKENS, MAX_SEGMENTS, HELD, MIN_PIECE, END_ID = 2048, 64, 512, 16, 1
+MAX_TOKENS, MAX_SEGMENTS, HELD, MIN_PIECE, END_ID, REMEMBERED = 2048, 64, 512, 16, 1, 500_000
 
 
 @dataclass
@@ -146,7 +146,7 @@ class WordTokens:
     word_bpe_49k.json does). Runs of Latin letters go to the merges alone, many at a time.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.most = load_tokenizer(path), most
@@ -232,7 +232,7 @@ def conversation_parts(turns: DataFrame, id_col: str = "conv_id", turn_col: str
     return listed.select("doc_id", F.transform("all", lambda p: F.struct(p["text"].alias("text"), p["loss"].alias("loss"))).alias("parts"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int | None = END_ID, ids: bool = False, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int | None = END_ID, ids: bool = False, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, with `ids` the ids, and with
     `parts_col` loss_tokens.
 
@@ -241,12 +241,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
     turn, of which those of parts with loss bear loss (a null loss is none), and end_id does if the last part does; no
     sequence has more than max_loss of them. Every id lies in exactly one piece; pieces of a sequence follow each other
     from offset 0 without gaps. Sequence ids are unique over all tasks. Repeated rows and null ids are packed like
-    others. Texts of any length are packed whole; a task holds all ids of the text at hand, four bytes each. An empty
-    table gives an empty result. Other columns are ignored, whatever their names.
+    others. Texts of any length are packed whole; a task holds all ids of the text at hand, four bytes each, and a worker
+    remembers the ids of at most `remembered` words (some 200 bytes each). An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordTokens(tokenizer_path), Packer(max_tokens, max_segments, max_loss or max_tokens)
+        words, packer = WordTokens(tokenizer_path, remembered), Packer(max_tokens, max_segments, max_loss or max_tokens)
         number, rows = TaskContext.get().partitionId() << 40, []
 
         def place(sequence: list[Piece]) -> None:
@@ -283,7 +283,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
                 yield np.concatenate([*own, end]).astype("<u4"), np.repeat([*loss, last], [*map(len, own), len(end)])
 
         end = np.array([] if end_id is None else [end_id], "<u4")
-        for b in batches_of(batches, 256):
+        for b in batches_of(batches, 1024):
             for doc, (all_ids, loss) in zip(b.column(0).to_pylist(), examples(b), strict=True):
                 for sequence in packer.add(Piece(doc, 0, all_ids, len(all_ids), loss)):
                     place(sequence)
