@@ -100,14 +100,14 @@ def run_process(program: str, arguments: list[str], text: str, timeout: int = 60
     return done.stdout
 
 
-def by_language(compilers: dict[str, Callable[[str, str], str]]) -> Callable[[str, str], str]:
+def by_language(programs: dict[str, Callable[[str, str], str]]) -> Callable[[str, str], str]:
     """One function for run_jobs that hands a job to the compiler of its input's language; an error for any other."""
 
     def compile_one(v: str, text: str) -> str:
         language = json.loads(text)["language"]
-        if language not in compilers:
+        if language not in programs:
             raise ValueError(f"no compiler for {language}")
-        return compilers[language](v, text)
+        return programs[language](v, text)
 
     return compile_one
 
