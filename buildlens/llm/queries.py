@@ -11,7 +11,7 @@ from buildlens.llm.language_id import languages
 from buildlens.llm.minhash_dedup import near_duplicates
 from buildlens.llm.mixing import mixed
 from buildlens.llm.packing import pack_documents
-from buildlens.llm.secret_scan import scan_secrets
+from buildlens.llm.secret_scan import _NAMES, MIN_BITS, MOST_OWNERS, MOST_REPOSITORIES, scan_secrets
 from buildlens.llm.substring_dedup import drop_repeated_substrings
 from buildlens.llm.toxicity import toxicity
 from buildlens.llm.url_filters import judge_urls
@@ -158,3 +158,35 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """,
 }
+
+_KINDS = [
+    rf"({_NAMES})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)",
+    "AKIA[A-Z0-9]+",
+    "[0-9a-f]{32,}",
+    "[A-Za-z0-9+/_=-]{20,}",
+]
+_MATCHES = " UNION ALL ".join(f"SELECT rid, {i} AS kind, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {2 if i == 0 else 0}) AS vs, regexp_split_to_array(t, '{p}') AS ps FROM d" for i, p in enumerate(_KINDS))
+ORACLE_SQL["op4_secret_scan"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS owner, coalesce(CAST(doc_id AS VARCHAR), chr(1)) AS repository, coalesce(text, '') AS t FROM documents
+), f AS (
+  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({_MATCHES}) WHERE len(ms) > 0
+), s AS (
+  SELECT rid, kind, vs[i] AS v, length(ms[i]) AS n, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM f
+), base AS MATERIALIZED (
+  SELECT rid, kind, v, a, a + n AS b FROM s WHERE (kind = 0 AND length(v) >= 8) OR (kind = 1 AND n >= 16) OR kind = 2
+), further AS (
+  SELECT rid, kind, v, a, a + n AS b FROM s WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND list_aggregate(string_split(v, ''), 'entropy') >= {MIN_BITS}
+), every AS (
+  SELECT * FROM base UNION ALL SELECT * FROM further m WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = m.rid AND x.a < m.b AND m.a < x.b)
+), owned AS (
+  SELECT v, count(DISTINCT owner) <= {MOST_OWNERS} AND count(DISTINCT owner || chr(2) || repository) <= {MOST_REPOSITORIES} AS live FROM every JOIN d USING (rid) GROUP BY v
+), judged AS (
+  SELECT rid, kind, a, live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || b AS x FROM every JOIN owned USING (v)
+), g AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(x, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
+    string_agg(x, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans, count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_example FROM judged GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN g USING (rid)
+"""
