@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from buildlens.llm.common import batches_of, mix, odd_constants, raw, tidied
 
-ORDERS, BUCKETS, SAMPLE, PENALTY, RULED_OUT, MIN_SCORE, CACHE = (1, 2, 3, 4), 1 << 17, 4_000, 6.0, -8.0, 0.3, 150_000
+ORDERS, BUCKETS, SAMPLE, PENALTY, RULED_OUT, MIN_SCORE, CACHE = (1, 2, 3, 4), 1 << 17, 4_000, 6.0, -8.0, 0.3, 60_000
 #: First and last code points of scripts (fixed values of Unicode blocks); anything else is script 0.
 SCRIPTS = [
     (0x0041, 0x024F, "Latin"), (0x1E00, 0x1EFF, "Latin"), (0x0370, 0x03FF, "Greek"), (0x1F00, 0x1FFF, "Greek"), (0x0400, 0x052F, "Cyrillic"),
