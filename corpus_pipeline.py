@@ -61,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     _configure(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=SEQUENCE, remembered=250_000)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=SEQUENCE, remembered=100_000)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
