@@ -14,6 +14,9 @@ NODE_SCHEMA = "path string, place long, id long, parent_id long, depth int, node
 TOP_LEVEL = ("ContractDefinition", "StructDefinition", "EnumDefinition", "FunctionDefinition", "VariableDeclaration", "ErrorDefinition", "EventDefinition", "UserDefinedValueTypeDefinition")
 CONTRACT_LEVEL = ("EnumDefinition", "ErrorDefinition", "EventDefinition", "StructDefinition", "FunctionDefinition", "VariableDeclaration", "UserDefinedValueTypeDefinition")
 
+#: Attributes that aren't plain values and yet are kept: exports, words of pragmas, aliases of imports (fixed values).
+KEPT_LISTS = ("exportedSymbols", "literals", "symbolAliases")
+
 
 def _location(src: str | None) -> tuple[int | None, int | None, int | None]:
     parts = [int(x) if x.lstrip("-").isdigit() and int(x) >= 0 else None for x in (src or "").split(":")]
@@ -28,7 +31,7 @@ def _nodes(tree: dict) -> Iterator[tuple]:
         if isinstance(value, dict):
             inner, below = parent, depth
             if "nodeType" in value:
-                plain = {k: v for k, v in value.items() if k == "exportedSymbols" or not isinstance(v, (dict, list))}
+                plain = {k: v for k, v in value.items() if k in KEPT_LISTS or not isinstance(v, (dict, list))}
                 yield (place, value.get("id"), parent, depth, value["nodeType"], value.get("name"), *_location(value.get("src")), value.get("referencedDeclaration"), contract, json.dumps(plain))
                 place += 1
                 inner, below = value.get("id"), depth + 1
@@ -41,7 +44,7 @@ def _nodes(tree: dict) -> Iterator[tuple]:
 def walk(trees: DataFrame, path_col: str = "path", ast_col: str = "ast") -> DataFrame:
     """One row per node of JSON trees: NODE_SCHEMA, with `place` the node's place in a walk from the top.
 
-    attributes has the plain attributes and exportedSymbols as JSON, for `attribute`. Null and unreadable trees have no nodes.
+    attributes has the plain attributes and KEPT_LISTS as JSON, for `attribute`. Null and unreadable trees have no nodes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +96,30 @@ def references(nodes: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("referenced").alias("declaration")).agg(F.array_sort(F.collect_set(F.struct("path", "start", "length"))).alias("places"))
 
 
+def _pragmas(nodes: DataFrame) -> DataFrame:
+    """(path, version_text, experimental): of several pragmas of a kind the last one counts."""
+    words = F.coalesce(attribute(F.col("attributes"), "literals", "array<string>"), F.array().cast("array<string>"))
+    rows = nodes.where("node_type = 'PragmaDirective'").select("path", "place", F.get(words, F.lit(0)).alias("kind"), F.array_join(F.slice(words, 2, 1_000_000), "").alias("rest"))
+    spaced = F.regexp_replace("rest", r"(?<=[\dxX*])(?=[\^~<>=])", " ")  # the words of a pragma have no space between them
+    last = lambda kind, value: F.max_by(F.when(F.col("kind") == kind, value), F.when(F.col("kind") == kind, F.col("place")))
+    return rows.groupBy("path").agg(last("solidity", spaced).alias("version_text"), last("experimental", F.col("rest")).alias("experimental"))
+
+
 def parsed_from_ast(nodes: DataFrame) -> DataFrame:
-    """(path, imports, contract_names, libraries) as extraction from text gives them, from syntax trees.
+    """(path, imports, contract_names, libraries, version_text, experimental, aliases) as extraction from text gives them,
+    from syntax trees. aliases has an array<struct<target, alias>> for each import; a null target aliases the whole file.
 
     A library is inlined unless one of its functions is public or external.
     """
-    imports = nodes.where("node_type = 'ImportDirective'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", attribute(F.col("attributes"), "file", "string").alias("file")))).alias("i"))
+    of = lambda name, kind: attribute(F.col("attributes"), name, kind)
+    named = F.transform(of("symbolAliases", "array<struct<foreign: struct<name: string>, local: string>>"), lambda a: F.when(a["local"].isNull(), F.struct(F.lit(None).cast("string").alias("target"), a["foreign"]["name"].alias("alias"))).otherwise(F.struct(a["foreign"]["name"].alias("target"), a["local"].alias("alias"))))
+    whole = F.when(of("unitAlias", "string") != "", F.array(F.struct(F.lit(None).cast("string").alias("target"), of("unitAlias", "string").alias("alias"))))
+    aliases = F.coalesce(whole, named, F.array().cast("array<struct<target: string, alias: string>>"))
+    imports = nodes.where("node_type = 'ImportDirective'").select("path", F.struct("place", of("file", "string").alias("file"), aliases.alias("aliases")).alias("i"))
+    imports = imports.groupBy("path").agg(F.array_sort(F.collect_list("i")).alias("i"))
     contracts = nodes.where("node_type = 'ContractDefinition'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("c"))
     open_ = nodes.where("node_type = 'FunctionDefinition'").where(attribute(F.col("attributes"), "visibility", "string").isin("public", "external")).select("path", F.col("contract_id").alias("id"), F.lit(True).alias("open")).distinct()
     libs = nodes.where("node_type = 'ContractDefinition'").where(attribute(F.col("attributes"), "contractKind", "string") == "library").select("path", "place", "id", "name").join(open_, ["path", "id"], "left")
     libs = libs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "name", F.col("open").isNull().alias("is_inlined")))).alias("l"))
-    out = nodes.select("path").distinct().join(imports, "path", "left").join(contracts, "path", "left").join(libs, "path", "left")
-    return out.select("path", F.transform("i", lambda x: x["file"]).alias("imports"), F.transform("c", lambda x: x["name"]).alias("contract_names"), F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["is_inlined"].alias("is_inlined"))).alias("libraries"))
+    out = nodes.select("path").distinct().join(_pragmas(nodes), "path", "left").join(imports, "path", "left").join(contracts, "path", "left").join(libs, "path", "left")
+    return out.select("path", F.transform("i", lambda x: x["file"]).alias("imports"), F.transform("c", lambda x: x["name"]).alias("contract_names"), F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["is_inlined"].alias("is_inlined"))).alias("libraries"), "version_text", "experimental", F.transform("i", lambda x: x["aliases"]).alias("aliases"))

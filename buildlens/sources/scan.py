@@ -84,6 +84,16 @@ def read_cache(spark: SparkSession, path: str, root: str = "") -> tuple[DataFram
     return entries, artifacts, raw.select(F.explode("builds").alias("build_id"))
 
 
+def read_builds(listing: DataFrame, builds: DataFrame, schema: str) -> DataFrame:
+    """(build_id, build, error) for each of builds (build_id): its build-info file, <build_id>.json of listing (path,
+    content), parsed; the error is missing or unreadable, else null. Other files are not parsed."""
+    found = listing.where(F.endswith("path", F.lit(".json"))).select(F.regexp_replace(file_name(F.col("path")), r"\.json$", "").alias("build_id"), "content")
+    rows = builds.select("build_id").distinct().join(found, "build_id", "left").groupBy("build_id").agg(F.min("content").alias("content"))
+    rows = rows.withColumn("readable", F.try_parse_json("content").isNotNull())
+    error = F.when(F.col("content").isNull(), "missing").when(~F.col("readable"), "unreadable")
+    return rows.select("build_id", F.when(F.col("readable"), F.from_json("content", schema)).alias("build"), error.alias("error"))
+
+
 def read_artifacts(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Artifacts of several JSON files with their artifact_path; a file that can't be read is an error."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(paths, multiLine=True)

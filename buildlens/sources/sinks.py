@@ -59,6 +59,30 @@ def write_cache(entries: DataFrame, artifacts: DataFrame, builds: DataFrame, pat
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def cache_json(entries: DataFrame, artifacts: DataFrame, builds: DataFrame, form: str) -> DataFrame:
+    """(path, content): the cache as one JSON file, as read_cache takes it, for write_files; `form` names its format.
+
+    Such a file holds all entries, so they meet in one row; caches beyond a task's memory stay in write_cache's tables.
+    Columns of entries that aren't there are null.
+    """
+
+    def by(key: str, value: str | Column) -> Column:
+        pairs = F.collect_list(F.struct(F.col(key).alias("key"), (F.col(value) if isinstance(value, str) else value).alias("value")))
+        order = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        return F.map_from_entries(F.array_sort(pairs, order)).alias("v")
+
+    own = artifacts.groupBy("path", "name", "version").agg(by("profile", F.struct(F.col("artifact_path").alias("path"), F.col("build_id"))))
+    own = own.groupBy("path", "name").agg(by("version", "v")).groupBy("path").agg(by("name", "v")).withColumnRenamed("v", "artifacts")
+    names = {"mtime_ms": "lastModificationDate", "content_hash": "contentHash", "interface_hash": "interfaceReprHash", "source_name": "sourceName", "imports": "imports", "version_text": "versionRequirement"}
+    fields = [F.col(c).alias(name) for c, name in names.items() if c in entries.columns]
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{own.schema['artifacts'].dataType.valueType.simpleString()}>"))
+    file = F.struct(*fields, F.coalesce("artifacts", none).alias("artifacts"), F.col("seen").alias("seenByCompiler")).alias("f")
+    files = entries.join(own, "path", "left").select("path", file).agg(by("path", "f")).select(F.col("v").alias("files"))
+    listed = builds.agg(F.array_sort(F.collect_set("build_id")).alias("builds"))
+    whole = files.join(listed, F.lit(True))  # one row each
+    return whole.select(F.lit("cache.json").alias("path"), F.to_json(F.struct(F.lit(form).alias("_format"), "files", "builds")).alias("content"))
+
+
 def cleanup(spark: SparkSession, paths: list[str], root: str) -> None:
     """Deletes the cache and output folders; never the project's root or a folder above it."""
     for p in paths:

@@ -306,6 +306,21 @@ def test_trees(spark):
     assert (p["imports"], p["contract_names"], [tuple(x) for x in p["libraries"]]) == (["./x.sol"], ["L"], [("L", True)])
 
 
+def test_trees_have_pragmas_and_aliases(spark):
+    pragma = lambda i, *words: {"nodeType": "PragmaDirective", "id": i, "src": f"{i}:1:0", "literals": list(words)}
+    foreign = lambda i, name: {"nodeType": "Identifier", "id": i, "name": name, "src": f"{i}:1:0"}
+    include = lambda i, **more: {"nodeType": "ImportDirective", "id": i, "src": f"{i}:1:0", **more}
+    nodes = [
+        pragma(2, "solidity", "^", "0.7", ".0"), pragma(3, "solidity", ">=", "0.8", ".0", "<", "0.9", ".0"), pragma(4, "experimental", "SMTChecker"), pragma(5, "abicoder", "v2"),
+        include(6, file="./x.sol", unitAlias="X", symbolAliases=[]), include(7, file="./y.sol", unitAlias="", symbolAliases=[{"foreign": foreign(8, "A"), "local": "B"}, {"foreign": foreign(9, "C")}]), include(10, file="./z.sol"),
+    ]
+    trees = [("a", json.dumps({"nodeType": "SourceUnit", "id": 1, "src": "0:9:0", "nodes": nodes})), ("b", json.dumps(TREE))]
+    got = {r["path"]: r for r in ast.parsed_from_ast(ast.walk(frame(spark, trees, "path string, ast string"))).collect()}
+    assert (got["a"]["version_text"], got["a"]["experimental"], got["a"]["imports"]) == (">=0.8.0 <0.9.0", "SMTChecker", ["./x.sol", "./y.sol", "./z.sol"])
+    assert [[tuple(x) for x in xs] for xs in got["a"]["aliases"]] == [[(None, "X")], [("A", "B"), (None, "C")], []]
+    assert (got["b"]["version_text"], got["b"]["experimental"], got["b"]["aliases"]) == (None, None, [[]])
+
+
 def test_edits_are_bytes(spark):
     s = frame(spark, [("a", "äbc"), ("b", "same")], "path string, content string")
     e = frame(spark, [("a", 2, 3, "X"), ("a", 0, 0, "// é\n"), ("a", 4, 4, "!")], "path string, start long, end long, text string")

@@ -53,6 +53,28 @@ def test_cache_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "artifacts")).count() == 1
 
 
+def test_one_cache_file_round_trip(spark, tmp_path):
+    entries = spark.createDataFrame([("a.sol", 5, "h", None, "a.sol", ["b.sol"], "^0.8", True), ("b.sol", None, None, None, None, [], None, False)], "path string, mtime_ms long, content_hash string, interface_hash string, source_name string, imports array<string>, version_text string, seen boolean")
+    keys = [("a.sol", "A", "0.8.1", "default", "A.json", "b1"), ("a.sol", "A", "0.8.1", "fast", "A.fast.json", "b2"), ("a.sol", "A", "0.8.2", "default", "A.2.json", None), ("a.sol", "C", "0.8.1", "default", "C.json", "b1")]
+    artifacts = spark.createDataFrame(keys, "path string, name string, version string, profile string, artifact_path string, build_id string")
+    builds = spark.createDataFrame([("b2",), ("b1",), ("b1",)], "build_id string")
+    assert sinks.write_files(sinks.cache_json(entries, artifacts, builds, "x-4"), f"file://{tmp_path}").count() == 1
+    file = json.loads((tmp_path / "cache.json").read_text())
+    assert (file["_format"], file["builds"], file["files"]["b.sol"]["artifacts"]) == ("x-4", ["b1", "b2"], {})
+    again = scan.read_cache(spark, str(tmp_path / "cache.json"))
+    for had, has in zip((entries, artifacts, builds.distinct()), again, strict=True):
+        assert rows(has, *had.columns) == rows(had, *had.columns)
+    empty = sinks.cache_json(entries.limit(0), artifacts.limit(0), builds.limit(0), "x-4").collect()
+    assert json.loads(empty[0]["content"]) == {"_format": "x-4", "files": {}, "builds": []}
+
+
+def test_builds_are_read_by_id(spark):
+    listing = spark.createDataFrame([("out/b1.json", '{"id": 1}'), ("out/b2.json", "{"), ("out/other.json", '{"id": 9}'), ("out/b1.txt", "x")], "path string, content string")
+    wanted = spark.createDataFrame([("b1",), ("b1",), ("b2",), ("b3",)], "build_id string")
+    got = scan.read_builds(listing, wanted, "id long")
+    assert rows(got, "build_id", "build.id", "error") == [("b1", 1, None), ("b2", None, "unreadable"), ("b3", None, "missing")]
+
+
 def test_sinks(spark, tmp_path):
     a = spark.createDataFrame([("A.sol/A.json", "[]", "ir!", None)], "file string, abi string, ir string, metadata string")
     out = f"file://{tmp_path}/out"
