@@ -625,4 +625,43 @@ def ranked_diagnostics(spark, diagnostics):
     return one.select("id", filters.severity_rank(F.col("severity")).cast("int").alias("rank"), text.alias("highest"))
 
 
+@_query("SELECT path, name, version, profile, artifact_path, build_id, md5(path) AS content_hash, length(path) AS mtime_ms, (SELECT count(DISTINCT build_id) FROM artifacts) AS n_builds FROM artifacts", artifacts=KEYED)
+def cache_as_one_file(spark, artifacts):
+    """The cache's tables written as one JSON file, and read again."""
+    entries = artifacts.select("path", F.md5("path").alias("content_hash"), F.length("path").cast("long").alias("mtime_ms"), F.lit(True).alias("seen")).distinct()
+    root = _folder(spark, "one-cache")
+    bare = root if "://" in root else "file://" + root
+    Written(sinks.write_files(sinks.cache_json(entries, artifacts, artifacts.select("build_id"), "one"), bare), "written")
+    held, found, builds = scan.read_cache(spark, f"{bare}/cache.json")
+    n = builds.agg(F.count(F.lit(1))).scalar()
+    return found.join(held.select("path", "content_hash", F.col("mtime_ms").cast("int").alias("mtime_ms")), "path").select("path", "name", "version", "profile", "artifact_path", "build_id", "content_hash", "mtime_ms", n.alias("n_builds"))
+
+
+@_query("SELECT path AS build_id, CASE WHEN size % 4 < 2 THEN size END AS n, CASE size % 4 WHEN 2 THEN 'unreadable' WHEN 3 THEN 'missing' END AS error FROM (SELECT DISTINCT replace(path, '/', '_') AS path, size FROM sources)", sources=SOURCES)
+def builds_by_id(spark, sources):
+    """Build information by id: read, unreadable or missing."""
+    rows = sources.select(F.replace(F.col("path"), F.lit("/"), F.lit("_")).alias("build_id"), "size")
+    text = F.when(F.col("size") % 4 < 2, F.concat(F.lit('{"n":'), "size", F.lit("}"))).otherwise("{")
+    listing = rows.where("size % 4 < 3").select(F.concat(F.lit("out/build-info/"), "build_id", F.lit(".json")).alias("path"), text.alias("content"))
+    return scan.read_builds(listing, rows.select("build_id"), "n int").select("build_id", "build.n", "error")
+
+
+_HEADS = """SELECT p_partkey AS id, concat('H', CAST(p_partkey AS STRING)) AS path, p_size AS size, concat('{"nodeType":"SourceUnit","id":1,"src":"0:9:0","nodes":[',
+  CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('{"nodeType":"PragmaDirective","id":2,"src":"0:1:0","literals":["solidity",">=","0.', CAST(p_size AS STRING), '",".0","<","0.9"]},') END,
+  CASE WHEN p_size % 2 = 0 THEN '{"nodeType":"PragmaDirective","id":3,"src":"1:1:0","literals":["experimental","X"]},' ELSE '' END,
+  '{"nodeType":"ImportDirective","id":4,"src":"2:1:0","file":"./f.sol"', CASE WHEN p_size % 5 = 0 THEN concat(',"unitAlias":"U', CAST(p_partkey AS STRING), '","symbolAliases":[]')
+  ELSE concat(',"unitAlias":"","symbolAliases":[{"foreign":{"name":"F', CAST(p_partkey AS STRING), '"},"local":', CASE WHEN p_size % 5 = 1 THEN 'null' ELSE '"L"' END, '}]') END, '}]}') AS ast FROM {part}"""
+
+
+@_query(
+    """SELECT path, CASE WHEN size % 3 <> 0 THEN '>=0.' || CAST(size AS VARCHAR) || '.0 <0.9' END AS version_text, CASE WHEN size % 2 = 0 THEN 'X' END AS experimental,
+    CASE WHEN size % 5 > 1 THEN 'F' || CAST(id AS VARCHAR) END AS target, CASE size % 5 WHEN 0 THEN 'U' || CAST(id AS VARCHAR) WHEN 1 THEN 'F' || CAST(id AS VARCHAR) ELSE 'L' END AS alias FROM trees""",
+    trees=_HEADS,
+)
+def syntax_tree_heads(spark, trees):
+    """Pragmas and import aliases from syntax trees."""
+    parsed = ast.parsed_from_ast(Written(ast.walk(trees), "nodes").df)
+    return parsed.select("path", "version_text", "experimental", F.explode(F.flatten("aliases")).alias("a")).select("path", "version_text", "experimental", "a.*")
+
+
 NAMES = sorted(set(QUERIES) - _BEFORE)
