@@ -631,7 +631,7 @@ def cache_as_one_file(spark, artifacts):
     entries = artifacts.select("path", F.md5("path").alias("content_hash"), F.length("path").cast("long").alias("mtime_ms"), F.lit(True).alias("seen")).distinct()
     root = _folder(spark, "one-cache")
     bare = root if "://" in root else "file://" + root
-    Written(sinks.write_files(sinks.cache_json(entries, artifacts, artifacts.select("build_id"), "one"), bare), "written")
+    sinks.write_cache_file(entries, artifacts, artifacts.select("build_id"), "one", f"{bare}/cache.json")
     held, found, builds = scan.read_cache(spark, f"{bare}/cache.json")
     n = builds.agg(F.count(F.lit(1))).scalar()
     return found.join(held.select("path", "content_hash", F.col("mtime_ms").cast("int").alias("mtime_ms")), "path").select("path", "name", "version", "profile", "artifact_path", "build_id", "content_hash", "mtime_ms", n.alias("n_builds"))

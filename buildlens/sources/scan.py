@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from buildlens.functions.paths import file_name, join_path, parent
 from buildlens.functions.solidity import normal_newlines
 from buildlens.functions.versions import parse_version
+from buildlens.sources.json_parts import read_parts
+from buildlens.storage import Written
 
 SOLIDITY = ("sol", "yul")
 CACHE_SCHEMA = "_format string, files map<string, struct<lastModificationDate: long, contentHash: string, interfaceReprHash: string, sourceName: string, imports: array<string>, versionRequirement: string, artifacts: map<string, map<string, map<string, struct<path: string, build_id: string>>>>, seenByCompiler: boolean>>, builds array<string>"
@@ -73,11 +76,34 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_cache(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries, artifacts and builds of a cache file; with a root, paths are joined to it."""
-    raw = read_json(spark, path, CACHE_SCHEMA)
+def _bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sum(store.getContentSummary(s.getPath()).getLength() for s in store.globStatus(p) or [])
+
+
+def _large_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(path, f) of the files and (builds) of a cache that is read in pieces, none if a piece can't be read."""
+    own, pieces = read_parts(spark, path, "files")
+    kind = StructType.fromDDL(CACHE_SCHEMA)["files"].dataType
+    parsed = Written(pieces.select(F.from_json("piece", kind).alias("files")), "cache").df
+    rest = Written(own.select(F.from_json("own", CACHE_SCHEMA).alias("v")).select("v.*"), "cache").df
+    if parsed.where("files is null").head(1):
+        parsed, rest = parsed.limit(0), rest.limit(0)
+    return parsed.unionByName(rest.select("files")).select(F.explode("files").alias("path", "f")), rest.select("builds")
+
+
+def read_cache(spark: SparkSession, path: str, root: str = "", whole: int = 1 << 25) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries, artifacts and builds of a cache file; with a root, paths are joined to it.
+
+    A file of up to `whole` bytes is parsed in one row, a larger one in pieces by many tasks. One that isn't JSON has no rows.
+    """
     at = lambda c: join_path(F.lit(root), c) if root else c
-    files = raw.select(F.explode("files").alias("path", "f"))
+    if _bytes(spark, path) > whole:
+        files, raw = _large_cache(spark, path)
+    else:
+        raw = read_json(spark, path, CACHE_SCHEMA)
+        files = raw.select(F.explode("files").alias("path", "f"))
     entries = files.select(at(F.col("path")).alias("path"), F.col("f.lastModificationDate").alias("mtime_ms"), F.col("f.contentHash").alias("content_hash"), F.col("f.interfaceReprHash").alias("interface_hash"), F.col("f.sourceName").alias("source_name"), F.col("f.imports").alias("imports"), F.col("f.versionRequirement").alias("version_text"), F.coalesce("f.seenByCompiler", F.lit(False)).alias("seen"))
     rows = files.select("path", F.explode("f.artifacts").alias("name", "v")).select("path", "name", F.explode("v").alias("version", "p")).select("path", "name", "version", F.explode("p").alias("profile", "a"))
     artifacts = rows.select(at(F.col("path")).alias("path"), "name", "version", "profile", at(F.col("a.path")).alias("artifact_path"), F.col("a.build_id").alias("build_id"))
