@@ -568,14 +568,10 @@ def written_and_read(spark, sources):
 @_query("SELECT path, name, version, profile, 'root/' || artifact_path AS artifact_path, build_id, md5(path) AS content_hash FROM artifacts", artifacts=KEYED)
 def cache_file(spark, artifacts):
     """A cache written as one file and read again, with paths joined to a root; then as tables."""
-    one = F.struct(F.col("artifact_path").alias("path"), "build_id")
-    rows = artifacts.groupBy("path", "name", "version").agg(F.map_from_entries(F.collect_list(F.struct("profile", one))).alias("m"))
-    rows = rows.groupBy("path", "name").agg(F.map_from_entries(F.collect_list(F.struct("version", "m"))).alias("m")).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "m"))).alias("artifacts"))
-    files = rows.select(F.lit("all").alias("g"), F.concat(F.lit('"'), "path", F.lit('"'), F.lit(':{"contentHash":"'), F.md5("path"), F.lit('","sourceName":"'), "path", F.lit('","artifacts":'), F.to_json("artifacts"), F.lit("}")).alias("t"))
-    text = files.groupBy("g").agg(F.concat(F.lit('{"_format":"","files":{'), F.array_join(F.collect_list("t"), ","), F.lit('},"builds":["1","2"]}')).alias("content"))
+    made = artifacts.select("path").distinct().select("path", F.md5("path").alias("content_hash"), F.col("path").alias("source_name"), F.lit(True).alias("seen"))
     root = _folder(spark, "cache")
     bare = root if "://" in root else "file://" + root
-    Written(sinks.write_files(text.select(F.lit("cache.json").alias("path"), "content"), bare), "written")
+    sinks.write_cache_file(made, artifacts, spark.createDataFrame([("1",), ("2",)], "build_id string"), "", f"{bare}/cache.json")
     entries, found, builds = scan.read_cache(spark, f"{bare}/cache.json", "root")
     sinks.write_cache(entries, found, builds, f"{bare}/tables")
     again, held = spark.read.parquet(f"{bare}/tables/artifacts"), spark.read.parquet(f"{bare}/tables/entries")

@@ -1,10 +1,16 @@
 import json
+import os
 import random
+from pathlib import Path
 
 import pytest
 
+from buildlens.plans import further_queries
+from buildlens.plans.queries import ORACLE_SQL, QUERIES
 from buildlens.sources import scan, sinks
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 ENTRIES = "path string, mtime_ms long, content_hash string, interface_hash string, source_name string, imports array<string>, version_text string, seen boolean"
 KEYS = "path string, name string, version string, profile string, artifact_path string, build_id string"
 
@@ -68,3 +74,20 @@ def test_cache_file_written_by_parts(spark, tmp_path, small_blocks):
     assert json.loads((tmp_path / "cache.json").read_text()) == {"_format": "x", "files": {}, "builds": []}
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
         sinks.write_cache_file(entries.union(entries), artifacts, builds, "x", path)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@pytest.mark.parametrize("name", ["cache_file", "cache_as_one_file"])
+def test_queries_hold_no_cache_in_one_row(spark, tmp_path, monkeypatch, small_blocks, name):
+    """The file has a row for each entry, and the rows are right when it is read in pieces."""
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW orders AS SELECT * FROM '{DATA}/orders.parquet'")
+    want = connection.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    monkeypatch.setattr(scan, "_bytes", lambda *_: 1 << 40, raising=False)
+    monkeypatch.setattr(further_queries, "_folder", lambda *_: f"file://{tmp_path}/cache")
+    small_blocks(20_000)
+    assert rows(QUERIES[name](spark, DATA).select(*columns)) == sorted(want.fetchall(), key=str)
+    (file,) = Path(tmp_path).rglob("cache.json")
+    assert max(map(len, file.read_text().split("\n"))) < 5000
