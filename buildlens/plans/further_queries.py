@@ -557,7 +557,7 @@ def written_and_read(spark, sources):
     rows = sources.select(F.concat(F.when(F.col("id") % 2 == 0, "src/").otherwise("test/"), "path").alias("path"), "content")
     written = Written(sinks.write_files(rows, bare), "written").df
     read = scan.project_inputs(spark, {"src": f"{bare}/src", "test": f"{bare}/test"})
-    read = read.withColumn("path", F.regexp_replace("path", "^" + bare + "/(src|test)/", ""))
+    read = Written(read.withColumn("path", F.regexp_replace("path", "^" + bare + "/(src|test)/", "")), "read").df
     listing = scan.source_listing(spark, bare).select(F.regexp_replace("path", "^(src|test)/", "").alias("path"), "length")
     folders = scan.source_dirs(read).select(F.col("path").alias("folder"))
     sizes = written.select(F.regexp_replace("path", "^(src|test)/", "").alias("path"), F.col("bytes"))

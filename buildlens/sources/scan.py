@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,14 +27,95 @@ def _relative(path: Column, root: str) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), r"^\Q" + root.removeprefix("file://").rstrip("/") + r"\E/", "")
 
 
+def _local_root(spark: SparkSession, root: str) -> str | None:
+    """The local folder that root names, or null if it is something else or in another store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" and os.path.isdir(uri.getPath()) else None
+
+
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    """What a folder has, without the names that Spark takes for hidden."""
+    with os.scandir(folder) as found:
+        yield from (e for e in found if not e.name.startswith(".") and not e.name.endswith("._COPYING_") and ("=" in e.name or not e.name.startswith("_")))
+
+
+def _branches(root: str, wanted: int, most: int = 10_000) -> list[tuple[str, bool]]:
+    """Folders below root that are to be listed, alone or with all below them: `wanted` at least, if there are so many,
+    and never many more than `most`."""
+    alone, deep, waiting = [], [], [""]
+    while waiting and len(alone) + len(deep) + len(waiting) < wanted:
+        folder = waiting.pop(0)
+        inner = list(islice((f"{folder}{e.name}/" for e in _entries(f"{root}/{folder}") if e.is_dir()), most + 1))
+        (deep if len(inner) > most else alone).append(folder)
+        waiting += inner if len(inner) <= most else []
+    return [(f, False) for f in alone] + [(f, True) for f in deep + waiting]
+
+
+def _listed(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
+    """(path, length, modified) of the files below a local root, listed by the executors."""
+    fits = re.compile("|".join(fnmatch.translate(f"*.{e}") for e in extensions) or r"(?!)").match
+
+    def below(folder: str, deep: bool) -> Iterator[tuple[str, int, int]]:
+        for e in _entries(f"{root}/{folder}"):
+            if e.is_dir():
+                if deep:
+                    yield from below(f"{folder}{e.name}/", True)
+            elif fits(e.name):
+                try:
+                    s = e.stat()
+                except FileNotFoundError:  # a link that leads nowhere
+                    continue
+                yield f"{folder}{e.name}", s.st_size, s.st_mtime_ns // 1_000_000 * 1000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int64(), pa.timestamp("us", "UTC")]
+        for b in batches:
+            files = (f for folder, deep in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in below(folder, deep))
+            while some := list(islice(files, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], ["path", "length", "modified"])
+
+    branches = _branches(root, 4 * spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame(branches, "folder string, deep boolean").mapInArrow(run, "path string, length long, modified timestamp")
+
+
+def _contents(files: DataFrame, root: str) -> DataFrame:
+    """(path, content) of files (path) below a local root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, texts, held = [], [], 0
+            for path in b.column(0).to_pylist():
+                with open(f"{root}/{path}", "rb") as f:
+                    texts.append(f.read())
+                names.append(path)
+                held += len(texts[-1])
+                if held > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["path", "content"])
+                    names, texts, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["path", "content"])
+
+    read = files.select("path").repartition(4 * files.sparkSession.sparkContext.defaultParallelism)
+    return read.mapInArrow(run, "path string, content binary").select("path", F.col("content").cast("string").alias("content"))
+
+
 def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = SOLIDITY) -> DataFrame:
-    """(path, content) of all files below root with one of the extensions; paths are relative to it."""
+    """(path, content) of all files below root with one of the extensions; paths are relative to it.
+
+    Local folders (and shared ones that are mounted) are listed and read by the executors; of other stores, Spark's
+    reader keeps the listing in the driver.
+    """
+    if local := _local_root(spark, root):
+        df = _contents(_listed(spark, local, extensions), local)
+        return df.select("path", normal_newlines(F.col("content")).alias("content"))
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").text(root, wholetext=True)
     return df.select(_relative(F.col("_metadata.file_path"), root).alias("path"), normal_newlines(F.col("value")).alias("content"))
 
 
 def source_listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = SOLIDITY) -> DataFrame:
-    """(path, length, modified) without reading contents."""
+    """(path, length, modified) without reading contents; where, see source_files."""
+    if local := _local_root(spark, root):
+        return _listed(spark, local, extensions)
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(root)
     return df.select(_relative(F.col("path"), root).alias("path"), "length", F.col("modificationTime").alias("modified"))
 
