@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from buildlens.functions import bytecode, paths, solidity, versions
 from buildlens.operators import ast, edits, filters, graph, incremental, outputs, resolve, solve, sourcemap
 from buildlens.plans import planner, queries
 from buildlens.plans.queries import _CLOSURE, _TREE, ARTIFACTS, DIAGNOSTICS, EDGES, ORACLE_SQL, QUERIES, SOURCES, _query
-from buildlens.sources import remappings, scan, sinks
+from buildlens.sources import json_parts, remappings, scan, sinks
 from buildlens.storage import Written, shared_dir
 
 _BEFORE = set(QUERIES)
@@ -587,12 +589,26 @@ def sink_files(spark, artifacts):
     return builds.unionByName(sinks.extra_files(rows, {"ir": "ir", "abi": "abi"})).unionByName(sinks.artifact_json(rows, ["name"]))
 
 
+def _stub_stream(version: str, pieces: Iterator[str]) -> Iterator[str]:
+    """Stands for a compiler: a contract and a warning for each file. What comes after the warnings is kept in files."""
+    with tempfile.TemporaryFile("w+", encoding="utf-8", newline="") as contracts, tempfile.TemporaryFile("w+", encoding="utf-8", newline="") as sources:
+        yield '{"errors":['
+        comma = ""
+        for p, s in ((key, json.loads(text)) for name, _, key, text in json_parts.members(pieces) if name == "sources"):
+            yield f'{comma}{{"severity":"warning","errorCode":"1878","message":{p},"formattedMessage":{p},"sourceLocation":{{"file":{p},"start":0,"end":1}}}}'
+            contracts.write(f'{comma}{p}:{{"C{len(s["content"])}":{{"abi":[],"evm":{{"bytecode":{{"object":"60{version[-1]}"}}}}}}}}')
+            sources.write(f'{comma}{p}:{{"id":{len(json.loads(p))},"ast":{{"nodeType":"SourceUnit"}}}}')
+            comma = ","
+        for begin, held in (('],"contracts":{', contracts), ('},"sources":{', sources)):
+            yield begin
+            held.seek(0)
+            yield from iter(lambda f=held: f.read(1 << 16), "")
+        yield "}}"
+
+
 def _stub(version: str, text: str) -> str:
-    """Stands for a compiler: a contract and a warning for each file."""
-    files = json.loads(text)["sources"]
-    contracts = {p: {"C" + str(len(s["content"])): {"abi": [], "evm": {"bytecode": {"object": "60" + version[-1]}}}} for p, s in files.items()}
-    errors = [{"severity": "warning", "errorCode": "1878", "message": p, "formattedMessage": p, "sourceLocation": {"file": p, "start": 0, "end": 1}} for p in files]
-    return json.dumps({"errors": errors, "contracts": contracts, "sources": {p: {"id": len(p), "ast": {"nodeType": "SourceUnit"}} for p in files}})
+    """The same for a whole text."""
+    return "".join(_stub_stream(version, iter([text])))
 
 
 @_query(
@@ -602,7 +618,7 @@ def _stub(version: str, text: str) -> str:
 def compiled_contracts(spark, sources):
     """Jobs run by a function of their language, and their outputs as tables."""
     jobs = sources.select("path", F.lit("Solidity").alias("language"), F.when(F.col("size") % 2 == 0, "0.8.0").otherwise("0.7.6").alias("version"), F.lit("default").alias("profile"))
-    done = Written(planner.run_jobs(planner.job_inputs(jobs, sources), planner.by_language({"Solidity": _stub}), parallel=2), "outputs").df
+    done = Written(planner.run_job_streams(jobs, sources, {"Solidity": _stub_stream}, parallel=2), "outputs").df
     diagnostics, contracts, out = planner.output_tables(done)
     rows = contracts.select("path", "version", "name", "bytecode").join(diagnostics.select(F.col("file").alias("path"), F.col("error_code").cast("int").alias("error_code")), "path")
     return rows.join(out.select("path", F.col("source_id").cast("int").alias("source_id")), "path")

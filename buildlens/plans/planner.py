@@ -6,20 +6,23 @@ already there) is a function from a job's JSON input to JSON output.
 
 from __future__ import annotations
 
+import io
 import json
 import subprocess
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlens.functions import solidity
 from buildlens.functions.paths import guess_language, parent
 from buildlens.functions.versions import version
 from buildlens.operators import graph, incremental, outputs, resolve, solve
-from buildlens.sources import sinks
+from buildlens.sources import json_parts, sinks
 from buildlens.storage import Written
 
 
@@ -76,7 +79,7 @@ def plan_jobs(parsed: DataFrame, edges: DataFrame, installed: DataFrame, project
 def job_inputs(jobs: DataFrame, sources: DataFrame, settings: str = "{}") -> DataFrame:
     """(job_id, language, version, profile, input): one JSON input for each group, of its files by path.
 
-    A job is one compiler call, so its files meet in one row, as the compiler's input has to.
+    A job is one compiler call, and here its files meet in one row; jobs beyond a task's memory are for run_job_streams.
     """
     key = ["language", "version", "profile"]
     rows = jobs.join(sources.select("path", "content"), "path").groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", F.struct("content").alias("source"))))).alias("sources"))
@@ -100,6 +103,23 @@ def run_process(program: str, arguments: list[str], text: str, timeout: int = 60
     return done.stdout
 
 
+def process_stream(program: str, arguments: list[str], timeout: int = 600) -> Callable[[str, Iterator[str]], Iterator[str]]:
+    """A compiler program for run_job_streams: its input and output are files of the task; an error if it fails."""
+
+    def compile_stream(_: str, pieces: Iterator[str]) -> Iterator[str]:
+        with tempfile.TemporaryFile() as given, tempfile.TemporaryFile() as out:
+            given.writelines(p.encode() for p in pieces)
+            given.seek(0)
+            done = subprocess.run([program, *arguments], stdin=given, stdout=out, stderr=subprocess.PIPE, timeout=timeout, check=False)
+            if done.returncode:
+                raise RuntimeError(f"{program} ended with {done.returncode}: {done.stderr[-500:].decode(errors='replace')}")
+            out.seek(0)
+            text = io.TextIOWrapper(out, "utf-8", newline="")
+            yield from iter(lambda: text.read(1 << 16), "")
+
+    return compile_stream
+
+
 def by_language(programs: dict[str, Callable[[str, str], str]]) -> Callable[[str, str], str]:
     """One function for run_jobs that hands a job to the compiler of its input's language; an error for any other."""
 
@@ -151,6 +171,56 @@ def run_jobs(jobs: DataFrame, compile_one: Callable[[str, str], str], parallel:
     return (rows if parallel is None else rows.repartition(parallel, "job_id")).mapInArrow(run, "job_id string, version string, output string")
 
 
+def _dealt(jobs: DataFrame, parallel: int) -> DataFrame:
+    """(job_id, task) for so many tasks: in turn, from the largest job down, as hashes of few jobs often meet."""
+    sizes = jobs.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    turn = F.row_number().over(Window.orderBy(F.desc("n"), "job_id"))
+    return sizes.select("job_id", ((turn - 1) % parallel).alias("task"))
+
+
+def run_job_streams(jobs: DataFrame, sources: DataFrame, programs: dict[str, Callable[[str, Iterator[str]], Iterator[str]]], settings: str = "{}", parallel: int | None = None) -> DataFrame:
+    """(job_id, version, output) of jobs of any size: job_inputs and run_jobs in one, with a job's rows from one to many.
+
+    programs: for each language a function from a version and the pieces of a job's JSON input to the pieces of its JSON
+    output; one call for each job. Files are sorted by path into the input, which no task holds whole, and every row of
+    output is a JSON object with some of what the output's members hold, as output_tables takes it. parallel as in
+    run_jobs.
+    """
+    key = ["language", "version", "profile"]
+    file = F.to_json(F.create_map("path", F.struct("content")))
+    jobs = jobs.withColumn("job_id", F.md5(F.concat_ws("\x00", *key)))
+    rows = jobs.join(sources.select("path", "content"), "path").select("job_id", "language", "version", "path", F.substring(file, F.lit(2), F.length(file) - 2).alias("file"))
+
+    def pieces(language: str, files: Iterator[tuple]) -> Iterator[str]:
+        yield f'{{"language":{json.dumps(language)},"sources":{{'
+        last = None
+        for *_, path, text in files:
+            if path == last:
+                raise ValueError(f"{path} is in one job twice")
+            yield text if last is None else "," + text
+            last = path
+        yield f'}},"settings":{settings}}}'
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda job, v, found: pa.RecordBatch.from_arrays([pa.array([job] * len(found)), pa.array([v] * len(found)), pa.array(found)], ["job_id", "version", "output"])
+        files = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for (job, language, v), own in groupby(files, lambda r: r[:3]):
+            if language not in programs:
+                raise ValueError(f"no compiler for {language}")
+            found, n = [], 0
+            for part in json_parts.parts(programs[language](v, pieces(language, own))):
+                found.append(part)
+                n += len(part)
+                if n >= 1 << 20:
+                    yield batch(job, v, found)
+                    found, n = [], 0
+            if found:
+                yield batch(job, v, found)
+
+    dealt = rows.repartition("job_id") if parallel is None else rows.join(F.broadcast(_dealt(jobs, parallel)), "job_id").repartitionById(parallel, "task").select(*rows.columns)
+    return dealt.sortWithinPartitions("job_id", "path").mapInArrow(run, "job_id string, version string, output string")
+
+
 _OUTPUT = (
     "errors array<struct<severity: string, errorCode: string, message: string, formattedMessage: string, sourceLocation: struct<file: string, start: bigint, `end`: bigint>>>, "
     "contracts map<string, map<string, string>>, sources map<string, string>"
@@ -158,7 +228,7 @@ _OUTPUT = (
 
 
 def output_tables(outputs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Diagnostics, contracts and sources of outputs (job_id, version, output).
+    """Diagnostics, contracts and sources of outputs (job_id, version, output), whole ones or in parts.
 
     contracts: job_id, version, path, name, abi, bytecode, deployed, metadata; sources: job_id, version, path,
     source_id, ast (JSON text).

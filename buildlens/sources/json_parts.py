@@ -3,13 +3,16 @@
 The file is read as text parted at closing braces, so it splits anywhere. A first pass tells, for each block of it, whether
 it ends inside a string and how deep, from either start; so a second pass knows where each block starts and cuts
 behind each object at depth 2, which is a member of a member of the file. Pieces that lie in two blocks are put together.
+
+Texts that one task gets or makes as a stream (inputs and outputs of compilers) are cut in the same way by `members`.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Iterable, Iterator
+from itertools import groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -175,3 +178,103 @@ def read_parts(spark: SparkSession, path: str, member: str) -> tuple[DataFrame,
     own = few.df.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(F.struct("block", "n", "own")))["own"], "").alias("own"))
     comma = F.regexp_replace("own", r"(?<=\{)\s*,", "")
     return own.select(comma.alias("own")), texts.select(F.concat(F.lit("{"), F.regexp_replace("text", r"^\s*,", ""), F.lit("}")).alias("piece"))
+
+
+def members(pieces: Iterable[str]) -> Iterator[tuple[str, str, str, str]]:
+    """(member, bracket, key, text) of a JSON object that comes in pieces, cut anywhere: what each of its members holds.
+
+    bracket and key: { and the key, as JSON, in an object; [ and nothing in an array; neither for other values, which come
+    whole. Only one of these values has to fit in memory. Whatever isn't one JSON object is an error.
+    """
+    decode, space, after, source = json.JSONDecoder().raw_decode, re.compile(r"[ \t\r\n]*"), set(",:]} \t\r\n"), iter(pieces)
+    held, at, ended = "", 0, False
+
+    def more() -> None:
+        nonlocal held, at, ended
+        got, n, least = [held[at:]], 0, max(1 << 16, len(held) - at)
+        for p in source:
+            got.append(p)
+            n += len(p)
+            if n >= least:
+                break
+        else:
+            ended = True
+        held, at = "".join(got), 0
+
+    def look() -> str:
+        nonlocal at
+        while (c := held[at : at + 1]) <= " ":
+            at = space.match(held, at).end()
+            if at == len(held):
+                if ended:
+                    return ""
+                more()
+            elif held[at] <= " ":  # no white space of JSON
+                break
+        return c
+
+    def passed(c: str) -> bool:
+        nonlocal at
+        found = look() == c
+        at += found
+        return found
+
+    def need(c: str) -> None:
+        if not passed(c):
+            raise ValueError(f"JSON has {held[at : at + 20]!r} in place of {c}")
+
+    def value() -> str:
+        nonlocal at
+        look()
+        while True:
+            try:
+                _, end = decode(held, at)
+                if held[end : end + 1] in after or ended:  # else a number may go on
+                    text, at = held[at:end], end
+                    return text
+            except json.JSONDecodeError:
+                if ended:
+                    raise
+            more()
+
+    def key() -> str:
+        if look() != '"':
+            need('"')
+        text = value()
+        need(":")
+        return text
+
+    need("{")
+    empty = passed("}")
+    while not empty:
+        name, bracket = json.loads(key()), look()
+        if bracket in ("{", "["):
+            need(bracket)
+            close = "}" if bracket == "{" else "]"
+            if not passed(close):
+                yield name, bracket, key() if bracket == "{" else "", value()
+                while passed(","):
+                    yield name, bracket, key() if bracket == "{" else "", value()
+                need(close)
+        else:
+            yield name, "", "", value()
+        if not passed(","):
+            need("}")
+            break
+    if look():
+        raise ValueError(f"JSON goes on after its end with {held[at : at + 20]!r}")
+
+
+def parts(pieces: Iterable[str], size: int = 1 << 13) -> Iterator[str]:
+    """JSON objects of some size characters (or one value) that together hold what the members of one object hold."""
+    for (name, bracket), rows in groupby(members(pieces), lambda r: r[:2]):
+        start, end = f"{{{json.dumps(name)}:{bracket}", {"{": "}}", "[": "]}", "": "}"}[bracket]
+        found, n = [], 0
+        for *_, key, text in rows:
+            found.append(f"{key}:{text}" if bracket == "{" else text)
+            n += len(found[-1])
+            if n >= size or not bracket:
+                yield start + ",".join(found) + end
+                found, n = [], 0
+        if found:
+            yield start + ",".join(found) + end
